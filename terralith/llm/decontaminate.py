@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._util import chunks, covered, materialize, read_table, spans_of, text_array, word_hashes
 from .suffixes import FMIndex
@@ -94,10 +95,8 @@ def _occurrences(numbers: np.ndarray, word_offs: np.ndarray, windows: Windows) -
     return np.concatenate(found), np.concatenate(at), np.concatenate(wide)
 
 
-_KIND = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-
-
 def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
+    """docs with n_words, spans and items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, offs = text_array(batch.column("text"))
@@ -119,11 +118,13 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                     for d, w in pairs.T.tolist():
                         items[d].update(windows.items[w])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(word_offs)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "spans", "items"],
+                [*batch.columns, pa.array(np.diff(word_offs)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
+                [*docs_columns, "n_words", "spans", "items"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _KIND)
+    docs_columns = docs.columns
+    kind = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, spans array<struct<start:long,end:long>>, items array<long>").fields])
+    return docs.mapInArrow(run, kind)
 
 
 def _merge_spans(spans):
@@ -139,7 +140,9 @@ def _merge_spans(spans):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (merged, in words), items (ascending) and `contaminated`, a row per document."""
+    """docs with n_words, spans (merged, in words), items (ascending), n_hit and `contaminated`, a row per document."""
+    added = ["n_words", "spans", "items", "n_hit", "contaminated"]
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in added])
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, math.ceil(2 * total / block_bytes))
@@ -151,18 +154,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     if blocks == 1:
         found = scan(docs, 0)
     else:  # each row goes by a number of its own meanwhile, as doc_ids may repeat
-        numbered = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
-        every = scan(numbered, 0)
+        row = "_row"
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        every = scan(numbered.select(row, "text"), 0).drop("text")
         for b in range(1, blocks):
-            every = every.unionAll(scan(numbered, b))
-        merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), _merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = merged.join(numbered.select("doc_id", "id"), "doc_id").select(F.col("id").alias("doc_id"), "n_words", "spans", "items")
+            every = every.unionAll(scan(numbered.select(row, "text"), b).drop("text"))
+        merged = every.groupBy(row).agg(F.max("n_words").alias("n_words"), _merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = numbered.join(merged, row).drop(row)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    got = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    got = contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated")
 

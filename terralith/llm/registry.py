@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, pii, quality_rules, simhash
+from . import decontaminate, packing, pii, quality_rules, simhash
 
 QUERIES = {
     "op10_quality_rules": quality_rules.op10,
     "op7_simhash": simhash.op7,
     "op2_decontaminate": decontaminate.op2,
     "op9_pii": pii.op9,
+    "op5_packing": packing.op5,
 }
 
 ORACLES: dict[str, str] = {}

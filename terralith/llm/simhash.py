@@ -208,6 +208,18 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 7) -> DataFrame:
+    """docs with the smallest doc_id of each component; rows that repeat a doc_id are one document, of which the smallest row stays.
+
+    64 bits that differ in 7 or fewer come, by SimHash's own estimate, from shingle sets with a similarity of 0.89 or
+    more (an angle of 7 / 64 half turns). Rows without a doc_id belong to no group and stay.
+    """
+    known = docs.where("doc_id is not null")
+    kept = simhash_components(known, shingle, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    one = known.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return one.select("row.*").unionAll(docs.where("doc_id is null"))
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     got = simhash_components(read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
