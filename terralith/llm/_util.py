@@ -49,7 +49,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a DataFrame's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, packing, pii, quality_rules, simhash
+from . import decontaminate, packing, pii, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op10_quality_rules": quality_rules.op10,
@@ -8,6 +8,7 @@ QUERIES = {
     "op2_decontaminate": decontaminate.op2,
     "op9_pii": pii.op9,
     "op5_packing": packing.op5,
+    "op3_substring_dedup": substring_dedup.op3,
 }
 
 ORACLES: dict[str, str] = {}
