@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, packing, pii, quality_rules, simhash, substring_dedup
+from . import decontaminate, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op10_quality_rules": quality_rules.op10,
@@ -9,6 +9,7 @@ QUERIES = {
     "op9_pii": pii.op9,
     "op5_packing": packing.op5,
     "op3_substring_dedup": substring_dedup.op3,
+    "op8_suffix_dedup": suffix_dedup.op8,
 }
 
 ORACLES: dict[str, str] = {}
