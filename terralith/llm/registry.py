@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op10_quality_rules": quality_rules.op10,
@@ -10,6 +10,10 @@ QUERIES = {
     "op5_packing": packing.op5,
     "op3_substring_dedup": substring_dedup.op3,
     "op8_suffix_dedup": suffix_dedup.op8,
+    "op4_warc": warc.op4,
+    "op6_token_counts": token_counts.op6,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": warc.ORACLE,
+}
