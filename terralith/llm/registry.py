@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from . import chat, decontaminate, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op10_quality_rules": quality_rules.op10,
@@ -12,8 +12,10 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op4_warc": warc.op4,
     "op6_token_counts": token_counts.op6,
+    "op1_chat": chat.op1,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat": chat.ORACLE,
     "op4_warc": warc.ORACLE,
 }
