@@ -1,14 +1,18 @@
-"""Token ids of whole texts by a word-end BPE, fast through a table of words already seen.
+"""Token ids of whole texts by a word-end BPE, fast through tables of words and stems already seen.
 
 The tokenizer replaces white space by a space and never joins what stands on both sides of it, so a text's ids are
-those of its words (split at ASCII white space) one after the other. Each Python worker keeps the ids of the words
-it has met, at most `CACHE_WORDS` of them, and asks the tokenizer for new words only.
+those of its words (split at ASCII white space) one after the other. It lower-cases, and it cuts between a letter or
+digit and a mark, so a word's ids are those of its lower-case stem and of the marks behind it. Each Python worker
+keeps the stems and words it has met (at most `CACHE_STEMS` and `CACHE_WORDS`) and asks the tokenizer for new stems
+only: plain ones many at once, told apart by the word-end mark of their last token, all others one by one.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,13 @@ from pyspark.sql import DataFrame
 
 from ._util import chunks
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+CACHE_STEMS = 600_000
+
+#: Marks that are cut off behind an ASCII letter or digit.
+MARKS = b".,!?;:\""
+WORD_END = "</w>"
+_TAIL = 20  # bits of a tail's number in a word's code
 
 
 def default_tokenizer() -> str:
@@ -25,6 +35,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _plain(stem: str) -> bool:
+    """One piece to the tokenizer: lower-case Latin letters in composed form."""
+    return stem.isalpha() and max(stem) < "\u0250" and stem == stem.lower() and unicodedata.is_normalized("NFC", stem)
+
+
 class WordTokenizer:
     def __init__(self, path: str, literal: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,38 +47,81 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.words: dict[bytes, int] = {}  # a word's code: its stem's number and its tail's
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.words.clear()
+        self.stems: dict[bytes, int] = {b"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            k, n = len(self.number), len(got.ids)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + n] = got.ids
-            self.start[k], self.size[k] = self.used, n
-            self.used += n
-            self.number[word] = k
+    def _store(self, stems: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.stems), len(stems)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = sizes
+        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.stems.update(zip(stems, range(k, k + n), strict=True))
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        texts = [x.decode() for x in stems]
+        plain = [_plain(t) for t in texts]
+        many = [t for t, p in zip(texts, plain, strict=True) if p]
+        other = [i for i, p in enumerate(plain) if not p]
+        if many:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(many)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(many):
+                self._store([t.encode() for t in many], ids, np.diff(last, prepend=-1))
+            else:
+                other = list(range(len(stems)))
+        if other:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
+            self._store([stems[i] for i in other], np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def learn(self, words: set[bytes]) -> None:
+        parts = []
+        for word in words:
+            stem, tail = word, b""
+            if b"<|" not in word:  # may hold a special token, which has a case
+                stem = word.lower()
+                bare = stem.rstrip(MARKS)
+                if bare != stem and bare[-1:].isalnum():
+                    stem, tail = bare, stem[len(bare) :]
+            parts.append((word, stem, tail))
+        fresh = {x for _, stem, tail in parts for x in (stem, tail)} - self.stems.keys()
+        if fresh:
+            self._learn_stems(sorted(fresh))
+        number = self.stems
+        self.words.update((word, number[stem] << _TAIL | number[tail]) for word, stem, tail in parts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and how many each text has."""
-        if len(self.number) > CACHE_WORDS:
-            self.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(self.number) if split else set()
+        fresh = set().union(*split) - self.words.keys()
         if fresh:
-            self.learn(sorted(fresh))
-        words = np.fromiter((self.number[w] for s in split for w in s), np.int64, sum(map(len, split)))
-        sizes = self.size[words]
+            if len(self.stems) > CACHE_STEMS:
+                self.clear()
+                fresh = set().union(*split)
+            self.learn(fresh)
+        n = sum(map(len, split))
+        codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, n)
+        entries = np.empty(2 * n, np.int64)
+        entries[0::2], entries[1::2] = codes >> _TAIL, codes & ((1 << _TAIL) - 1)
+        sizes = self.size[entries]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[words] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = np.concatenate([[0], ends])[np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(ends[-1] if n else 0)]
+        stops = np.concatenate([[0], ends])[2 * np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
         return ids, np.diff(stops, prepend=0)
 
 
