@@ -104,7 +104,7 @@ def _access(method):
     def run(s, d):
         od, dem, fac = _whole_od(s, d)
         got = N.accessibility(od.withColumn("cost", F.round("cost", 3)), dem.select("oid", "weight"), fac.select("did", "capacity"), 900.0, method)
-        return got.select("oid", F.round("score", 6).alias("score"), F.round("least", 2).alias("least"), "served")
+        return got.select("oid", F.round("score", 6).alias("score"), "least", "served")
 
     return run
 
@@ -184,8 +184,8 @@ PLANS = {
     "network_build": (_built, None),
     "network_od": (_od_query, sql(_NET + " SELECT oid, count(*) AS n, round(sum(cost),2) AS total FROM od GROUP BY 1", "edges", "facilities", "demand", recursive=True)),
     "closest_facility": (_closest, sql(_NET + ", r AS (SELECT oid, did, round(cost,3) AS cost, row_number() OVER (PARTITION BY oid ORDER BY round(cost,3), did) AS rank FROM od) SELECT * FROM r WHERE rank <= 2", "edges", "facilities", "demand", recursive=True)),
-    "accessibility_2sfca": (_access("2sfca"), sql(_NET + ", near AS (SELECT oid, did, round(cost,3) AS cost FROM od WHERE round(cost,3) <= 900), ratio AS (SELECT did, any_value(capacity)/sum(weight) AS ratio FROM near JOIN dp ON dp.fid = oid JOIN fp ON fp.fid = did GROUP BY 1), g AS (SELECT oid, sum(ratio) AS score, min(cost) AS least FROM near JOIN ratio USING (did) GROUP BY 1) SELECT fid AS oid, round(coalesce(score,0),6) AS score, round(least,2) AS least, coalesce(score,0) > 0 AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
-    "accessibility_circle": (_access("15min_circle"), sql(_NET + ", g AS (SELECT oid, min(round(cost,3)) AS least FROM od WHERE round(cost,3) <= 900 GROUP BY 1) SELECT fid AS oid, CASE WHEN least IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score, round(least,2) AS least, least IS NOT NULL AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
+    "accessibility_2sfca": (_access("2sfca"), sql(_NET + ", near AS (SELECT oid, did, round(cost,3) AS cost FROM od WHERE round(cost,3) <= 900), ratio AS (SELECT did, any_value(capacity)/sum(weight) AS ratio FROM near JOIN dp ON dp.fid = oid JOIN fp ON fp.fid = did GROUP BY 1), g AS (SELECT oid, sum(ratio) AS score, min(cost) AS least FROM near JOIN ratio USING (did) GROUP BY 1) SELECT fid AS oid, round(coalesce(score,0),6) AS score, least, coalesce(score,0) > 0 AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
+    "accessibility_circle": (_access("15min_circle"), sql(_NET + ", g AS (SELECT oid, min(round(cost,3)) AS least FROM od WHERE round(cost,3) <= 900 GROUP BY 1) SELECT fid AS oid, CASE WHEN least IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score, least, least IS NOT NULL AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
     "accessibility_coverage": (_coverage, sql(_NET + ", g AS (SELECT oid, min(round(cost,3)) AS least FROM od WHERE round(cost,3) <= 600 GROUP BY 1) SELECT sum(CASE WHEN least IS NOT NULL THEN weight ELSE 0 END) AS served, sum(weight) AS total, round(100.0::DOUBLE*sum(CASE WHEN least IS NOT NULL THEN weight ELSE 0 END)/sum(weight),3) AS pct, round(sum(weight*least)/sum(CASE WHEN least IS NOT NULL THEN weight ELSE 0 END),3) AS mean_cost FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
     "allocation_p_median": (_allocate("p_median"), sql(_NET + ", c AS (SELECT a.fid AS a, b.fid AS b, c.fid AS c FROM fp a JOIN fp b ON a.fid < b.fid JOIN fp c ON b.fid < c.fid WHERE c.fid <= 12), s AS (SELECT a, b, c, sum(best*weight) AS score FROM (SELECT a, b, c, oid, min(cost) AS best FROM c JOIN od ON did IN (a,b,c) GROUP BY 1,2,3,4) JOIN dp ON fid = oid GROUP BY 1,2,3 ORDER BY score, a, b, c LIMIT 1) SELECT unnest([a,b,c]) AS did, round(score,1) AS score FROM s", "edges", "facilities", "demand", recursive=True)),
     "allocation_max_coverage": (_allocate("max_coverage"), None),
