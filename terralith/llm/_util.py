@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Text bytes that one vectorised step works on; temporary arrays take about 60 times this.
 CHUNK_BYTES = 1 << 20
@@ -86,6 +87,42 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             at = end
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """docs with `text` (not null) as zstd frames, for a shuffle of whole texts; `unpacked` gives the texts back."""
+    at = docs.columns.index("text")
+    kind = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in chunks(batches, "text", 8 * CHUNK_BYTES):
+            texts = pa.array([pack(x) for x in batch.column(at).cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return docs.mapInArrow(run, kind)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of `packed_texts` with texts of about `limit` bytes, as large binary; one longer text is a slice of its own."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        frames = batch.column(at).to_pylist()
+        sizes = [max(zstandard.get_frame_parameters(x).content_size, 1) for x in frames]
+        start = 0
+        while start < len(frames):
+            end, size = start + 1, sizes[start]
+            while end < len(frames) and size + sizes[end] <= limit:
+                size += sizes[end]
+                end += 1
+            part = batch.slice(start, end - start)
+            yield part.set_column(at, "text", pa.array([unpack.decompress(x) for x in frames[start:end]], pa.large_binary()))
+            start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on unsigned 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(32))

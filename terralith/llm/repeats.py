@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import chunks, input_bytes, materialize, mix, text_array, window_hash
+from ._util import chunks, input_bytes, materialize, mix, packed_texts, text_array, window_hash
 
 #: Entries of one bucket, about; a bucket is one group of a grouped map.
 BUCKET_ENTRIES = 1_000_000
@@ -179,11 +179,11 @@ def _found(docs: DataFrame, units: Units, width: int, inner: int, per_entry: int
 
 
 def _with_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return docs.join(found.where("doc_id is not null").groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs")), ["doc_id", "tag"])
+    return packed_texts(docs).join(found.where("doc_id is not null").groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs")), ["doc_id", "tag"])
 
 
 def shared_runs(docs: DataFrame, units: Units, width: int, inner: int, per_entry: int) -> DataFrame:
-    """docs (from `tagged`) that have runs with anchors of other documents too, with `runs` (array<binary>).
+    """docs (from `tagged`, texts packed) that have runs with anchors of other documents too, with `runs` (array<binary>).
 
     per_entry: bytes of stored text to one run, about; sets the number of buckets.
     """

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import NOT_SPACE, _R2, chunks, covered, read_table, spans_of, text_array, window_hash, word_hashes
+from ._util import NOT_SPACE, _R2, covered, packed_texts, read_table, spans_of, text_array, unpacked, window_hash, word_hashes
 from .repeats import runs_of, shared_runs, tagged
 
 WIDTH = 50
@@ -40,7 +40,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
     """One row per distinct window of a chunk (its first document), and the intervals that this already decides (done)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in unpacked(batches):
             data, offs = text_array(batch.column("text"))
             values, rows_at = word_units(data, offs)
             one, two = window_hash(values, width), window_hash(values, width, _R2)
@@ -87,14 +87,14 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed, intervals (maximal, in words)."""
     own = tagged(docs)
-    without = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("counts"))
-    every = own.join(repeated_intervals(own, width), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "counts").unionAll(without)
+    without = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).transform(packed_texts).select("*", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("counts"))
+    every = packed_texts(own).join(repeated_intervals(own, width), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "counts").unionAll(without)
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in unpacked(batches):
             out = []
-            for text, starts, counts in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for text, starts, counts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 words, spans, removed = text.split(), [], 0
                 n = len(words)
                 if starts:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import chunks, covered, input_bytes, read_table, spans_of, text_array
+from ._util import covered, input_bytes, packed_texts, read_table, spans_of, unpacked
 from .repeats import runs_of, shared_runs_and_hot, tagged
 from .suffixes import suffix_array
 
@@ -166,11 +166,11 @@ def _pieces(docs: DataFrame, width: int, shards: int, hot: set[int]) -> DataFram
     kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in unpacked(batches):
             seen: dict[tuple[int, bytes], int] = {}
             out = []
             ids = batch.column("doc_id").to_numpy()
-            texts, tags, parts = (batch.column(c).cast(pa.large_binary()).to_pylist() if c == "text" else batch.column(c).to_pylist() for c in ("text", "tag", "runs"))
+            texts, tags, parts = (batch.column(c).to_pylist() for c in ("text", "tag", "runs"))
             for r in np.argsort(ids, kind="stable").tolist():
                 doc, text = int(ids[r]), texts[r]
                 for anchor, start, count in runs_of(parts[r]).tolist():
@@ -247,14 +247,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
     found = _pieces(near, width, shards, hot).groupBy("shard").applyInArrow(_decide(width), "doc_id long, tag long, start int, count int")
     by_doc = found.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
     nothing = F.lit(None).cast("array<int>")
-    without = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), nothing.alias("starts"), nothing.alias("counts"))
-    every = own.join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "counts").unionAll(without)
+    without = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).transform(packed_texts).select("*", nothing.alias("starts"), nothing.alias("counts"))
+    every = packed_texts(own).join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "counts").unionAll(without)
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in unpacked(batches):
             out = []
-            for text, starts, counts in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for text, starts, counts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 kept, n, spans, removed = text, len(text), [], 0
                 if starts:
                     s = np.array(starts, np.int64)
