@@ -6,6 +6,7 @@ and stops when nothing improves, so many origins are searched at once and no gra
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -16,6 +17,8 @@ from ..functions.geo import haversine_m
 from ..sources.store import materialize
 
 DEFAULT_SPEED_KMH = 40.0
+#: Steps that one round of a search takes before it is written.
+HOPS = 4
 #: Metres a minute on a network.
 MODES = {"walking": 80, "cycling": 250, "driving": 667, "transit": 417}
 
@@ -59,11 +62,19 @@ def costs(edges: DataFrame, origins: DataFrame, cutoff: float | None = None) ->
     Of equal costs the smallest `via` stays.
     """
     best = materialize(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.lit(None).cast(origins.schema["node"].dataType).alias("via")).distinct(), "costs")
+    ways = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.col("cost").alias("step")), "ways")
+
+    def extend(rows: DataFrame) -> DataFrame:
+        steps = rows.join(ways, "node").select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("via"))
+        steps = steps.where(F.col("cost") <= cutoff) if cutoff is not None else steps
+        return steps.groupBy("origin", "node").agg(F.min(F.struct("cost", "via")).alias("n")).select("origin", "node", "n.cost", "n.via")
+
     frontier = best
     while True:
-        steps = frontier.join(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.col("cost").alias("step")), "node").select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("via"))
-        steps = steps.where(F.col("cost") <= cutoff) if cutoff is not None else steps
-        found = steps.groupBy("origin", "node").agg(F.min(F.struct("cost", "via")).alias("n"))
+        hops = [extend(frontier)]
+        while len(hops) < HOPS:
+            hops.append(extend(hops[-1]))
+        found = functools.reduce(DataFrame.unionAll, hops).groupBy("origin", "node").agg(F.min(F.struct("cost", "via")).alias("n"))
         joined = best.withColumnRenamed("cost", "c0").withColumnRenamed("via", "via0").join(found, ["origin", "node"], "full")
         better = F.coalesce(F.col("n.cost") < F.col("c0"), F.col("c0").isNull())
         state = materialize(joined.select("origin", "node", F.when(better, F.col("n.cost")).otherwise(F.col("c0")).alias("cost"), F.when(better, F.col("n.via")).otherwise(F.col("via0")).alias("via"), better.alias("fresh")), "costs")
