@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from terralith.llm._util import materialize, read_table
 from terralith.llm.decontaminate import contamination
+from terralith.llm.near_copies import drop_near_duplicates
 from terralith.llm.packing import pack_documents
 from terralith.llm.pii import redact_pii
 from terralith.llm.quality_rules import quality_cascade
-from terralith.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,19 +36,23 @@ GROUP_LIMIT = 4096
 MAX_LEVEL = 4
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(flat, 42)
+        return np.array([xxhash.xxh64_intdigest(flat, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.zeros(n, np.int64)
     starts[1:] = ends[:-1] + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)), np.uint64, n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -56,6 +60,10 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
@@ -208,18 +216,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 7) -> DataFrame:
-    """docs with the smallest doc_id of each component; rows that repeat a doc_id are one document, of which the smallest row stays.
-
-    64 bits that differ in 7 or fewer come, by SimHash's own estimate, from shingle sets with a similarity of 0.89 or
-    more (an angle of 7 / 64 half turns). Rows without a doc_id belong to no group and stay.
-    """
-    known = docs.where("doc_id is not null")
-    kept = simhash_components(known, shingle, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    one = known.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-    return one.select("row.*").unionAll(docs.where("doc_id is null"))
-
-
 def op7(spark, sf_dir: str) -> DataFrame:
     got = simhash_components(read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
