@@ -54,7 +54,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in own])
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.lit(" \t\n\x0b\f\r"), x)) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
     words = words_of(F.col("text"))
     return docs.select(
         "*",

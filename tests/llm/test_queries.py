@@ -118,3 +118,14 @@ def test_repeated_rows_and_null_ids(spark, tables, tmp_path_factory, name):
     got = QUERIES[name](spark, where)
     assert got.count() >= 1
     assert got.columns == QUERIES[name](spark, tables).columns
+
+
+def test_quality_blank_lines(spark, tmp_path):
+    """Equal lines without a word are not duplicate lines and do not reject a text."""
+    part = lambda i: " ".join(f"word{i}x{j}" for j in range(12))
+    blank = ["\n\n\n", "\n \n \n", "\n\t\n\t\n", "\n \x0b\f\r\n \x0b\f\r\n"]
+    docs = [(i, b.join(part(k) for k in range(8))) for i, b in enumerate(blank)] + [(9, "\n\n\n".join([part(0), part(1)] * 3))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = query("op10_quality_rules", spark, tmp_path, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    same([x[:-1] for x in got], brute.quality(docs))
+    assert [x[-1] for x in got] == [True] * 4 + [False]
