@@ -5,7 +5,9 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.llm._util import materialize, read_table
@@ -16,9 +18,15 @@ from terralith.llm.pii import redact_pii
 from terralith.llm.quality_rules import quality_cascade
 
 
+def _kept(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], kept: Column) -> DataFrame:
+    """The rows of docs, untouched, that are kept; all columns but doc_id and text go by names that no operator adds."""
+    aside = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return operator(docs.withColumnsRenamed(aside)).where(kept).select([F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_cascade(docs).where("kept").select(docs.columns)
+    return _kept(docs, quality_cascade, F.col("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words come from benchmark windows."""
-    return contamination(docs, read_table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    return _kept(docs, lambda x: contamination(x, read_table(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

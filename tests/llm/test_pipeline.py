@@ -29,3 +29,14 @@ def test_stages(spark, tables):
     assert all(sum(x[1:5]) == 0 for x in brute.pii(after.items()))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, tables)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == after.keys()
+
+
+def test_stages_keep_the_documents_columns(spark, tables):
+    """Columns named like those that an operator adds come out with the document's own values and types."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    before = {tuple(r) for r in docs.collect()}
+    for stage in (corpus_pipeline.quality, corpus_pipeline.decontaminate):
+        out = stage(spark, docs, tables)
+        assert out.dtypes == docs.dtypes
+        after = [tuple(r) for r in out.collect()]
+        assert after and set(after) <= before
