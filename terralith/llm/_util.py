@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -196,6 +197,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return range_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1), base), starts, ends, base)
 
 
+def words_in(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words are the runs of `inside`: (each word's place among the distinct ones, those as binary, offsets of the rows in words)."""
+    starts, ends = spans_of(inside, offs)
+    stops = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=stops[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(stops), pa.py_buffer(data[inside])]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary, np.searchsorted(starts, offs)
+
+
+def digests(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the XXH3-128 of each value."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), np.uint64)
+    return both[0::2].copy(), both[1::2].copy()
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in any of the half-open spans."""
     d = np.zeros(n + 1, np.int32)

@@ -1,10 +1,11 @@
-"""Token ids of whole texts by a word-end BPE, fast through tables of words and stems already seen.
+"""Token ids of whole texts by a word-end BPE, fast through a table of stems already seen.
 
 The tokenizer replaces white space by a space and never joins what stands on both sides of it, so a text's ids are
 those of its words (split at ASCII white space) one after the other. It lower-cases, and it cuts between a letter or
-digit and a mark, so a word's ids are those of its lower-case stem and of the marks behind it. Each Python worker
-keeps the stems and words it has met (at most `CACHE_STEMS` and `CACHE_WORDS`) and asks the tokenizer for new stems
-only: plain ones many at once, told apart by the word-end mark of their last token, all others one by one.
+digit and a mark, so a word's ids are those of its lower-case stem and of the marks behind it. The distinct words of
+a slice of texts are cut so by array operations. Each Python worker keeps the stems it has met (`CACHE_STEMS`) and
+asks the tokenizer for new ones only: plain ones many at once, told apart by the word-end mark of their last token,
+all others one by one.
 """
 
 from __future__ import annotations
@@ -18,15 +19,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._util import chunks
+from ._util import NOT_SPACE, chunks, text_array, words_in
 
-CACHE_WORDS = 400_000
 CACHE_STEMS = 600_000
+#: Text bytes of one vectorised step.
+STEP_BYTES = 4 << 20
 
 #: Marks that are cut off behind an ASCII letter or digit.
 MARKS = b".,!?;:\""
 WORD_END = "</w>"
-_TAIL = 20  # bits of a tail's number in a word's code
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(MARKS)] = True
+_IS_ALNUM = np.zeros(256, bool)
+_IS_ALNUM[48:58] = _IS_ALNUM[65:91] = _IS_ALNUM[97:123] = True
 
 
 def default_tokenizer() -> str:
@@ -50,11 +58,9 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.words: dict[bytes, int] = {}  # a word's code: its stem's number and its tail's
         self.clear()
 
     def clear(self) -> None:
-        self.words.clear()
         self.stems: dict[bytes, int] = {b"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -87,42 +93,58 @@ class WordTokenizer:
             got = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
             self._store([stems[i] for i in other], np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
 
-    def learn(self, words: set[bytes]) -> None:
-        parts = []
-        for word in words:
-            stem, tail = word, b""
-            if b"<|" not in word:  # may hold a special token, which has a case
-                stem = word.lower()
-                bare = stem.rstrip(MARKS)
-                if bare != stem and bare[-1:].isalnum():
-                    stem, tail = bare, stem[len(bare) :]
-            parts.append((word, stem, tail))
-        fresh = {x for _, stem, tail in parts for x in (stem, tail)} - self.stems.keys()
-        if fresh:
-            self._learn_stems(sorted(fresh))
-        number = self.stems
-        self.words.update((word, number[stem] << _TAIL | number[tail]) for word, stem, tail in parts)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end to end, and how many each text has."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        split = [t.split() for t in texts]
-        fresh = set().union(*split) - self.words.keys()
+    def numbers(self, stems: pa.Array) -> np.ndarray:
+        """Each stem's number, learnt where it is new."""
+        kinds = stems.dictionary_encode()
+        known = kinds.dictionary.to_pylist()
+        fresh = [x for x in known if x not in self.stems]
         if fresh:
-            if len(self.stems) > CACHE_STEMS:
+            if len(self.stems) + len(fresh) > CACHE_STEMS:
                 self.clear()
-                fresh = set().union(*split)
-            self.learn(fresh)
-        n = sum(map(len, split))
-        codes = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, n)
-        entries = np.empty(2 * n, np.int64)
-        entries[0::2], entries[1::2] = codes >> _TAIL, codes & ((1 << _TAIL) - 1)
-        sizes = self.size[entries]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(ends[-1] if n else 0)]
-        stops = np.concatenate([[0], ends])[2 * np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
-        return ids, np.diff(stops, prepend=0)
+                fresh = [x for x in known if x]
+            self._learn_stems(sorted(fresh))
+        return np.fromiter(map(self.stems.__getitem__, known), np.int64, len(known))[kinds.indices.to_numpy()]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, end to end, and how many each row has."""
+        codes, words, rows_at = words_in(data, offs, NOT_SPACE[data])
+        if not len(codes):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        stems, tails = split_marks(*text_array(words))
+        number = self.numbers(pa.concat_arrays([stems, tails]))
+        entries = np.stack([number[: len(words)], number[len(words) :]], axis=1).ravel()
+        flat, sizes = _gathered(self.flat, self.start[entries], self.size[entries])
+        sizes = sizes[0::2] + sizes[1::2]  # of each distinct word
+        ids, sizes = _gathered(flat, (np.cumsum(sizes) - sizes)[codes], sizes[codes])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(ends[rows_at])
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start : start + size] of each entry, end to end, and the sizes."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
+
+
+def split_marks(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Lower-case stem and the marks behind it, for each word; a word that may hold a special token, which has a case, stays whole."""
+    starts, ends = offs[:-1], offs[1:]
+    at = np.arange(len(data))
+    last = np.maximum.reduceat(np.where(_IS_MARK[data], -1, at), starts)  # of what is no mark
+    stop = np.where((last >= 0) & _IS_ALNUM[data[last]], last + 1, ends)
+    opens = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # <|
+    row = np.searchsorted(offs, opens, side="right") - 1
+    special = np.zeros(len(starts), bool)
+    special[row[opens + 1 < ends[row]]] = True
+    stop = np.where(special, ends, stop)
+    sizes = ends - starts
+    low = np.where(np.repeat(special, sizes), data, _LOWER[data])
+    stem = at < np.repeat(stop, sizes)
+
+    def binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(flat)])
+
+    return binary(low[stem], stop - starts), binary(low[~stem], ends - stop)
 
 
 _tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
@@ -138,8 +160,8 @@ def word_tokenizer(path: str, literal: bool = False) -> WordTokenizer:
 def token_batches(batches: Iterator[pa.RecordBatch], path: str, end: int, literal: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows with doc_id and text, ids end to end, ids of each row); each row's ids end in `end`."""
     coder = word_tokenizer(path, literal)
-    for batch in chunks(batches, "text"):
-        ids, sizes = coder.encode([x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()])
+    for batch in chunks(batches, "text", STEP_BYTES):
+        ids, sizes = coder.encode(*text_array(batch.column("text")))
         yield batch, np.insert(ids, np.cumsum(sizes), end), sizes + 1
 
 
