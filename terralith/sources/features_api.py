@@ -1,7 +1,8 @@
 """A feature service as a Spark data source: pages are partitions, box and limit go to the service.
 
 The transport is a function url -> bytes, so services of one style (OGC API Features, ArcGIS FeatureServer, WFS with
-JSON) differ in how a page is asked for and where the features stand in the answer.
+JSON) differ in how a page is asked for and where the features stand in the answer. The option `total` is how many
+features to expect, for pages in parallel; whatever it says, the last partition reads on to the end.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def http(url: str) -> bytes:
 class FeatureReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Callable[[str], bytes] = http):
         self.base, self.style = options["url"], STYLES[options.get("style", "ogc")]
-        self.total, self.page = int(options.get("total", 10000)), int(options.get("page", 1000))
+        self.total, self.page = int(options.get("total", 0)), int(options.get("page", 1000))
         self.box: list[float | None] = [None] * 4
         self.fetch = fetch
 
@@ -77,15 +78,22 @@ class FeatureReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(0, self.total, self.page)]
+        """A page of the expected total each; the last one goes on to the end of what the service has."""
+        return [InputPartition((i, i + self.page)) for i in range(0, self.total - self.page, self.page)] + [InputPartition((max(self.total - 1, 0) // self.page * self.page, None))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         box = tuple(self.box) if None not in self.box else None
-        n = min(self.page, self.total - partition.value)
-        for f in features(self.fetch(page_url(self.base, self.style, partition.value, n, box))):
-            point = (f.get("geometry") or {}).get("coordinates") or [None, None]
-            x, y = (point[0], point[1]) if isinstance(point[0], int | float) else (None, None)
-            yield (str(f.get("id", "")), x, y, json.dumps(f.get("properties") or {}, sort_keys=True, ensure_ascii=False))
+        at, end = partition.value
+        while end is None or at < end:
+            n = self.page if end is None else min(self.page, end - at)
+            page = features(self.fetch(page_url(self.base, self.style, at, n, box)))
+            for f in page[:n]:
+                point = (f.get("geometry") or {}).get("coordinates") or [None, None]
+                x, y = (point[0], point[1]) if isinstance(point[0], int | float) else (None, None)
+                yield (str(f.get("id", "")), x, y, json.dumps(f.get("properties") or {}, sort_keys=True, ensure_ascii=False))
+            if not page:  # a service may give less than a page although it has more
+                return
+            at += len(page[:n])
 
 
 class FeatureSource(DataSource):

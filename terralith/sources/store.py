@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,18 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own in a local session and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="terralith-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: What this application has written to the shared folder.
+_written: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; `clear_shared` removes it."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/{app}-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(app, []).append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove all tables and files that this application has put into the shared folder; results that still read them must be written before."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -54,8 +54,7 @@ def running_anomalies(events: DataFrame, by: str = "event_type", threshold: floa
     return events.where("value is not null").groupBy(by).applyInPandasWithState(step, f"{by} {kind}, event_id long, value double, z double", "n long, mean double, m2 double", "append", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Run a stream over what is there now and append its rows to a folder of Parquet files; windows that the watermark has not closed stay in the state."""
+    query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
