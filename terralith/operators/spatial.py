@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import hex_cell, point_in_ring, ring_bbox
+from ..functions.geo import hex_cell, perimeter, point_in_ring, ring_bbox, ring_centroid, signed_area
+from .temporal import exact_sum
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -28,10 +29,15 @@ def spatial_join(points: DataFrame, polygons: DataFrame, how: str = "inner", pre
     return placed.join(dealt, test, how).drop("_cx", "_cy", "_box")
 
 
-def polygon_stats(points: DataFrame, polygons: DataFrame, key: str, value: str, cell: float = 0.1) -> DataFrame:
-    """Per polygon count, sum, mean, max, min of the points that it intersects; count 0 and has_data false for none."""
+def polygon_stats(points: DataFrame, polygons: DataFrame, key: str, value: str, cell: float = 0.1, places: int | None = None) -> DataFrame:
+    """Per polygon count, sum, mean, max, min of the points that it intersects; count 0 and has_data false for none.
+
+    places: the values have at most so many decimals, so sum and mean come from exact sums.
+    """
+    total = F.sum(value) if places is None else exact_sum(F.col(value), places)
+    mean = F.avg(value) if places is None else total / F.count(value)
     joined = spatial_join(points, polygons.select(key, "ring"), cell=cell)
-    got = joined.groupBy(key).agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"))
+    got = joined.groupBy(key).agg(F.count("*").alias("n"), total.alias("sum"), mean.alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"))
     return polygons.select(key).join(got, key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("has_data", F.col("n") > 0)
 
 
@@ -53,8 +59,9 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int = 1, x: str = "mx", y
     by_self, a row is no neighbour of itself (equal fid), though others at its place are.
     """
     box = targets.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count("*")).head()
+    none = within_distance(sources, targets, 1.0, x, y).select("aid", "bid", "d").withColumn("rank", F.lit(1)).limit(0)
     if box is None or not box[4]:
-        return within_distance(sources, targets, 1.0, x, y).select("aid", "bid", "d").withColumn("rank", F.lit(1)).limit(0)
+        return none
     need = min(k, box[4] - (1 if by_self else 0))
     side = max(box[1] - box[0], box[3] - box[2], 1e-9)
     radius = start or max(side * math.sqrt(max(need, 1) / box[4]), 1e-9)
@@ -74,7 +81,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int = 1, x: str = "mx", y
         if radius > reach or not left.limit(1).count():
             break
         radius *= 2
-    return out
+    return none if out is None else out
 
 
 def probe(points: DataFrame, x: float, y: float, radius_m: float = 10.0) -> DataFrame:
@@ -87,11 +94,15 @@ def probe(points: DataFrame, x: float, y: float, radius_m: float = 10.0) -> Data
     return near.withColumn("distance_m", haversine_m(F.col("x"), F.col("y"), x, y)).where(F.col("distance_m") <= radius_m)
 
 
-def hex_bin(points: DataFrame, size: float, value: str | None = None, how: str = "count", x: str = "mx", y: str = "my") -> DataFrame:
-    """Points by hexagon (q, r): count and, with a value, its sum or mean; a value that is never a number falls back to the count."""
+def hex_bin(points: DataFrame, size: float, value: str | None = None, how: str = "count", x: str = "mx", y: str = "my", places: int | None = None) -> DataFrame:
+    """Points by hexagon (q, r): count and, with a value, its sum or mean; a value that is never a number falls back to the count.
+
+    places: the values have at most so many decimals, so sum and mean come from exact sums.
+    """
     cell = points.withColumn("_c", hex_cell(F.col(x), F.col(y), size))
     v = F.col(value).try_cast("double") if value else F.lit(None).cast("double")
-    agg = {"sum": F.sum(v), "mean": F.avg(v)}.get(how, F.count("*").cast("double"))
+    total = F.sum(v) if places is None else exact_sum(v, places)
+    agg = {"sum": total, "mean": F.avg(v) if places is None else total / F.count(v)}.get(how, F.count("*").cast("double"))
     return cell.groupBy(F.col("_c.q").alias("q"), F.col("_c.r").alias("r")).agg(F.count("*").alias("n"), F.coalesce(agg, F.count("*").cast("double")).alias("stat"))
 
 
@@ -171,3 +182,11 @@ def dissolve(df: DataFrame, keys: list[str], fid: str = "fid") -> DataFrame:
     """One feature per key: attributes of its first row, its geometries as an array of rings, and how many there were."""
     rest = [c for c in df.columns if c not in (*keys, "ring")]
     return df.groupBy(*keys).agg(*[F.min_by(c, fid).alias(c) for c in rest], F.transform(F.array_sort(F.collect_list(F.struct(fid, "ring"))), lambda s: s["ring"]).alias("rings"), F.count("*").alias("n_parts"))
+
+
+def describe_geometry(polygons: DataFrame) -> DataFrame:
+    """One row over rings: count, total and mean area, total outline, box and the area-weighted centre."""
+    r = F.col("ring")
+    d = polygons.select(F.abs(signed_area(r)).alias("area"), perimeter(r).alias("length"), ring_bbox(r).alias("b"), ring_centroid(r).alias("c"))
+    centre = lambda k: F.sum(F.col(f"c.{k}") * F.col("area")) / F.sum("area")
+    return d.agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.avg("area").alias("mean_area"), F.sum("length").alias("length"), F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"), centre("x").alias("cx"), centre("y").alias("cy"))

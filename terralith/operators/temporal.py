@@ -90,17 +90,28 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
 
 
-def temporal_aggregate(df: DataFrame, time: str, unit: str, value: str, by: list[str] | None = None, order: str | None = None) -> DataFrame:
+def exact_sum(v: Column, places: int) -> Column:
+    """The sum of values of at most `places` decimals, as a double, the same in whatever order the rows come."""
+    return F.sum(v.cast(f"decimal(28,{places})")).cast("double")
+
+
+def temporal_aggregate(df: DataFrame, time: str, unit: str, value: str, by: list[str] | None = None, order: str | None = None, places: int | None = None) -> DataFrame:
     """Per bucket (and key columns): all rows with a time, and count, mean, sum, min, max, sample std (0 for one), first and last of the finite values.
 
-    first and last follow time and then `order`.
+    first and last follow time and then `order`. places: the values have at most so many decimals, so sum, mean and
+    std come from exact sums.
     """
     v = finite(F.col(value))
     rows = df.where(F.col(time).isNotNull()).select(*(by or []), bucket_key(F.col(time), unit).alias("bucket"), v.alias("v"), F.struct(F.col(time), F.col(order or time)).alias("o"))
     at = F.when(F.col("v").isNotNull(), F.col("o"))
-    std = F.coalesce(F.stddev_samp("v"), F.when(F.count("v") == 1, 0.0))
+    n, total, mean, std = F.count("v"), F.sum("v"), F.avg("v"), F.stddev_samp("v")
+    if places is not None:
+        total, squares = exact_sum(F.col("v"), places), exact_sum(F.col("v").cast(f"decimal(14,{places})") * F.col("v").cast(f"decimal(14,{places})"), 2 * places)
+        mean = total / n
+        std = F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
+    std = F.coalesce(std, F.when(n == 1, 0.0))
     return rows.groupBy(*(by or []), "bucket").agg(
-        F.count("*").alias("n_rows"), F.count("v").alias("n_values"), F.avg("v").alias("mean"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), std.alias("std"), F.min_by("v", at).alias("first"), F.max_by("v", at).alias("last")
+        F.count("*").alias("n_rows"), n.alias("n_values"), mean.alias("mean"), total.alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), std.alias("std"), F.min_by("v", at).alias("first"), F.max_by("v", at).alias("last")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -76,9 +76,18 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("source_type"), F.when(F.col("p_size") % 2 == 0, "EPSG:4326").otherwise("EPSG:3857").alias("crs"), F.split("p_type", " ").alias("tags"), x0.alias("x0"), y0.alias("y0"), (x0 + F.lit(0.5)).alias("x1"), (y0 + F.lit(0.5)).alias("y1"))
 
 
+def settled(c: Column, digits: int) -> Column:
+    """c rounded; what lies at a half but for the error of sums goes up, in Spark and in SQL alike."""
+    return F.floor(c * 10.0**digits + F.lit(0.500001)) / F.lit(10.0**digits)
+
+
 # the same in SQL
 
 
+def settled_sql(expression: str, digits: int) -> str:
+    return f"(floor(({expression}) * {10.0**digits}::DOUBLE + 0.500001::DOUBLE) / {10.0**digits}::DOUBLE)"
+
+
 def utm_sql(x: str, y: str) -> tuple[str, str]:
     lat, lon = f"radians({y})", f"radians({x} - {6.0 * ZONE - 183.0})"
     t = f"sinh(atanh(sin({lat})) - {geo._ECC!r} * atanh({geo._ECC!r} * sin({lat})))"

@@ -12,7 +12,7 @@ from ..operators import statistics as ST
 from ..sources.files import feature_json
 from ..sources.vector_tiles import tile_points, vector_tiles
 from . import inputs as I
-from .inputs import sql, table
+from .inputs import settled, settled_sql, sql, table
 
 _IN = "p.x BETWEEN q.x0 AND q.x1 AND p.y BETWEEN q.y0 AND q.y1"
 HEX = 5000.0
@@ -24,7 +24,8 @@ def _r(df, n, *cols):
 
 
 def _stats(s, d):
-    return _r(S.polygon_stats(I.points(s, d), I.polygons(s, d), "pid", "value", cell=0.1), 4, "sum", "mean", "max", "min")
+    got = S.polygon_stats(I.points(s, d), I.polygons(s, d), "pid", "value", cell=0.1, places=2)
+    return got.withColumns({c: settled(F.col(c), 4) for c in ("sum", "mean", "max", "min")})
 
 
 def _nearest(s, d):
@@ -33,12 +34,13 @@ def _nearest(s, d):
 
 
 def _hexes(s, d):
-    return S.hex_bin(I.points(s, d), HEX, "value", "mean")
+    return S.hex_bin(I.points(s, d), HEX, "value", "mean", places=2)
 
 
+_SUM = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
 _HEXQ = f"""WITH f AS (SELECT *, (mx*{3**0.5 / 3!r}::DOUBLE - my/3)/{HEX} AS q0, (my*{2 / 3!r}::DOUBLE)/{HEX} AS r0 FROM points), g AS (SELECT *, round_even(q0,0) AS rq, round_even(r0,0) AS rr, round_even(-q0-r0,0) AS rs FROM f),
 h AS (SELECT *, abs(rq-q0) AS dq, abs(rr-r0) AS dr, abs(rs-(-q0-r0)) AS ds FROM g),
-hexes AS (SELECT CAST(CASE WHEN dq>dr AND dq>ds THEN -rr-rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN NOT (dq>dr AND dq>ds) AND dr>ds THEN -rq-rs ELSE rr END AS BIGINT) AS r, count(*) AS n, avg(value) AS stat FROM h GROUP BY 1, 2)"""
+hexes AS (SELECT CAST(CASE WHEN dq>dr AND dq>ds THEN -rr-rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN NOT (dq>dr AND dq>ds) AND dr>ds THEN -rq-rs ELSE rr END AS BIGINT) AS r, count(*) AS n, {_SUM} / count(value) AS stat FROM h GROUP BY 1, 2)"""
 
 _PAIRS = "pairs AS (SELECT a.fid AS aid, b.fid AS bid, sqrt(pow(a.mx-b.mx,2)+pow(a.my-b.my,2)) AS d, b.value AS bv FROM demand_v a JOIN demand_v b ON abs(a.mx-b.mx) <= {band} AND abs(a.my-b.my) <= {band} WHERE sqrt(pow(a.mx-b.mx,2)+pow(a.my-b.my,2)) <= {band})"
 _DV = "demand_v AS (SELECT fid, mx, my, balance AS value FROM demand)"
@@ -200,7 +202,7 @@ SELECT CAST(z AS BIGINT) AS z, CAST(floor(u) AS BIGINT) AS tx, CAST(floor(v) AS
 PLANS = {
     "spatial_join_inner": (lambda s, d: S.spatial_join(I.points(s, d), I.polygons(s, d)).select("fid", "pid"), sql(f"SELECT fid, pid FROM points p JOIN polys q ON {_IN}", "points", "polys")),
     "spatial_join_left_within": (lambda s, d: S.spatial_join(I.points(s, d), I.polygons(s, d).where("region = 2"), "left", "within").select("fid", "pid"), sql("SELECT fid, pid FROM points p LEFT JOIN (SELECT * FROM polys WHERE region = 2) q ON p.x > q.x0 AND p.x < q.x1 AND p.y > q.y0 AND p.y < q.y1", "points", "polys")),
-    "polygon_stats": (_stats, sql(f"SELECT pid, count(fid) AS n, round(sum(value),4) AS sum, round(avg(value),4) AS mean, round(max(value),4) AS max, round(min(value),4) AS min, count(fid) > 0 AS has_data FROM polys q LEFT JOIN points p ON {_IN} GROUP BY 1", "points", "polys")),
+    "polygon_stats": (_stats, sql(f"SELECT pid, count(fid) AS n, {settled_sql(_SUM, 4)} AS sum, {settled_sql(_SUM + ' / count(value)', 4)} AS mean, {settled_sql('max(value)', 4)} AS max, {settled_sql('min(value)', 4)} AS min, count(fid) > 0 AS has_data FROM polys q LEFT JOIN points p ON {_IN} GROUP BY 1", "points", "polys")),
     "nearest_facility": (_nearest, sql("WITH k AS (SELECT a.fid AS demand, b.fid AS facility, sqrt(pow(a.mx-b.mx,2)+pow(a.my-b.my,2)) AS d, row_number() OVER (PARTITION BY a.fid ORDER BY sqrt(pow(a.mx-b.mx,2)+pow(a.my-b.my,2)), b.fid) AS rk FROM demand a, facilities b) SELECT demand, facility, round(d,2) AS distance FROM k WHERE rk = 1", "demand", "facilities")),
     "knn_weights": (lambda s, d: S.nearest(I.demand(s, d).select("fid", "mx", "my"), I.demand(s, d).select("fid", "mx", "my"), 8, by_self=True).select("aid", "bid", F.col("rank").cast("long").alias("rank")), sql(f"WITH {_KNN.format(t='demand', k=8)} SELECT aid, bid, rk AS rank FROM knn", "demand")),
     "distance_band": (lambda s, d: S.within_distance(I.demand(s, d).select("fid", "mx", "my"), I.demand(s, d).select("fid", "mx", "my"), BAND).groupBy("aid").agg(F.count("*").alias("n"), F.round(F.sum("d"), 2).alias("total")), sql(f"WITH {_DV}, {_PAIRS.format(band=BAND)} SELECT aid, count(*) AS n, round(sum(d),2) AS total FROM pairs GROUP BY 1", "demand")),
@@ -209,7 +211,7 @@ PLANS = {
         sql("SELECT a.fid AS aid, count(*) AS n FROM points a JOIN points b ON abs(a.mx-b.mx) <= 1500 AND abs(a.my-b.my) <= 1500 AND sqrt(pow(a.mx-b.mx,2)+pow(a.my-b.my,2)) <= 1500 AND abs(epoch_us(a.t)-epoch_us(b.t)) <= 21600000000 GROUP BY 1", "points"),
     ),
     "point_probe": (lambda s, d: S.probe(I.points(s, d), 116.5, 40.0, 2000.0).select("fid", F.round("distance_m", 3).alias("distance_m")), sql(f"SELECT fid, round({_HAV.format(x1='x', y1='y', x2='116.5::DOUBLE', y2='40.0::DOUBLE')},3) AS distance_m FROM points WHERE {_HAV.format(x1='x', y1='y', x2='116.5::DOUBLE', y2='40.0::DOUBLE')} <= 2000", "points")),
-    "hex_binning": (lambda s, d: _r(_hexes(s, d), 4, "stat"), sql(f"{_HEXQ} SELECT q, r, n, round(stat,4) AS stat FROM hexes", "points")),
+    "hex_binning": (lambda s, d: _hexes(s, d).withColumn("stat", settled(F.col("stat"), 4)), sql(f"{_HEXQ} SELECT q, r, n, {settled_sql('stat', 4)} AS stat FROM hexes", "points")),
     "fishnet": (lambda s, d: _r(S.fishnet(s, (116.0, 39.5, 117.0, 40.3), 0.03), 9, "x0", "y0", "x1", "y1"), "SELECT id AS fid, id // 27 AS col, id % 27 AS row, round(116.0::DOUBLE+(id//27)*0.03::DOUBLE,9) AS x0, round(39.5::DOUBLE+(id%27)*0.03::DOUBLE,9) AS y0, round(116.0::DOUBLE+(id//27)*0.03::DOUBLE+0.03::DOUBLE,9) AS x1, round(39.5::DOUBLE+(id%27)*0.03::DOUBLE+0.03::DOUBLE,9) AS y1 FROM range(918) r(id)"),
     "heatmap_grid": (lambda s, d: _r(S.heatmap_grid(I.points(s, d), 3000.0), 6, "weight"), sql("WITH c AS (SELECT CAST(floor((mx-(SELECT min(mx) FROM points))/3000) AS BIGINT) AS col, CAST(floor((my-(SELECT min(my) FROM points))/3000) AS BIGINT) AS row, count(*) AS n FROM points GROUP BY 1, 2) SELECT col, row, n, round(n/(SELECT max(n) FROM c),6) AS weight FROM c", "points")),
     "heatmap_smooth": (lambda s, d: _r(S.heatmap_smooth(S.heatmap_grid(I.points(s, d), 3000.0), 3000.0, 6000.0), 6, "intensity"), None),
@@ -239,8 +241,8 @@ PLANS = {
     "moran_permutation": (_moran_p, None),
     "getis_ord_gi": (_gi, sql(_GI, "demand")),
     "lisa_quadrants": (
-        lambda s, d: ST.lisa(_hexes(s, d), "stat").select("q", "r", F.round("local_i", 4).alias("local_i"), "quadrant"),
-        sql(f"{_HEXQ}, z AS (SELECT q, r, (stat-(SELECT avg(stat) FROM hexes))/(SELECT stddev_pop(stat) FROM hexes) AS z FROM hexes), l AS (SELECT a.q, a.r, a.z, coalesce(avg(b.z),0) AS lag FROM z a LEFT JOIN z b ON (b.q-a.q, b.r-a.r) IN ((1,0),(1,-1),(0,-1),(-1,0),(-1,1),(0,1)) GROUP BY 1, 2, 3) SELECT q, r, round(round(z*lag,6),4) AS local_i, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag >= 0 THEN 'LH' WHEN z < 0 AND lag < 0 THEN 'LL' ELSE 'HL' END AS quadrant FROM l", "points"),
+        lambda s, d: ST.lisa(_hexes(s, d), "stat").select("q", "r", settled(F.col("local_i"), 4).alias("local_i"), "quadrant"),
+        sql(f"{_HEXQ}, z AS (SELECT q, r, (stat-(SELECT avg(stat) FROM hexes))/(SELECT stddev_pop(stat) FROM hexes) AS z FROM hexes), l AS (SELECT a.q, a.r, a.z, coalesce(avg(b.z),0) AS lag FROM z a LEFT JOIN z b ON (b.q-a.q, b.r-a.r) IN ((1,0),(1,-1),(0,-1),(-1,0),(-1,1),(0,1)) GROUP BY 1, 2, 3) SELECT q, r, {settled_sql('round(z*lag,6)', 4)} AS local_i, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag >= 0 THEN 'LH' WHEN z < 0 AND lag < 0 THEN 'LL' ELSE 'HL' END AS quadrant FROM l", "points"),
     ),
     "lisa_permutation": (lambda s, d: ST.lisa(_hexes(s, d), "stat", permutations=99), None),
     "deviational_ellipse": (

@@ -10,7 +10,7 @@ from ..operators import relational as R
 from ..operators import temporal as T
 from ..functions.predicates import attribute_filter, layer_filter, safe_where
 from . import inputs as I
-from .inputs import sql, table
+from .inputs import settled, settled_sql, sql, table
 
 BOX = (116.2, 39.6, 116.7, 40.2)
 SPEC = R.QuerySpec(bbox=BOX, where="value > 50", columns=["fid", "x", "y", "value"], limit=500, offset=100)
@@ -23,15 +23,18 @@ def _events(spark, d):
 
 def _bucket(unit):
     def run(spark, d):
-        got = T.temporal_aggregate(_events(spark, d), "ts", unit, "value", ["event_type"], "event_id")
-        return got.select("event_type", "bucket", "n_rows", "n_values", *[F.round(c, 4).alias(c) for c in ("mean", "sum", "min", "max", "std", "first", "last")])
+        got = T.temporal_aggregate(_events(spark, d), "ts", unit, "value", ["event_type"], "event_id", places=2)
+        return got.select("event_type", "bucket", "n_rows", "n_values", *[settled(F.col(c), 4).alias(c) for c in ("mean", "sum", "min", "max", "std", "first", "last")])
 
     return run
 
 
 def _bucket_sql(key):
-    return f"""SELECT event_type, {key} AS bucket, count(*) AS n_rows, count(value) AS n_values, round(avg(value),4) AS mean, round(sum(value),4) AS sum, round(min(value),4) AS min, round(max(value),4) AS max,
-    round(coalesce(stddev_samp(value), CASE WHEN count(value)=1 THEN 0.0 END),4) AS std, round(arg_min(value, (ts,event_id)),4) AS first, round(arg_max(value, (ts,event_id)),4) AS last FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"""
+    s, q, n = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)", "CAST(sum(CAST(value AS DECIMAL(14,2)) * CAST(value AS DECIMAL(14,2))) AS DOUBLE)", "count(value)"
+    r = lambda x: settled_sql(x, 4)
+    std = f"coalesce(CASE WHEN {n} > 1 THEN sqrt(greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0)) END, CASE WHEN {n} = 1 THEN 0.0 END)"
+    return f"""SELECT event_type, {key} AS bucket, count(*) AS n_rows, {n} AS n_values, {r(f"{s} / {n}")} AS mean, {r(s)} AS sum, {r("min(value)")} AS min, {r("max(value)")} AS max,
+    {r(std)} AS std, {r("arg_min(value, (ts,event_id))")} AS first, {r("arg_max(value, (ts,event_id))")} AS last FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"""
 
 
 _MONDAY = "date_trunc('week', ts)"
@@ -156,7 +159,7 @@ PLANS = {
     ),
     "dataset_fingerprint": (
         lambda s, d: R.fingerprint(table(s, d, "nation")),
-        "SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substr(md5(CAST(n_name AS VARCHAR) || chr(31) || CAST(n_nationkey AS VARCHAR) || chr(31) || CAST(n_regionkey AS VARCHAR)) , 1, 15) AS BIGINT)) AS fingerprint FROM (SELECT n_name, n_nationkey, n_regionkey FROM nation)",
+        "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) % 2305843009213693951 AS BIGINT) AS fingerprint, CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) % 2305843009213693951 AS BIGINT) AS fingerprint2 FROM (SELECT md5(n_name || chr(31) || CAST(n_nationkey AS VARCHAR) || chr(31) || CAST(n_regionkey AS VARCHAR)) AS h FROM nation)",
     ),
     "chart_series": (lambda s, d: R.chart_series(table(s, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")), "day", "o_totalprice").withColumn("value", F.round("value", 2)), "SELECT strftime(o_orderdate, '%Y-%m-%d') AS key, round(sum(o_totalprice),2) AS value FROM orders GROUP BY 1 ORDER BY 1 LIMIT 500"),
     "lineage_walk": (_lineage, _LINEAGE),
