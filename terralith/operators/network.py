@@ -1,15 +1,19 @@
 """Networks as edge tables (u, v, cost): shortest-path costs by joins, and what is built on them.
 
-Costs spread as DataFrames: a round extends what the last round improved, keeps the smallest cost per (origin, node)
-and stops when nothing improves, so many origins are searched at once and no graph needs to fit in one task.
+A graph of bounded size is broadcast and searched from each origin in parallel. Beyond the bound, costs spread as
+DataFrames: a round extends what the last round improved, keeps the smallest cost per (origin, node) and stops when
+nothing improves, so many origins are searched at once and no graph needs to fit in one task.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from ..functions.geo import haversine_m
 from ..sources.store import materialize
 
 DEFAULT_SPEED_KMH = 40.0
+#: Edges of a graph that is broadcast: some 50 MB.
+GRAPH_EDGES = 1_000_000
 #: Steps that one round of a search takes before it is written.
 HOPS = 4
 #: Metres a minute on a network.
@@ -56,11 +62,63 @@ def apply_barriers(edges: DataFrame, barriers: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce("closed", F.lit(False))).withColumn("cost", edge_cost(F.col("cost"), F.col("factor"))).select(*edges.columns)
 
 
+def _searches(edges: DataFrame, origins: DataFrame, cutoff: float | None) -> DataFrame:
+    """costs() over a graph of at most `GRAPH_EDGES` edges: it is broadcast as one row, and each task searches from its origins."""
+    spark, kind = edges.sparkSession, edges.schema["u"].dataType.simpleString()
+    graph = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("cost").cast("double").alias("c")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("c").alias("c"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = origins.select("node").distinct().groupBy(F.pmod(F.xxhash64("node"), F.lit(4 * parts)).alias("part")).agg(F.collect_list("node").alias("nodes"))
+    most = float("inf") if cutoff is None else cutoff
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).type.value_type
+            for nodes, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                ways: dict = {}
+                for u, v, cost in zip(a, b, c, strict=True):
+                    ways.setdefault(u, []).append((v, cost))
+                for origin in nodes:
+                    best, via = cheapest(ways, origin, most)
+                    reached = list(best)
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(reached), node), pa.array(reached, node), pa.array([best[x] for x in reached], pa.float64()), pa.array([via[x] for x in reached], node)], ["origin", "node", "cost", "via"])
+
+    return dealt.join(F.broadcast(graph)).select("nodes", "a", "b", "c").mapInArrow(run, f"origin {kind}, node {kind}, cost double, via {kind}")
+
+
+def cheapest(ways: dict, origin, most: float) -> tuple[dict, dict]:
+    """Cost and the node before, for every node within `most` of the origin; of equal costs the smallest node before."""
+    best, via, done, queue = {origin: 0.0}, {origin: None}, set(), [(0.0, origin)]
+    while queue:
+        cost, u = heapq.heappop(queue)
+        if u in done:
+            continue
+        done.add(u)
+        for v, step in ways.get(u, ()):
+            reach = cost + step
+            if reach > most or v in done:
+                continue
+            known = best.get(v)
+            if known is None or reach < known:
+                best[v], via[v] = reach, u
+                heapq.heappush(queue, (reach, v))
+            elif reach == known and u < via[v]:
+                via[v] = u
+    return best, via
+
+
 def costs(edges: DataFrame, origins: DataFrame, cutoff: float | None = None) -> DataFrame:
     """origin, node, cost, via: the cheapest cost from every origin (column node) to every node within the cutoff; via is the node before.
 
-    Of equal costs the smallest `via` stays.
+    Of equal costs the smallest `via` stays. Costs are not negative. A graph of at most `GRAPH_EDGES` edges is
+    broadcast and searched from each origin by itself; over a larger one all searches spread in rounds of joins.
     """
+    if edges.limit(GRAPH_EDGES + 1).count() <= GRAPH_EDGES:
+        return _searches(edges, origins, cutoff)
+    return spread_costs(edges, origins, cutoff)
+
+
+def spread_costs(edges: DataFrame, origins: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """costs() for graphs of any size: a round extends what the last one improved, and keeps the smallest cost."""
     best = materialize(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.lit(None).cast(origins.schema["node"].dataType).alias("via")).distinct(), "costs")
     ways = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.col("cost").alias("step")), "ways")
 
@@ -77,7 +135,9 @@ def costs(edges: DataFrame, origins: DataFrame, cutoff: float | None = None) ->
         found = functools.reduce(DataFrame.unionAll, hops).groupBy("origin", "node").agg(F.min(F.struct("cost", "via")).alias("n"))
         joined = best.withColumnRenamed("cost", "c0").withColumnRenamed("via", "via0").join(found, ["origin", "node"], "full")
         better = F.coalesce(F.col("n.cost") < F.col("c0"), F.col("c0").isNull())
-        state = materialize(joined.select("origin", "node", F.when(better, F.col("n.cost")).otherwise(F.col("c0")).alias("cost"), F.when(better, F.col("n.via")).otherwise(F.col("via0")).alias("via"), better.alias("fresh")), "costs")
+        via = F.when(better, F.col("n.via")).when(F.col("n.cost") == F.col("c0"), F.least("n.via", "via0")).otherwise(F.col("via0"))
+        via = F.when(F.col("via0").isNull() & F.col("c0").isNotNull(), F.lit(None)).otherwise(via)  # an origin has no node before
+        state = materialize(joined.select("origin", "node", F.when(better, F.col("n.cost")).otherwise(F.col("c0")).alias("cost"), via.alias("via"), better.alias("fresh")), "costs")
         best, frontier = state.drop("fresh"), state.where("fresh").drop("fresh")
         if not frontier.limit(1).count():
             return best
@@ -97,15 +157,19 @@ def closest_facility(od: DataFrame, k: int = 1) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, origin, destination) -> DataFrame:
-    """seq, node, cost along the cheapest path, empty if there is none."""
-    spark = edges.sparkSession
-    tree = costs(edges, spark.createDataFrame([(origin,)], f"node {edges.schema['u'].dataType.simpleString()}"))
-    row, rows = tree.where(F.col("node") == F.lit(destination)).head(), []
-    while row is not None:  # one small lookup per step of the path
-        rows.append((row["node"], float(row["cost"])))
-        row = tree.where(F.col("node") == F.lit(row["via"])).head() if row["via"] is not None else None
-    rows.reverse()
-    return spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(rows)], f"seq int, node {edges.schema['u'].dataType.simpleString()}, cost double")
+    """seq, node, cost along the cheapest path, empty if there is none. The way back doubles with each join."""
+    kind = edges.schema["u"].dataType.simpleString()
+    tree = materialize(costs(edges, edges.sparkSession.createDataFrame([(origin,)], f"node {kind}")), "tree")
+    up = tree.where("via is not null").select(F.col("node").alias("below"), F.col("via").alias("above"))
+    path = tree.where(F.col("node") == F.lit(destination)).select("node")
+    while True:
+        further = materialize(path.join(up, path["node"] == up["below"]).select(F.col("above").alias("node")), "path")
+        if not further.limit(1).count():
+            break
+        path = path.unionAll(further)
+        up = materialize(up.join(up.select(F.col("below").alias("above"), F.col("above").alias("top")), "above").select("below", F.col("top").alias("above")), "up")
+    rows = tree.join(path, "node", "left_semi").select("node", "cost")
+    return rows.withColumn("seq", F.row_number().over(Window.orderBy("cost", "node")) - 1).select("seq", "node", "cost")  # one path's rows
 
 
 def break_cutoff(value: float, unit: str) -> float:
@@ -144,46 +208,50 @@ def coverage(zones: DataFrame) -> DataFrame:
     return zones.agg(served.alias("served"), total.alias("total"), F.when(total > 0, 100.0 * served / total).otherwise(100.0).alias("pct"), (F.sum(F.when(F.col("served"), F.col("weight") * F.col("least"))) / served).alias("mean_cost"))
 
 
-def allocate(od: DataFrame, demand: DataFrame, candidates: list, p: int, problem: str = "p_median", cutoff: float = 900.0, exact_limit: int = 20_000) -> tuple[list, float]:
+def allocate(od: DataFrame, demand: DataFrame, candidates: list | None, p: int, problem: str = "p_median", cutoff: float = 900.0, exact_limit: int = 20_000) -> tuple[list, float]:
     """The p candidates of least weighted cost, or of most weight within the cutoff; unreachable demand costs 1e9 a unit.
 
-    All combinations are scored in one job if there are at most `exact_limit`; else greedy, then swaps while they help.
-    First best wins.
+    All combinations are scored in one job if there are at most `exact_limit`; else greedy, then swaps while they help,
+    each step one pass over the costs: a demand knows its cost without each chosen site, and a candidate's gain is
+    summed over the demands that it reaches. First best wins. Without candidates, all destinations of od are.
     """
     spark = od.sparkSession
-    scored = od.join(demand, "oid").where(F.col("did").isin(candidates)).select("oid", "did", "cost", "weight")
-    total = demand.agg(F.sum("weight")).head()[0] or 0.0
-
-    def score(sets: list[tuple]) -> list[float]:
-        rows = spark.createDataFrame([(i, c) for i, s in enumerate(sets) for c in s], f"k long, did {od.schema['did'].dataType.simpleString()}")
-        best = scored.join(F.broadcast(rows), "did").groupBy("k", "oid").agg(F.min("cost").alias("cost"), F.first("weight").alias("weight"))
-        if problem == "p_median":
-            got = best.groupBy("k").agg((F.sum(F.col("cost") * F.col("weight")) + 1e9 * (F.lit(float(total)) - F.sum("weight"))).alias("s"))
-            worst = 1e9 * total
-        else:
-            got, worst = best.where(F.col("cost") <= cutoff).groupBy("k").agg((-F.sum("weight")).cast("double").alias("s")), 0.0
-        found = dict(got.collect())  # a number per set of candidates
-        return [found.get(i, worst) for i in range(len(sets))]
-
+    candidates = sorted(r[0] for r in od.select("did").distinct().collect()) if candidates is None else list(candidates)
     p = min(p, len(candidates))
+    far, worth = (1e9, F.col("cost")) if problem == "p_median" else (1.0, F.when(F.col("cost") <= cutoff, 0.0).otherwise(1.0))
+    scored = materialize(od.join(F.broadcast(spark.createDataFrame([(c,) for c in candidates], f"did {od.schema['did'].dataType.simpleString()}")), "did").join(demand, "oid").select("oid", "did", worth.alias("u"), "weight"), "scored")
+    total = float(demand.agg(F.sum("weight")).head()[0] or 0.0)
+    shown = (lambda s: s) if problem == "p_median" else (lambda s: s - total)
+
     if math.comb(len(candidates), p) <= exact_limit:
         sets = list(itertools.combinations(candidates, p))
-        scores = score(sets)
+        rows = spark.createDataFrame([(i, c) for i, s in enumerate(sets) for c in s], f"k long, did {od.schema['did'].dataType.simpleString()}")
+        best = scored.join(F.broadcast(rows), "did").groupBy("k", "oid").agg(F.min("u").alias("u"), F.first("weight").alias("weight"))
+        found = dict(best.groupBy("k").agg(F.sum((F.lit(far) - F.least("u", F.lit(far))) * F.col("weight"))).collect())  # a number per set of candidates
+        scores = [far * total - found.get(i, 0.0) for i in range(len(sets))]
         at = min(range(len(sets)), key=lambda i: (scores[i], i))
-        return list(sets[at]), scores[at]
-    chosen: tuple = ()
+        return list(sets[at]), shown(scores[at])
+
+    def trials(kept: list[tuple]) -> list[tuple[float, int, object]]:
+        """(score, which, candidate) of every set kept[which] with one candidate more."""
+        own = scored.where(F.col("did").isin(sorted({c for s in kept for c in s}))).groupBy("oid").agg(F.map_from_entries(F.collect_list(F.struct("did", "u"))).alias("mine"))
+        without = [F.least(F.lit(far), *[F.coalesce(F.col("mine")[F.lit(c)], F.lit(far)) for c in s], F.lit(far)) for s in kept]
+        based = demand.join(own, "oid", "left").select("oid", "weight", *[w.alias(f"b{i}") for i, w in enumerate(without)])
+        bases = based.agg(*[F.sum(F.col(f"b{i}") * F.col("weight")) for i in range(len(kept))]).head()
+        gains = scored.drop("weight").join(based, "oid").groupBy("did").agg(*[F.sum(F.col("weight") * F.greatest(F.col(f"b{i}") - F.col("u"), F.lit(0.0))).alias(f"g{i}") for i in range(len(kept))])
+        return [(bases[i] - r[f"g{i}"], i, r["did"]) for r in gains.collect() for i in range(len(kept)) if r["did"] not in kept[i]]  # a row per candidate
+
+    chosen: list = []
+    best = far * total
     while len(chosen) < p:
-        sets = [(*chosen, c) for c in candidates if c not in chosen]
-        scores = score(sets)
-        chosen = sets[min(range(len(sets)), key=lambda i: (scores[i], i))]
-    best = score([chosen])[0]
+        best, _, more = min(trials([tuple(chosen)]))
+        chosen.append(more)
     while True:
-        sets = [tuple(c if x == out else x for x in chosen) for out in chosen for c in candidates if c not in chosen]
-        scores = score(sets) if sets else []
-        at = min(range(len(sets)), key=lambda i: (scores[i], i), default=-1)
-        if at < 0 or scores[at] >= best - 1e-9:
-            return list(chosen), best
-        chosen, best = sets[at], scores[at]
+        found = [x for x in trials([tuple(c for c in chosen if c != out) for out in chosen]) if x[2] not in chosen]
+        if not found or min(found)[0] >= best - 1e-9:
+            return list(chosen), shown(best)
+        best, out, more = min(found)
+        chosen[out] = more
 
 
 def route(matrix: list[list[float]], start: int = 0, closed: bool = True, scans: int = 100) -> tuple[list[int], float]:
@@ -195,20 +263,28 @@ def route(matrix: list[list[float]], start: int = 0, closed: bool = True, scans:
         tour.append(nxt)
         left.remove(nxt)
 
-    def length(t: list[int]) -> float:
-        return sum(matrix[a][b] for a, b in zip(t, t[1:] + t[:1] if closed else t[1:], strict=False))
+    def sums(t: list[int]) -> tuple[list[float], list[float]]:
+        """Costs along the tour up to each place, onward and backward."""
+        steps = list(itertools.pairwise(t))
+        return [0.0, *itertools.accumulate(matrix[a][b] for a, b in steps)], [0.0, *itertools.accumulate(matrix[b][a] for a, b in steps)]
 
-    best = length(tour)
-    for _ in range(scans):
-        improved = False
+    def improvement() -> tuple[int, int] | None:
+        onward, backward = sums(tour)
         for i, j in itertools.combinations(range(1, n), 2):
-            other = tour[:i] + tour[i : j + 1][::-1] + tour[j + 1 :]
-            if (got := length(other)) < best - 1e-4:
-                tour, best, improved = other, got, True
-                break
-        if not improved:
+            before, first, last = tour[i - 1], tour[i], tour[j]
+            after = tour[j + 1] if j + 1 < n else tour[0] if closed else None
+            old = matrix[before][first] + onward[j] - onward[i] + (matrix[last][after] if after is not None else 0.0)
+            new = matrix[before][last] + backward[j] - backward[i] + (matrix[first][after] if after is not None else 0.0)
+            if new < old - 1e-4:
+                return i, j
+        return None
+
+    for _ in range(scans):
+        if (swap := improvement()) is None:
             break
-    return tour, best
+        i, j = swap
+        tour[i : j + 1] = tour[i : j + 1][::-1]
+    return tour, sums(tour)[0][-1] + (matrix[tour[-1]][tour[0]] if closed else 0.0)
 
 
 def turn_edges(nodes: DataFrame, edges: DataFrame, penalty: float, angle: float = 25.0) -> DataFrame:
@@ -220,3 +296,73 @@ def turn_edges(nodes: DataFrame, edges: DataFrame, penalty: float, angle: float
     first, second = e.select(F.col("state").alias("s1"), F.col("v").alias("mid"), F.col("bearing").alias("b1")), e.select(F.col("state").alias("s2"), F.col("u").alias("mid"), F.col("bearing").alias("b2"), "cost")
     turn = F.abs(F.pmod(F.col("b2") - F.col("b1") + 180.0, F.lit(360.0)) - 180.0)
     return first.join(second, "mid").select(F.col("s1").alias("u"), F.col("s2").alias("v"), (F.col("cost") + F.when(turn > angle, penalty).otherwise(0.0)).alias("cost"))
+
+
+def split_crossings(lines: DataFrame, cell: float = 0.01) -> DataFrame:
+    """lines (fid, points, ...) with a vertex more at every place where steps of two lines, or of one, cross or touch.
+
+    Steps meet by an equi-join on grid cells; a step's cuts are sorted along it. Ends that only touch are cut too.
+    """
+    steps = lines.select("fid", F.posexplode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b"))).alias("k", "s"))
+    flat = steps.select("fid", "k", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+    span = lambda p, q: F.sequence(F.floor(F.least(p, q) / cell), F.floor(F.greatest(p, q) / cell))
+    celled = materialize(flat.withColumn("_cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2")))), "steps")
+    other = celled.select("_cx", "_cy", *[F.col(c).alias(f"o_{c}") for c in ("fid", "k", "x1", "y1", "x2", "y2")])
+    dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
+    den = dx * ey - dy * ex
+    px, py = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")
+    t, u = (px * ey - py * ex) / F.when(den != 0, den), (px * dy - py * dx) / F.when(den != 0, den)
+    pairs = celled.join(other, ["_cx", "_cy"]).where("fid <> o_fid or k <> o_k").select("fid", "k", "x1", "y1", "x2", "y2", t.alias("t"), u.alias("u"))
+    cuts = pairs.where("t > 1e-9 and t < 1 - 1e-9 and u > -1e-9 and u < 1 + 1e-9").groupBy("fid", "k").agg(F.array_sort(F.collect_set(F.round("t", 9))).alias("cuts"))
+    cut = flat.join(cuts, ["fid", "k"], "left")
+    inner = F.transform(F.coalesce("cuts", F.array().cast("array<double>")), lambda t: F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y")))
+    start, end = (F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))) for a, b in (("x1", "y1"), ("x2", "y2")))
+    last = cut.withColumn("pts", F.concat(start, inner)).withColumn("end", end)
+    joined = last.groupBy("fid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "pts"))), lambda x: x["pts"])).alias("head"), F.max_by("end", "k").alias("tail"))
+    return lines.drop("points").join(joined, "fid").select(*[c for c in lines.columns if c != "points"], F.concat("head", "tail").alias("points"))
+
+
+def turn_aware_path(nodes: DataFrame, edges: DataFrame, origin, destination, penalty: float, angle: float = 25.0) -> DataFrame:
+    """seq, node, cost, turn along the path that is cheapest with turns over `angle` degrees costing `penalty`; turn is the bearing's change.
+
+    The search runs over edges: a start leads to every edge out of the origin.
+    """
+    line = materialize(turn_edges(nodes, edges, penalty, angle), "turns")
+    begin = edges.where(F.col("u") == F.lit(origin)).select(F.lit("start").alias("u"), F.concat_ws(">", "u", "v").alias("v"), "cost")
+    every = materialize(line.select("u", "v", "cost").unionByName(begin), "line")
+    reached = costs(every, edges.sparkSession.createDataFrame([("start",)], "node string"))
+    best = reached.where(F.get(F.split("node", ">"), 1) == F.lit(str(destination))).orderBy("cost", "node").head()
+    spark = edges.sparkSession
+    if best is None:
+        return spark.createDataFrame([], "seq long, node string, cost double, turn string")
+    path = shortest_path(every, "start", best["node"]).where("node <> 'start'")
+    to = F.get(F.split("node", ">"), 1)
+    w = Window.orderBy("seq")
+    a, b = nodes.select(F.col("node").cast("string").alias("from"), F.col("x").alias("ax"), F.col("y").alias("ay")), nodes.select(F.col("node").cast("string").alias("to"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    legs = path.withColumn("from", F.get(F.split("node", ">"), 0)).withColumn("to", to).join(a, "from").join(b, "to")
+    bearing = F.pmod(F.degrees(F.atan2((F.col("bx") - F.col("ax")) * F.cos(F.radians((F.col("ay") + F.col("by")) / 2)), F.col("by") - F.col("ay"))), F.lit(360.0))
+    change = F.pmod(F.col("bearing") - F.lag("bearing").over(w) + 180.0, F.lit(360.0)) - 180.0
+    way = F.when(F.abs("change") <= angle, "straight").when(F.col("change") > 0, "right").otherwise("left")
+    return legs.withColumn("bearing", bearing).withColumn("change", change).select("seq", F.col("to").alias("node"), "cost", F.coalesce(F.when(F.col("change").isNotNull(), way), F.lit("start")).alias("turn"))  # one path's rows
+
+
+def isochrones(nodes: DataFrame, edges: DataFrame, facilities: DataFrame, minutes: float, mode: str = "walking") -> DataFrame:
+    """facility, n_nodes, farthest (m), ring, area: nodes within the mode's reach of each facility (node), and their convex hull."""
+    from .geometry import convex_hull
+
+    reach = MODES[mode] * minutes
+    got = costs(edges.select("u", "v", F.col("length_m").alias("cost")), facilities.select("node"), reach)
+    placed = got.join(nodes.select("node", "x", "y"), "node")
+    counts = got.groupBy(F.col("origin").alias("facility")).agg(F.count("*").alias("n_nodes"), F.max("cost").alias("farthest"))
+    return counts.join(convex_hull(placed, "origin", "x", "y").withColumnRenamed("origin", "facility"), "facility", "left")
+
+
+#: Kilometres an hour of a straight-line service area.
+AREA_SPEEDS = {"walking": 5.0, "cycling": 15.0, "driving": 40.0}
+
+
+def travel_areas(points: DataFrame, minutes: float, mode: str = "walking") -> DataFrame:
+    """Points (mx, my) with the disc that the mode's speed reaches in the time, as `ring`."""
+    from .geometry import buffer_points
+
+    return buffer_points(points, AREA_SPEEDS[mode] * 1000.0 * minutes / 60.0)

@@ -118,7 +118,7 @@ def _coverage(s, d):
 def _allocate(problem):
     def run(s, d):
         od, dem, _ = _whole_od(s, d)
-        chosen, score = N.allocate(od, dem.select("oid", "weight"), list(range(1, 13)), 3, problem)
+        chosen, score = N.allocate(od, dem.select("oid", "weight"), None, 3, problem)
         return s.createDataFrame([(c, round(score, 1)) for c in sorted(chosen)], "did long, score double")
 
     return run
@@ -152,7 +152,7 @@ def _built(s, d):
 def _route(s, d):
     od, _, fac = _whole_od(s, d)
     _, e = I.grid_edges(s)
-    stops = [r[0] for r in fac.select("node").distinct().orderBy("node").limit(12).collect()]
+    stops = [r[0] for r in fac.select("node").distinct().orderBy("node").collect()]  # at most the grid's nodes
     pts = s.createDataFrame([(i, n) for i, n in enumerate(stops)], "oid long, node long")
     m = {(r[0], r[1]): r[2] for r in N.od_matrix(e, pts, pts.withColumnRenamed("oid", "did")).collect()}  # a stop table, square of its stops
     tour, length = N.route([[m[i, j] for j in range(len(stops))] for i in range(len(stops))])
@@ -187,7 +187,7 @@ PLANS = {
     "accessibility_2sfca": (_access("2sfca"), sql(_NET + ", near AS (SELECT oid, did, round(cost,3) AS cost FROM od WHERE round(cost,3) <= 900), ratio AS (SELECT did, any_value(capacity)/sum(weight) AS ratio FROM near JOIN dp ON dp.fid = oid JOIN fp ON fp.fid = did GROUP BY 1), g AS (SELECT oid, sum(ratio) AS score, min(cost) AS least FROM near JOIN ratio USING (did) GROUP BY 1) SELECT fid AS oid, round(coalesce(score,0),6) AS score, least, coalesce(score,0) > 0 AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
     "accessibility_circle": (_access("15min_circle"), sql(_NET + ", g AS (SELECT oid, min(round(cost,3)) AS least FROM od WHERE round(cost,3) <= 900 GROUP BY 1) SELECT fid AS oid, CASE WHEN least IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score, least, least IS NOT NULL AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
     "accessibility_coverage": (_coverage, sql(_NET + ", g AS (SELECT oid, min(round(cost,3)) AS least FROM od WHERE round(cost,3) <= 600 GROUP BY 1) SELECT sum(CASE WHEN least IS NOT NULL THEN weight ELSE 0 END) AS served, sum(weight) AS total, round(100.0::DOUBLE*sum(CASE WHEN least IS NOT NULL THEN weight ELSE 0 END)/sum(weight),3) AS pct, round(sum(weight*least)/sum(CASE WHEN least IS NOT NULL THEN weight ELSE 0 END),3) AS mean_cost FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
-    "allocation_p_median": (_allocate("p_median"), sql(_NET + ", c AS (SELECT a.fid AS a, b.fid AS b, c.fid AS c FROM fp a JOIN fp b ON a.fid < b.fid JOIN fp c ON b.fid < c.fid WHERE c.fid <= 12), s AS (SELECT a, b, c, sum(best*weight) AS score FROM (SELECT a, b, c, oid, min(cost) AS best FROM c JOIN od ON did IN (a,b,c) GROUP BY 1,2,3,4) JOIN dp ON fid = oid GROUP BY 1,2,3 ORDER BY score, a, b, c LIMIT 1) SELECT unnest([a,b,c]) AS did, round(score,1) AS score FROM s", "edges", "facilities", "demand", recursive=True)),
+    "allocation_p_median": (_allocate("p_median"), None),
     "allocation_max_coverage": (_allocate("max_coverage"), None),
     "network_shortest_path": (_path, None),
     "network_service_area": (_service, sql(_NET + " SELECT o AS facility, brk AS break, count(DISTINCT best.node) AS n_nodes, round(sum(least(e.cost, brk-best.cost)),2) AS reach FROM best JOIN (VALUES (300.0::DOUBLE),(900.0::DOUBLE)) b(brk) ON best.cost <= brk LEFT JOIN edges e ON e.u = best.node GROUP BY 1, 2", "edges", "facilities", "demand", recursive=True)),
