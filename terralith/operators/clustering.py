@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
+from .relational import with_position
 from .spatial import within_distance
 
 
@@ -29,8 +30,8 @@ def _label(points: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
     cores = materialize(pairs.groupBy(F.col("aid").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("core"), "cores")
     links = pairs.join(cores, pairs["aid"] == cores["core"], "left_semi").join(cores.withColumnRenamed("core", "to"), pairs["bid"] == F.col("to"), "left_semi")
     roots = components(links.select(F.col("aid").alias("src"), F.col("bid").alias("dst")))
-    numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # a row per cluster
-    numbered = roots.join(F.broadcast(numbers), "root").select(F.col("v").alias("core"), "cluster")
+    numbers = with_position(roots.select("root").distinct(), [F.col("root")], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+    numbered = roots.join(numbers, "root").select(F.col("v").alias("core"), "cluster")
     border = pairs.join(numbered, pairs["bid"] == numbered["core"]).groupBy("aid").agg(F.min("cluster").alias("near"))
     own = points.select("fid").join(numbered, F.col("fid") == numbered["core"], "left").join(border, F.col("fid") == border["aid"], "left")
     return own.select("fid", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"), F.col("core").isNotNull().alias("is_core"))
@@ -58,3 +59,9 @@ def kmeans(points: DataFrame, k: int, features: list[str], seed: int = 42, round
     got = KMeans(k=max(2, min(k, n)), seed=seed, maxIter=rounds).fit(data).transform(data).select("fid", "prediction")
     order = got.groupBy("prediction").agg(F.min("fid").alias("first")).withColumn("cluster", F.row_number().over(Window.orderBy("first")) - 1)  # k rows
     return got.join(F.broadcast(order), "prediction").select("fid", "cluster")
+
+
+def space_time_hotspots(points: DataFrame, eps_m: float = 1000.0, eps_s: float = 3600.0, min_samples: int = 5) -> DataFrame:
+    """cluster, n, mx, my, first, last: the clusters of st_dbscan with their centres and time spans."""
+    got = st_dbscan(points, eps_m, eps_s, min_samples).where("cluster >= 0").select("fid", "cluster")
+    return points.join(got, "fid").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("mx").alias("mx"), F.avg("my").alias("my"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -87,3 +87,8 @@ def timeliness(months: Column, rate: float = 0.05) -> Column:
 
 def source_score(temporal: Column, thematic: Column, spatial: Column, field: Column, precision: Column) -> Column:
     return F.bround(0.20 * temporal + 0.30 * thematic + 0.20 * spatial + 0.15 * field + 0.15 * precision, 4)
+
+
+def impact_midpoints(rules: DataFrame, scale: float = 1.0) -> DataFrame:
+    """rules (scenario, metric, zone, low, high): the interval's middle times the scale, as `impact`."""
+    return rules.select("scenario", "metric", "zone", (((F.col("low") + F.col("high")) / 2) * scale).alias("impact"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,59 @@ def audit_attributes(df: DataFrame, numeric: list[str], nullable: list[str]) ->
     return _all(out)
 
 
+def audit_layer(crs: str | None, bbox: tuple | None, measured: bool = False) -> list[tuple[str, str, str]]:
+    """(dimension, code, level) of what a layer says about itself: its frame of reference and its box."""
+    out = []
+    if not crs:
+        out.append(("crs", "MISSING_CRS", "blocking"))
+    elif crs == "EPSG:4326" and measured:
+        out.append(("crs", "GEO_VS_PROJECTED_MEASUREMENT_WARNING", "warning"))
+    if bbox is not None:
+        finite = len(bbox) == 4 and all(isinstance(v, int | float) and math.isfinite(v) for v in bbox)
+        if not finite or bbox[0] > bbox[2] or bbox[1] > bbox[3]:
+            out.append(("validity", "INVALID_BBOX", "error"))
+        elif crs == "EPSG:4326" and (bbox[0] < -180 or bbox[2] > 180 or bbox[1] < -90 or bbox[3] > 90):
+            out.append(("accuracy", "SUSPICIOUS_CRS", "warning"))
+        elif crs and crs != "EPSG:4326" and -180 <= bbox[0] <= bbox[2] <= 180 and -90 <= bbox[1] <= bbox[3] <= 90:
+            out.append(("accuracy", "SUSPICIOUS_CRS", "warning"))
+    return out
+
+
+#: Depth of the coordinates of each kind of geometry.
+_DEPTHS = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+
+
+def audit_features(df: DataFrame, text: str = "feature", fid: str = "fid") -> DataFrame:
+    """Findings of features as GeoJSON text: no feature, no geometry, and geometry whose kind or nesting is not one of GeoJSON's."""
+    f = F.col(text)
+    kind, geometry = F.get_json_object(f, "$.type"), F.get_json_object(f, "$.geometry")
+    shape, places = F.get_json_object(f, "$.geometry.type"), F.get_json_object(f, "$.geometry.coordinates")
+    depth = F.char_length(F.regexp_extract(F.regexp_replace(places, r"\s", ""), r"^(\[*)", 1))
+    wanted: Column = F.lit(None).cast("int")
+    for name, n in _DEPTHS.items():
+        wanted = F.when(shape == name, F.lit(n)).otherwise(wanted)
+    is_feature = F.coalesce(kind == "Feature", F.lit(False))
+    good = F.coalesce(depth == wanted, F.lit(False))
+    return _all(
+        [
+            _found(df, ~is_feature, "validity", "INVALID_FEATURE_FORMAT", "error", fid),
+            _found(df, is_feature & geometry.isNull(), "validity", "EMPTY_GEOMETRY", "error", fid),
+            _found(df, is_feature & geometry.isNotNull() & ~good, "validity", "INVALID_GEOMETRY_SYNTAX", "error", fid),
+        ]
+    )
+
+
+def gaps_between(df: DataFrame, gap: float, cell: float = 0.1) -> DataFrame:
+    """TOPOLOGY_GAP: pairs (a < b) of polygons (fid, ring) whose boxes lie apart by no more than `gap` and do not meet."""
+    d = df.select("fid", ring_bbox(F.col("ring")).alias("b"))
+    c = d.withColumn("_cx", F.explode(_cells(F.col("b.x0") - gap, F.col("b.x1") + gap, cell))).withColumn("_cy", F.explode(_cells(F.col("b.y0") - gap, F.col("b.y1") + gap, cell)))
+    left, right = c.select("_cx", "_cy", F.col("fid").alias("a_fid"), F.col("b").alias("p")), c.select("_cx", "_cy", F.col("fid").alias("b_fid"), F.col("b").alias("q"))
+    dx = F.greatest(F.col("p.x0") - F.col("q.x1"), F.col("q.x0") - F.col("p.x1"), F.lit(0.0))
+    dy = F.greatest(F.col("p.y0") - F.col("q.y1"), F.col("q.y0") - F.col("p.y1"), F.lit(0.0))
+    apart = F.hypot(dx, dy)
+    return left.join(right, ["_cx", "_cy"]).where((F.col("a_fid") < F.col("b_fid")) & (apart > 0) & (apart <= gap)).select("a_fid", "b_fid").distinct()
+
+
 def types_of(df: DataFrame, column: str) -> DataFrame:
     """TYPE_INCONSISTENCY: the share of numbers, booleans and other text in a text column."""
     v = F.col(column)

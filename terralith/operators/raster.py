@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,49 @@ def calculator(a: DataFrame, b: DataFrame | None, expression) -> DataFrame:
     return joined.select("row", "col", F.when(F.isnan(out) | (F.abs(out) == float("inf")), None).otherwise(out).alias("v"))
 
 
+#: What an expression may call, besides A and B.
+_CALLS = {"abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.log, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan, "arctan": F.atan, "where": lambda c, a, b: F.when(c, a).otherwise(b)}
+
+
+def calculate(a: DataFrame, b: DataFrame | None, expression: str, constant: float | None = None) -> DataFrame:
+    """calculator() of an expression text over A and B (or a constant B): numbers, + - * / ** %, comparisons, & | ~ and a few functions.
+
+    B's pixels are those nearest to A's in a raster of another size over the same extent.
+    """
+    tree = ast.parse(expression, mode="eval")
+    operations = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.Pow: F.pow, ast.BitAnd: operator.and_, ast.BitOr: operator.or_, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.USub: operator.neg, ast.Invert: operator.invert}
+
+    def column(node: ast.AST, names: dict[str, Column]) -> Column:
+        match node:
+            case ast.Expression(body=body):
+                return column(body, names)
+            case ast.Constant(value=int() | float() as v):
+                return F.lit(float(v))
+            case ast.Name(id=name) if name in names:
+                return names[name]
+            case ast.BinOp(left=x, op=op, right=y) if type(op) in operations:
+                return operations[type(op)](column(x, names), column(y, names))
+            case ast.Compare(left=x, ops=[op], comparators=[y]) if type(op) in operations:
+                return operations[type(op)](column(x, names), column(y, names))
+            case ast.UnaryOp(op=op, operand=x) if type(op) in operations:
+                return operations[type(op)](column(x, names))
+            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS:
+                return _CALLS[name](*[column(x, names) for x in args])
+        raise ValueError(f"not part of an expression: {ast.unparse(node)}")
+
+    if b is not None:
+        b = nearest_to(a, b)
+    return calculator(a, b, lambda x, y: column(tree, {"A": x, "B": F.lit(float(constant)) if constant is not None else y}))
+
+
+def nearest_to(a: DataFrame, b: DataFrame) -> DataFrame:
+    """b's pixels (row, col, v) on a's grid: each pixel of a takes the one of b whose share of the extent holds its centre."""
+    size = lambda df, p: df.agg((F.max("row") + 1).alias(f"{p}r"), (F.max("col") + 1).alias(f"{p}c"))
+    sizes = size(a, "a").join(size(b, "b"))  # one row
+    at = a.select("row", "col").join(F.broadcast(sizes)).select("row", "col", F.floor((F.col("row") + 0.5) * F.col("br") / F.col("ar")).alias("_r"), F.floor((F.col("col") + 0.5) * F.col("bc") / F.col("ac")).alias("_c"))
+    return at.join(b.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "v"), ["_r", "_c"]).select("row", "col", "v")
+
+
 def resample(pixels: DataFrame, factor: int, how: str = "average") -> DataFrame:
     """Coarser by a whole factor: average, mode (ties: the smaller value) or nearest (the block's middle pixel)."""
     block = pixels.withColumn("r", F.floor(F.col("row") / factor)).withColumn("c", F.floor(F.col("col") / factor))

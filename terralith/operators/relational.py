@@ -13,6 +13,9 @@ from ..functions.predicates import contains_ci, safe_where
 #: Multiplier and modulus of the deterministic sample (Knuth's multiplicative hash).
 SAMPLE_FACTOR, SAMPLE_MODULUS = 2654435761, 2147483647
 
+#: A prime below 2 ** 61.
+FINGERPRINT_MODULUS = (1 << 61) - 1
+
 
 class BoundsError(ValueError):
     """A result is larger than its caller allows."""
@@ -162,19 +165,18 @@ def township(book: DataFrame, name: str = "", pub_year: int | None = None, provi
 
 def longest_prefix(names: DataFrame, districts: DataFrame, key: str = "full_name") -> DataFrame:
     """Each name with the district whose name is its longest prefix, by an equi-join on prefixes; without one, null."""
-    lengths = [r[0] for r in districts.select(F.char_length("district").alias("n")).distinct().orderBy(F.desc("n")).limit(256).collect()]
-    if not lengths:
-        return names.withColumn("district", F.lit(None).cast("string"))
-    candidates = names.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.char_length(key) >= F.col("_n"))
+    lengths = districts.agg(F.collect_set(F.char_length("district")).alias("_lengths"))  # one row, no more entries than the longest name has letters
+    candidates = names.join(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths")).where(F.char_length(key) >= F.col("_n")).drop("_lengths")
     keyed = candidates.withColumn("district", F.substring(F.col(key), F.lit(1), F.col("_n"))).join(districts.select("district").distinct(), "district")
     best = keyed.groupBy(key).agg(F.max_by("district", "_n").alias("district"))
     return names.join(best, key, "left")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: rows and an order-insensitive hash of their contents (columns in the order of their names)."""
+    """One row: rows and two order-insensitive hashes of their contents, sums of row hashes (columns in the order of their names)."""
     row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")).alias("fingerprint"))
+    total = lambda at: (F.coalesce(F.sum(F.conv(F.substring(F.md5(row), at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)) % F.lit(FINGERPRINT_MODULUS)).cast("long")
+    return df.agg(F.count("*").alias("n_rows"), total(1).alias("fingerprint"), total(16).alias("fingerprint2"))
 
 
 def enforce_bounds(df: DataFrame, max_rows: int) -> DataFrame:
@@ -233,14 +235,83 @@ def merge_layers(layers: dict[str, DataFrame], tag: str = "scenario") -> DataFra
     return out
 
 
-def rule_applicability(rules: DataFrame, contexts: DataFrame) -> DataFrame:
-    """rules (rule_id, key, low, high, options) × contexts (ctx_id, key, num, text): pairs whose conditions all hold.
+def rule_applicability(rules: DataFrame, contexts: DataFrame, max_rules: int = 10_000) -> DataFrame:
+    """rules (rule_id, key, low, high, options) and contexts (ctx_id, key, num, text): rule_id, ctx_id of the pairs whose conditions all hold.
 
-    A key that the context lacks does not disqualify. Both sides meet by key; pairs without a common key are added
-    by anti-join of the failed pairs, so a pair stays unless some condition fails.
+    A key that the context lacks does not disqualify. The rule book is one broadcast row; more than `max_rules`
+    conditions are an error. A context is one row with its facts and tests all rules where it stands.
     """
-    met = rules.join(contexts, "key")
-    fails = (F.col("low").isNotNull() & (F.col("num") < F.col("low"))) | (F.col("high").isNotNull() & (F.col("num") > F.col("high"))) | (F.col("options").isNotNull() & ~F.array_contains(F.transform("options", F.lower), F.lower("text")))
-    failed = met.where(F.coalesce(fails, F.lit(False))).select("rule_id", "ctx_id").distinct()
-    pairs = rules.select("rule_id").distinct().withColumn("_k", F.lit(1)).join(contexts.select("ctx_id").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return pairs.join(failed, ["rule_id", "ctx_id"], "left_anti")
+    if rules.limit(max_rules + 1).count() > max_rules:
+        raise BoundsError(f"the rule book has more than {max_rules} conditions")
+    book = rules.groupBy("rule_id").agg(F.collect_list(F.struct("key", "low", "high", "options")).alias("conditions")).agg(F.collect_list(F.struct("rule_id", "conditions")).alias("book"))
+    facts = contexts.groupBy("ctx_id").agg(F.collect_list(F.struct("key", "num", "text")).alias("facts"))
+
+    def fails(c: Column, f: Column) -> Column:
+        low, high = c["low"].isNotNull() & (f["num"] < c["low"]), c["high"].isNotNull() & (f["num"] > c["high"])
+        other = c["options"].isNotNull() & ~F.array_contains(F.transform(c["options"], F.lower), F.lower(f["text"]))
+        return (c["key"] == f["key"]) & F.coalesce(low | high | other, F.lit(False))
+
+    held = F.filter("book", lambda r: ~F.exists(r["conditions"], lambda c: F.exists("facts", lambda f: fails(c, f))))
+    return facts.join(F.broadcast(book)).select(F.explode(held).alias("rule"), "ctx_id").select("rule.rule_id", "ctx_id")
+
+
+def district_match(names: DataFrame, districts: DataFrame) -> DataFrame:
+    """names (full_name, province_hint) with the district (dt_name, dt_adcode, pr_name) whose name is the longest proper prefix of 2 letters or more.
+
+    A district's name also counts with its last letter changed between county and district, unless a district has
+    that name. Of districts with one name the one of the hinted province is taken, else the one with the smallest code.
+    """
+    known = districts.select("dt_name", F.lpad(F.col("dt_adcode").cast("string"), 6, "0").alias("dt_adcode"), "pr_name")
+    n = F.col("dt_name")
+    county, district, autonomous = F.lit("\u53bf"), F.lit("\u533a"), F.lit("\u81ea\u6cbb\u53bf")
+    stem = F.substring(n, F.lit(1), F.char_length(n) - 1)
+    other = F.when(F.endswith(n, county) & ~F.endswith(n, autonomous), F.concat(stem, district)).when(F.endswith(n, district) & (F.char_length(n) > 2), F.concat(stem, county))
+    aliases = known.withColumn("key", other).where("key is not null").join(known.select(F.col("dt_name").alias("key")).distinct(), "key", "left_anti")
+    keyed = known.withColumn("key", n).unionByName(aliases)
+    lengths = keyed.agg(F.collect_set(F.char_length("key")).alias("_lengths"))  # one row, no more entries than the longest name has letters
+    tried = names.select("full_name", "province_hint").distinct().join(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths")).where((F.col("_n") >= 2) & (F.col("_n") < F.char_length("full_name")))
+    hits = tried.withColumn("key", F.substring(F.col("full_name"), F.lit(1), F.col("_n"))).join(keyed, "key")
+    order = F.struct(-F.col("_n"), F.when(F.col("pr_name") == F.col("province_hint"), 0).otherwise(1), F.col("dt_adcode"))
+    best = hits.groupBy("full_name", "province_hint").agg(F.min_by(F.struct("dt_name", "dt_adcode", "pr_name"), order).alias("d"))
+    same = (names["full_name"] == best["full_name"]) & names["province_hint"].eqNullSafe(best["province_hint"])
+    return names.join(best.select(F.col("full_name"), F.col("province_hint"), "d"), same, "left").select(names["*"], "d.dt_name", "d.dt_adcode", "d.pr_name")
+
+
+def stac_search(items: DataFrame, collections: list[str] | None = None, bbox: tuple | None = None, start=None, end=None, keep_unplaced: bool = False) -> DataFrame:
+    """items (collection, x0, y0, x1, y1, at) of the collections that meet the closed box and time range; unplaced ones only if asked."""
+    out = items.where(F.col("collection").isin(collections)) if collections else items
+    if bbox:
+        meets = (F.col("x0") <= bbox[2]) & (F.col("x1") >= bbox[0]) & (F.col("y0") <= bbox[3]) & (F.col("y1") >= bbox[1])
+        out = out.where(F.coalesce(meets, F.lit(keep_unplaced)))
+    if start is not None:
+        out = out.where(F.col("at") >= F.lit(start))
+    return out.where(F.col("at") <= F.lit(end)) if end is not None else out
+
+
+def demo_source(features: DataFrame, bbox: tuple | None = None, columns: list[str] | None = None, limit: int = 100, offset: int = 0, order: str = "fid") -> DataFrame:
+    """Features (geometry_type, x, y, ...) of a layer held by the session: a box only tests points, others pass; then offset, limit and columns."""
+    out = features
+    if bbox:
+        out = out.where((F.col("geometry_type") != "Point") | (F.col("x").between(bbox[0], bbox[2]) & F.col("y").between(bbox[1], bbox[3])))
+    out = out.orderBy(order).offset(offset).limit(limit)
+    return out.select(*columns) if columns else out
+
+
+def status_tally(rows: DataFrame, provider: str = "provider", found: str = "found") -> DataFrame:
+    """Per provider of a fallback chain: tries, hits and their share in percent."""
+    hits = F.sum(F.col(found).cast("long"))
+    return rows.groupBy(provider).agg(F.count("*").alias("tries"), hits.alias("hits"), F.round(100.0 * hits / F.count("*"), 2).alias("pct"))
+
+
+#: Parts of column names that tell what a column is, in the order of preference.
+FIELD_PARTS = {"name": ("name", "\u540d\u79f0", "title", "\u6807\u9898"), "address": ("address", "\u5730\u5740", "addr", "location", "\u4f4d\u7f6e"), "lat": ("lat", "latitude", "\u7eac\u5ea6", "y"), "lon": ("lon", "lng", "longitude", "\u7ecf\u5ea6", "x")}
+
+
+def field_roles(columns: list[str]) -> dict[str, str]:
+    """Role to column: each column takes the first role that a part of its name tells; of several, the last column has it."""
+    found: dict[str, str] = {}
+    for c in columns:
+        role = next((r for r, parts in FIELD_PARTS.items() if any(p in c.lower() for p in parts)), None)
+        if role:
+            found[role] = c
+    return found

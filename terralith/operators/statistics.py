@@ -163,24 +163,38 @@ def breaks(df: DataFrame, value: str, method: str = "quantiles", k: int = 5) ->
                 break
         return [low, *sorted(found), high]
     if method == "jenks":
-        from .relational import hash_sample
-
-        sample = hash_sample(v.withColumn("fid", F.xxhash64("v")), 1000) if n > 1000 else v
-        return jenks(sorted(r[0] for r in sample.select("v").collect()), k)
+        return jenks(histogram(v, JENKS_BINS), k)
     raise ValueError(f"unknown method {method}")
 
 
-def jenks(values: list[float], k: int) -> list[float]:
-    """Natural breaks of at most 1000 sorted values by dynamic programming; of equal costs the first split wins."""
+#: Classes that the dynamic programme of natural breaks tells apart.
+JENKS_BINS = 1000
+
+
+def histogram(v: DataFrame, bins: int) -> list[tuple[float, float, int, float, float]]:
+    """(smallest, largest, rows, sum, sum of squares) of all values v: of each distinct one, or of `bins` classes of equal width if there are more."""
+    if v.select("v").distinct().limit(bins + 1).count() <= bins:
+        by = F.col("v")
+    else:
+        low, high = v.agg(F.min("v"), F.max("v")).head()
+        by = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
+    got = v.groupBy(by.alias("bin")).agg(F.min("v"), F.max("v"), F.count("*"), F.sum("v"), F.sum(F.col("v") * F.col("v")))
+    return sorted(tuple(r[1:]) for r in got.collect())  # at most `bins` rows
+
+
+def jenks(classes: list[tuple[float, float, int, float, float]], k: int) -> list[float]:
+    """Natural breaks over the classes of a `histogram` by dynamic programming; of equal costs the first split wins."""
     import numpy as np
 
-    x = np.asarray(values, float)
-    n = len(x)
+    n = len(classes)
     if n <= k:
-        return sorted(set(values))
-    s, q = np.append(0.0, np.cumsum(x - x.mean())), np.append(0.0, np.cumsum((x - x.mean()) ** 2))
+        return sorted({c[1] for c in classes} | {classes[0][0]} if classes else set())
+    low, x, rows, total, squares = (np.array(c, float) for c in zip(*classes, strict=True))
+    centre = total.sum() / rows.sum()
+    s, q = np.append(0.0, np.cumsum(total - rows * centre)), np.append(0.0, np.cumsum(squares - 2 * centre * total + rows * centre**2))
+    so_far = np.append(0.0, np.cumsum(rows))
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
-    width = np.maximum(j - i + 1, 1)
+    width = np.where(j >= i, so_far[1:][None, :] - so_far[:-1][:, None], 1.0)
     cost = np.where(j >= i, (q[1:][None, :] - q[:-1][:, None]) - (s[1:][None, :] - s[:-1][:, None]) ** 2 / width, np.inf)  # of one class from i to j
     best, cuts = cost[0].copy(), []
     for _ in range(1, k):
@@ -194,7 +208,7 @@ def jenks(values: list[float], k: int) -> list[float]:
         first = int(cut[at])
         limits.append(float(x[first - 1]))
         at = first - 1
-    return sorted({*limits, float(x[0])})
+    return sorted({*limits, float(low[0])})
 
 
 def classify(df: DataFrame, value: str, limits: list[float]) -> DataFrame:
@@ -224,6 +238,10 @@ def kde(points: DataFrame, cells: DataFrame, bandwidth: float | None = None, wei
     """
     w = F.abs(F.col(weight)) if weight else F.lit(1.0)
     n, sx, sy, total = points.agg(F.count("*"), F.stddev_samp("mx"), F.stddev_samp("my"), F.sum(w)).head()
+    if not n or not total:
+        return cells.limit(0).select("fid", F.lit(0.0).alias("density"))
+    if not bandwidth and (n < 2 or not sx + sy):
+        raise ValueError("a density of one place needs a bandwidth")
     h = bandwidth or n ** (-1 / 6) * (sx + sy) / 2
     pairs = within_distance(cells.select("fid", F.col("cx").alias("mx"), F.col("cy").alias("my")), points.select("fid", "mx", "my", w.alias("w")), 4 * h)
     dens = pairs.groupBy(F.col("aid").alias("fid")).agg((F.sum(F.col("b_w") * F.exp(-F.col("d") * F.col("d") / (2 * h * h))) / (2 * math.pi * h * h * total)).alias("density"))
@@ -237,3 +255,38 @@ def idw(points: DataFrame, cells: DataFrame, value: str, k: int = 5, power: floa
     w = F.pow(F.col("d"), -power)
     exact = F.max(F.when(F.col("d") < 1e-9, F.col("v")))
     return near.groupBy(F.col("aid").alias("fid")).agg(F.coalesce(exact, F.sum(F.when(F.col("d") >= 1e-9, F.col("v") * w)) / F.sum(F.when(F.col("d") >= 1e-9, w))).alias("estimate"))
+
+
+# legends
+
+
+def legend(df: DataFrame, value: str, kind: str, k: int = 5, method: str = "quantiles") -> DataFrame:
+    """Entries of a map legend over all values, a row each: class, low, high, label, n and the place in the palette (0 to 1).
+
+    graduated: the classes of `breaks`, the first with its lower end; categorical: values in the order of their
+    frequency, those past k as `__other__`; continuous: the ends; divergent: the ends moved to equal distance from the
+    middle of zero, with the middle.
+    """
+    spark = df.sparkSession
+    kind_of = "class int, low double, high double, label string, n long, position double"
+    if kind == "categorical":
+        counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("string").alias("label")).agg(F.count("*").alias("n"))
+        first = counts.orderBy(F.desc("n"), "label").limit(k).withColumn("class", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("int"))  # k rows
+        rest = counts.join(first.select("label"), "label", "left_anti").agg(F.sum("n").alias("n")).where("n > 0").select(F.lit("__other__").alias("label"), "n", F.lit(k).alias("class"))
+        none = F.lit(None).cast("double")
+        return first.select("label", "n", "class").unionAll(rest).select("class", none.alias("low"), none.alias("high"), "label", "n", (F.col("class") / F.lit(float(k))).alias("position"))
+    v = df.select(F.col(value).try_cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    if kind == "graduated":
+        limits = breaks(df, value, method, k)
+        classed = classify(v, "v", limits).groupBy("class").agg(F.count("*").alias("n"))
+        rows = [(i, a, b, f"{a:.6g} - {b:.6g}", (i / (len(limits) - 2)) if len(limits) > 2 else 0.0) for i, (a, b) in enumerate(zip(limits, limits[1:], strict=False))]
+        spec = spark.createDataFrame(rows, "class int, low double, high double, label string, position double")  # k rows
+        return spec.join(classed, "class", "left").select("class", "low", "high", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "position")
+    low, high, n = v.agg(F.min("v"), F.max("v"), F.count("*")).head()
+    if not n:
+        return spark.createDataFrame([], kind_of)
+    if kind == "divergent":
+        high = max(abs(low), abs(high))
+        low = -high
+    ends = [(low, 0.0), (high, 1.0)] if kind == "continuous" else [(low, 0.0), (0.0, 0.5), (high, 1.0)]
+    return spark.createDataFrame([(i, x, x, f"{x:.6g}", n, p) for i, (x, p) in enumerate(ends)], kind_of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,21 +15,29 @@ SEPARATORS = ("\n\n", "\n", ". ", "。")
 
 
 def chunk_bounds(text: str, max_tokens: int = 512, overlap: int = 50) -> list[tuple[int, int, str]]:
-    """(start, end, content) of sliding chunks of 4 characters a token; from the second on, one ends at a separator in its latter half."""
+    """(start, end, content) of sliding chunks of 4 characters a token; from the second on, one ends at a separator in its latter half.
+
+    A chunk starts `overlap` tokens before the end of the one before it, or half a chunk on where that would not be
+    ahead; so a text shorter than the overlap gives several.
+    """
     size = min(4 * max_tokens, len(text))
-    if size <= 0:
-        return []
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if out:
-            places = ((text.rfind(s, start, min(end, len(text))), s) for s in SEPARATORS)
-            stop = next((at + len(s) for at, s in places if at - start > size // 2), None)
-            end = stop if stop is not None else end
-        out.append((start, end, text[start:end].strip()))
-        ahead = end - 4 * overlap
-        start = ahead if ahead > start else start + max(1, size // 2)
-    return out
+    places = [(len(s), [m.start() for m in re.finditer(f"(?={re.escape(s)})", text)]) for s in SEPARATORS]
+
+    def end_of(start: int) -> int:
+        for n, at in places:
+            k = bisect.bisect_right(at, start + size - n) - 1
+            if k >= 0 and at[k] > start + size // 2:
+                return at[k] + n
+        return start + size
+
+    bounds = [(0, size)] if size else []
+    while bounds:
+        start, end = bounds[-1]
+        start = max(end - 4 * overlap, start + 1) if end - 4 * overlap > start else start + max(1, size // 2)
+        if start >= len(text):
+            break
+        bounds.append((start, end_of(start)))
+    return [(a, b, text[a:b].strip()) for a, b in bounds]
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = 512, overlap: int = 50) -> DataFrame:
@@ -62,3 +72,9 @@ def cosine_search(vectors: DataFrame, query: list[float], k: int = 5, keep: Colu
 def visible(vectors: DataFrame, tenants: DataFrame) -> DataFrame:
     """Vectors of the given tenants that are not deleted."""
     return vectors.where(~F.coalesce("deleted", F.lit(False))).join(tenants, "tenant", "left_semi")
+
+
+def compact(vectors: DataFrame) -> DataFrame:
+    """The latest version (column version) of every vec_id, without those whose latest one is deleted."""
+    last = vectors.groupBy("vec_id").agg(F.max_by(F.struct(*[c for c in vectors.columns if c != "vec_id"]), "version").alias("v"))
+    return last.select("vec_id", "v.*").where(~F.coalesce("deleted", F.lit(False)))
