@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..sources.store import materialize, shared_path
+
+__all__ = ["materialize", "shared_path"]
+
 #: Text bytes that one vectorised step works on; temporary arrays take about 60 times this.
 CHUNK_BYTES = 1 << 20
 
@@ -22,36 +24,10 @@ _R1 = 0x9E3779B97F4A7C15
 _R2 = 0xC2B2AE3D27D4EB4F | 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="terralith-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read again."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Catalyst's estimate of a DataFrame's size, or the bytes of its main column where the source has no statistics."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length(column))).head()[0] or 0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,12 +133,6 @@ def prefix_hash(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Mixed hashes of values[start:end], equal for equal contents wherever they stand."""
-    inverse = powers(pow(base, -1, 1 << 64), len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start])
-
-
 def window_hash(values: np.ndarray, width: int, base: int = _R1) -> np.ndarray:
     """Rabin-Karp hash of every window of `width` values."""
     n = len(values) - width + 1
@@ -193,10 +163,6 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _R1) -> np.ndarray:
-    return range_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1), base), starts, ends, base)
-
-
 def words_in(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words are the runs of `inside`: (each word's place among the distinct ones, those as binary, offsets of the rows in words)."""
     starts, ends = spans_of(inside, offs)
@@ -220,11 +186,7 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def task_count(df: DataFrame, per_task: int = 32 << 20) -> int:
+def task_count(df: DataFrame, column: str, per_task: int = 32 << 20) -> int:
     """Partitions for a shuffle of this DataFrame: the session's setting, and more where the input asks for it."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(input_bytes(df), 1 << 60) / per_task))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
-    return F.broadcast(df) if input_bytes(df) <= limit else df
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df, column) / per_task))

@@ -2,12 +2,13 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A benchmark item gives every window of
 `width` consecutive words, or its whole word sequence if it has fewer; an item without words (null, empty) gives
-none. A document word is hit if it lies in any occurrence of a window. Items with equal texts are all reported.
+none. A document word is hit if it lies in any occurrence of a window. Items with equal texts are all reported; the
+windows of an item without an item_id count as hits, but it has no name to report.
 Documents without words (null, empty) have no hits; repeated doc_ids are judged row by row; extra columns of
 either table are not read. An empty benchmark hits nothing, an empty documents table gives an empty result.
 
 A shard is a slice of about a megabyte of documents within a Spark task. Its words become numbers of the
-benchmark's vocabulary; a window can only lie in a run of such words, so the shard's sequence consists of these
+benchmark's vocabulary, by their bytes; a window can only lie in a run of such words, so the shard's sequence consists of these
 runs, each ended by a separator. The windows are searched backwards through the ranks of a wavelet matrix over
 its Burrows-Wheeler transform, found rows are located by steps to sampled suffixes, and the spans are merged.
 No document is shuffled. The windows of a block of items travel in the task closure; a block holds at most
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._util import chunks, covered, materialize, read_table, spans_of, text_array, word_hashes
+from ._util import chunks, covered, materialize, read_table, spans_of, text_array, words_in
 from .suffixes import FMIndex
 
 WIDTH = 13
@@ -44,7 +45,7 @@ _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 class Windows:
     """Distinct windows of a block of items, as vocabulary numbers from 1."""
 
-    hashes: np.ndarray  # of the vocabulary, ascending
+    vocabulary: dict[bytes, int]
     by_width: list[tuple[np.ndarray, np.ndarray]]  # phrases of one width, and the number of each in `items`
     items: list[list[int]]
 
@@ -58,17 +59,12 @@ def windows_of(items: list[tuple[int, str | None]], width: int) -> Windows:
     for item, text in items:
         words = _WORD.findall((text or "").encode().lower())
         for i in range(max(len(words) - width, 0) + 1 if words else 0):
-            phrases.setdefault(tuple(words[i : i + width]), set()).add(item)
-    vocabulary = sorted({w for p in phrases for w in p})
-    flat = np.frombuffer(b"".join(vocabulary), np.uint8)
-    ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64) if vocabulary else np.zeros(0, np.int64)
-    hashes = word_hashes(flat, np.append(0, ends[:-1])[: len(ends)], ends)
-    order = np.argsort(hashes)
-    number = {vocabulary[k]: i + 1 for i, k in enumerate(order.tolist())}
+            phrases.setdefault(tuple(words[i : i + width]), set()).update(() if item is None else (item,))
+    number = {w: i + 1 for i, w in enumerate(sorted({w for p in phrases for w in p}))}
     by_width: dict[int, list[tuple[list[int], int]]] = {}
     for i, p in enumerate(phrases):
         by_width.setdefault(len(p), []).append(([number[w] for w in p], i))
-    return Windows(hashes[order], [(np.array([p for p, _ in x], np.int64), np.array([i for _, i in x], np.int64)) for _, x in sorted(by_width.items())], [sorted(x) for x in phrases.values()])
+    return Windows(number, [(np.array([p for p, _ in x], np.int64), np.array([i for _, i in x], np.int64)) for _, x in sorted(by_width.items())], [sorted(x) for x in phrases.values()])
 
 
 def _occurrences(numbers: np.ndarray, word_offs: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,17 +97,14 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
         for batch in chunks(batches, "text"):
             data, offs = text_array(batch.column("text"))
             data = _LOWER[data]
-            starts, ends = spans_of(_IS_WORD[data], offs)
-            word_offs = np.searchsorted(starts, offs)
+            codes, words, word_offs = words_in(data, offs, _IS_WORD[data])
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             items: list[set[int]] = [set() for _ in range(batch.num_rows)]
-            if windows.shortest and len(starts):
-                hashes = word_hashes(data, starts, ends)
-                near = np.minimum(np.searchsorted(windows.hashes, hashes), len(windows.hashes) - 1)
-                numbers = np.where(windows.hashes[near] == hashes, near + 1, 0)
+            if windows.shortest and len(codes):
+                numbers = np.fromiter((windows.vocabulary.get(w, 0) for w in words.to_pylist()), np.int64, len(words))[codes]
                 found, at, wide = _occurrences(numbers, word_offs, windows)
                 if len(at):
-                    for a, b in zip(*(x.tolist() for x in spans_of(covered(at, at + wide, len(starts)), word_offs)), strict=True):
+                    for a, b in zip(*(x.tolist() for x in spans_of(covered(at, at + wide, len(codes)), word_offs)), strict=True):
                         d = int(np.searchsorted(word_offs, a, side="right")) - 1
                         spans[d].append({"start": a - int(word_offs[d]), "end": b - int(word_offs[d])})
                     pairs = np.unique(np.stack([np.searchsorted(word_offs, at, side="right") - 1, found]), axis=1)

@@ -1,27 +1,5 @@
-"""Connected components by label propagation with pointer jumping; only DataFrames, a written table per round."""
+"""Connected components, as the clustering operators find them."""
 
-from __future__ import annotations
+from ..operators.clustering import components as connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._util import materialize
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: src, dst (long). Returns v, root for every vertex with an edge; root is the component's smallest vertex.
-
-    Each round takes the smallest label among the neighbours and then the label's own label, so a path shrinks by
-    more than half; it ends when no label changes. Nothing but one counter a round reaches the driver.
-    """
-    both = materialize(edges.select("src", "dst").where("src <> dst").unionAll(edges.selectExpr("dst as src", "src as dst").where("src <> dst")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("src").alias("v")).agg(F.least(F.min("dst"), F.col("v")).alias("root")), "labels")
-    while True:
-        near = both.join(labels, both["dst"] == labels["v"]).groupBy(F.col("src").alias("v")).agg(F.min("root").alias("near"))
-        own = labels.withColumnRenamed("root", "old")
-        step = materialize(own.join(near, "v").select("v", "old", F.least("old", "near").alias("root")), "step")
-        up = step.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        jumped = materialize(step.join(up, "root").select("v", "old", F.least("root", "up").alias("root")), "jumped")
-        labels = jumped.select("v", "root")
-        if not jumped.where("root <> old").limit(1).count():
-            return labels
+__all__ = ["connected_components"]
