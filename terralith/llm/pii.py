@@ -12,11 +12,13 @@ Added kinds: `url`, an address `scheme://user:password@host...` up to white spac
 value of 6 or more letters and digits, a digit among them, behind an identifier cue (see `CUES`) and `:`, `=` or
 `#`. Spans of different kinds may overlap. Positions are code points, ends exclusive. Null and empty texts have
 no spans; repeated rows are scanned alike; extra columns are not read; an empty table gives an empty result. A
-text of any length is scanned once, in time linear in its length.
+text of any length takes time linear in its length: a parser only reads on behind its own anchor, up to where the
+next one of its kind starts, and the end of an address is found once for all schemes within it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,8 +39,7 @@ _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | {"-"}
 _PHONE = _DIGITS | frozenset(" ().-")
-_BLANK = frozenset(" \t\n\x0b\x0c\r")
-_URL_END = _BLANK | frozenset("\"'<>`")
+_STOP = re.compile("[ \t\n\x0b\x0c\r\"'<>`]")
 
 Span = tuple[str, int, int]
 
@@ -125,16 +126,19 @@ def _cards(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         k = last + 1
 
 
-def _url(text: str, at: int) -> tuple[int, int] | None:
-    """An address with user information; `at` is the place of `://`."""
-    start, n = at, len(text)
+def _url_stop(text: str, at: int) -> int:
+    """The end of what may be an address that goes on at `at`."""
+    end = _STOP.search(text, at)
+    return end.start() if end else len(text)
+
+
+def _url(text: str, at: int, end: int) -> tuple[int, int] | None:
+    """An address with user information; `at` is the place of `://` and `end` the end of the address."""
+    start = at
     while start > 0 and text[start - 1] in _ALNUM:
         start -= 1
-    end = at + 3
-    while end < n and text[end] not in _URL_END:
-        end += 1
-    host = text[at + 3 : end].partition("/")[0]
-    user, sign, rest = host.rpartition("@")
+    slash = text.find("/", at + 3, end)
+    user, sign, rest = text[at + 3 : slash if slash >= 0 else end].rpartition("@")
     return (start, end) if start < at and sign and ":" in user and rest[:1] in _ALNUM and rest else None
 
 
@@ -144,11 +148,13 @@ def _account(text: str, end: int) -> tuple[int, int] | None:
     while i < n and i < end + 8 and text[i] in " \t:=#\"'":
         sign |= text[i] in ":=#"
         i += 1
+    if not sign:
+        return None
     start = i
     while i < n and (text[i] in _ALNUM or text[i] in "_-"):
         i += 1
     value = text[start:i]
-    return (start, i) if sign and len(value) >= 6 and any(c in _DIGITS for c in value) else None
+    return (start, i) if len(value) >= 6 and any(c in _DIGITS for c in value) else None
 
 
 def spans_in(text: str) -> list[Span]:
@@ -157,7 +163,7 @@ def spans_in(text: str) -> list[Span]:
         _scanner.append(_automaton())
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     runs: list[list[int]] = []
-    email_end = phone_end = url_end = account_end = 0
+    email_end = phone_end = url_end = account_end = url_stop = 0
     for last, (what, width) in _scanner[0].iter(text):
         if what == "digit":
             if runs and runs[-1][1] == last:
@@ -174,7 +180,9 @@ def spans_in(text: str) -> list[Span]:
                 if 8 <= number[2] <= 15:
                     found["phone"].append(number[:2])
         elif what == "scheme":
-            if last >= url_end and (got := _url(text, last - width + 1)):
+            if last >= url_stop:
+                url_stop = _url_stop(text, last + 1)
+            if last >= url_end and (got := _url(text, last - width + 1, url_stop)):
                 url_end = got[1]
                 found["url"].append(got)
         elif last >= account_end and (got := _account(text, last + 1)):
