@@ -14,8 +14,8 @@ counts the tokens emitted before in the tree, `position` those of the turns befo
 a conversation emits is one stretch of the layout; it attends to the stretches of its ancestors, as intervals
 [start, end), and causally to itself.
 
-Order and layout use range partitions and sums over partitions, not one task per tree, so a first turn of a third
-of all conversations is no hot group; a conversation's sort key takes 8 bytes a turn, and texts never are gathered
+Order and layout use range partitions and sums over partitions, not one task per tree, and joins on nodes and on who
+emits them salt frequent keys, so a first turn of a third of all conversations is no hot group; a conversation's sort key takes 8 bytes a turn, and texts never are gathered
 by conversation: reading back streams sorted turns.
 
 Null roles and texts are empty. Turns are in the order of turn (null first), then role and text; rows that repeat
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from ._util import materialize, read_table
 
 TURN, END = "<|turn|>", "<|end|>"
+#: A key of more than one in so many rows is salted in joins.
+HOT_KEYS = 1000
 #: Strings that steer this template or common other ones; escaped within texts.
 CONTROLS = (TURN, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
@@ -117,6 +119,20 @@ def _numbered(conversations: DataFrame) -> DataFrame:
     return hashed.withColumns({"x1": F.bit_xor("e1").over(so_far), "x2": F.bit_xor("e2").over(so_far)}).select("conv_id", "idx", "role", "text", "h", "x1", "x2")
 
 
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """left joined with right, which has few rows to a key; keys of over a thousandth of left's rows are salted.
+
+    There are at most a thousand such keys; their rows go to as many places as there are shuffle partitions, by the
+    hash of `by`, and right's rows for them go to each of these.
+    """
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(left.count() // HOT_KEYS, 100)
+    hot = F.broadcast(left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys, F.lit(True).alias("_hot")))
+    one = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return one.join(right.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot"), [*keys, "_salt"]).drop("_salt")
+
+
 def format_conversations(conversations: DataFrame, tokenizer: str | None = None) -> Formatted:
     spark, path = conversations.sparkSession, tokenizer or default_tokenizer()
     turns = materialize(_numbered(conversations), "turns")
@@ -160,7 +176,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str | None = None)
 
     # the stretches of a conversation: its nodes by who emits them
     nodes = laid.select("idx", "x1", "x2", "owner", "start", "n_tokens", "tree1", "tree2")
-    stretches = keyed.join(nodes, ["idx", "x1", "x2"]).groupBy("conv_id", "tree1", "tree2", "owner").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.min("idx").alias("first_idx"))
+    stretches = _spread_join(keyed, nodes, ["idx", "x1", "x2"], "conv_id").groupBy("conv_id", "tree1", "tree2", "owner").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.min("idx").alias("first_idx"))
     path_so_far = Window.partitionBy("conv_id").orderBy("first_idx").rowsBetween(Window.unboundedPreceding, -1)
     stretches = materialize(stretches.withColumn("position", F.coalesce(F.sum(F.col("end") - F.col("start")).over(path_so_far), F.lit(0))).drop("first_idx"), "stretches")
     # an emitted turn's position: that of its owner's own stretch, and the way within it
@@ -190,7 +206,7 @@ def read_back(result: Formatted, tokenizer: str | None = None) -> DataFrame:
     """Every conversation read from the emitted tokens, by its stretches; digests of its turns and of its loss text."""
     path = tokenizer or default_tokenizer()
     turns = result.turns.select("owner", F.col("start").alias("at"), "n_tokens", "loss_start", "loss_end", "ids")
-    rows = result.stretches.join(turns, "owner").where("at >= start and at < end").select("conv_id", (F.col("position") + F.col("at") - F.col("start")).alias("place"), "n_tokens", "loss_start", "loss_end", "ids")
+    rows = _spread_join(result.stretches, turns, ["owner"], "conv_id").where("at >= start and at < end").select("conv_id", (F.col("position") + F.col("at") - F.col("start")).alias("place"), "n_tokens", "loss_start", "loss_end", "ids")
     parts = max(int(result.stretches.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "place")
     names, kinds = [x.split()[0] for x in _READ.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
