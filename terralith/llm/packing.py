@@ -33,7 +33,9 @@ from .tokens import default_tokenizer, documents_with_tokens, unpack
 SIZE = 4096
 END = 2
 RANK_BLOCK = 4096
+#: Buckets at least, and documents of one bucket, about.
 BUCKETS = 1024
+BUCKET_DOCS = 200_000
 
 Placement = tuple[int, int, int, int, int, int, int]
 
@@ -103,12 +105,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SI
     lengths = tokens.select("doc_id", "doc_row", "n_tokens", (F.col("n_tokens") % size).alias("rest"), F.floor(F.col("n_tokens") / size).alias("whole"))
 
     # whole sequences: numbered within a bucket, after those of the buckets before
-    bucket = F.pmod(F.xxhash64("doc_row"), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64("doc_row"), F.lit(max(BUCKETS, tokens.count() // BUCKET_DOCS)))
     rests = lengths.where("rest > 0").withColumn("bucket", bucket)
     counts = rests.groupBy("rest", "bucket").agg(F.count("*").alias("n"))
     histogram = {int(k): int(n) for k, n in counts.groupBy("rest").agg(F.sum("n")).collect()}  # at most `size` rows
     wholes = lengths.where("whole > 0").withColumn("bucket", bucket)
-    whole_counts = {int(b): int(n) for b, n in wholes.groupBy("bucket").agg(F.sum("whole")).collect()}  # at most BUCKETS rows
+    whole_counts = {int(b): int(n) for b, n in wholes.groupBy("bucket").agg(F.sum("whole")).collect()}  # a row per bucket
 
     earlier = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("rest", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

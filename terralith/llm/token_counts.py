@@ -60,6 +60,8 @@ def tokenize_to_files(docs: DataFrame, folder: str, tokenizer: str, end: int = E
             if out is None:
                 name = f"{uuid.uuid4().hex}.tokens"
                 out = store.open_output_stream(f"{path}/{name}")
+            if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+                raise ValueError(f"id {int(ids.max())} does not fit {dtype}")
             out.write(ids.astype(dtype).tobytes())
             n += len(ids)
             order.append(batch.column("doc_id"))
@@ -117,4 +119,4 @@ def op6(spark, sf_dir: str) -> DataFrame:
     manifest = tokenize_to_files(read_table(spark, sf_dir, "documents"), folder, default_tokenizer())
     counts = token_counts(scan_blocks(spark, manifest.select("file", "n_ids"), folder))
     order = manifest.select("file", F.posexplode("docs").alias("at", "doc_id")).select("file", F.col("at").cast("long").alias("ordinal"), "doc_id")
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return order.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, dedup_bytes: int = DEDUP_BYTES
     chosen = digests.where(F.col("size") >= dedup_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = digests.join(chosen, "digest").select("page_id", "digest", "response").distinct()
     rows = known.join(revisits.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "response"))).alias("responses")), "page_id", "left")
-    rows = rows.repartition(task_count(known), "page_id").sortWithinPartitions("page_id").select("page_id", "url", "html", "responses")
+    rows = rows.repartition(task_count(known, "html"), "page_id").sortWithinPartitions("page_id").select("page_id", "url", "html", "responses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
