@@ -189,6 +189,7 @@ PLANS = {
         lambda s, d: R.calculate(I.pixels(s, d), R.resample(I.pixels(s, d), 4), "A - B").select("row", "col", settled(F.col("v"), 5).alias("v")),
         sql(f"WITH c AS (SELECT row//4 AS r, col//4 AS c, avg(v) AS v FROM pixels GROUP BY 1, 2) SELECT p.row, p.col, {settled_sql('p.v - c.v', 5)} AS v FROM pixels p JOIN c ON p.row//4 = c.r AND p.col//4 = c.c", "pixels"),
     ),
+    "raster_resample_nearest": (lambda s, d: R.resample(I.pixels(s, d), 4, "nearest").select("row", "col", settled(F.col("v"), 5).alias("v")), sql(f"SELECT row//4 AS row, col//4 AS col, {settled_sql('v', 5)} AS v FROM pixels WHERE row % 4 = 2 AND col % 4 = 2", "pixels")),
     "vector_compact": (lambda s, d: X.compact(_versions(s, d)).select("vec_id", "version"), "SELECT vec_id, version FROM (SELECT event_id % 500 AS vec_id, max(event_id) AS version, arg_max(user_id % 5 = 0, event_id) AS deleted FROM events GROUP BY 1) WHERE NOT deleted"),
     "audit_features": (
         lambda s, d: Q.audit_features(_features(s, d)),
