@@ -68,15 +68,15 @@ SELECT fid, x, y, kind, code FROM o WHERE fid IN (SELECT min(fid) FROM o GROUP B
 
 
 def _options(s, d):
-    """A scenario per order priority and status: changes in percent, a confidence, some missing."""
+    """Forty scenarios: changes in percent and a confidence, in binary fractions, some missing."""
     o = table(s, d, "orders")
     by = o.groupBy((F.col("o_custkey") % 40).alias("id"))
     n, k = F.count("*"), F.col("id")
     got = by.agg(n.alias("n"), F.sum(F.col("o_orderkey") % 100).alias("c"), F.min("o_orderkey").alias("m"))
-    return got.select("id", ((F.col("c") % 4000) / F.lit(100.0)).alias("cost"), F.when(k % 7 != 0, (F.col("n") % 50).cast("double")).alias("reach"), ((F.col("m") % 90) / F.lit(10.0)).alias("noise"), ((F.col("n") % 11) / F.lit(10.0)).alias("confidence"))
+    return got.select("id", ((F.col("c") % 4000) / F.lit(64.0)).alias("cost"), F.when(k % 7 != 0, (F.col("n") % 50).cast("double")).alias("reach"), ((F.col("m") % 90) / F.lit(8.0)).alias("noise"), ((F.col("n") % 9) / F.lit(8.0)).alias("confidence"))
 
 
-_OPTIONS = "opt AS (SELECT id, (c % 4000)/100.0::DOUBLE AS cost, CASE WHEN id % 7 <> 0 THEN CAST(n % 50 AS DOUBLE) END AS reach, (m % 90)/10.0::DOUBLE AS noise, (n % 11)/10.0::DOUBLE AS confidence FROM (SELECT o_custkey % 40 AS id, count(*) AS n, CAST(sum(o_orderkey % 100) AS BIGINT) AS c, min(o_orderkey) AS m FROM orders GROUP BY 1))"
+_OPTIONS = "opt AS (SELECT id, (c % 4000)/64.0::DOUBLE AS cost, CASE WHEN id % 7 <> 0 THEN CAST(n % 50 AS DOUBLE) END AS reach, (m % 90)/8.0::DOUBLE AS noise, (n % 9)/8.0::DOUBLE AS confidence FROM (SELECT o_custkey % 40 AS id, count(*) AS n, CAST(sum(o_orderkey % 100) AS BIGINT) AS c, min(o_orderkey) AS m FROM orders GROUP BY 1))"
 _GOALS = {"cost": "minimize", "reach": "maximize", "noise": "minimize"}
 _FRONT = f"""{_OPTIONS}, dominated AS (SELECT DISTINCT a.id FROM opt a JOIN opt b ON (coalesce(b.cost < a.cost, false) OR coalesce(b.reach > a.reach, false) OR coalesce(b.noise < a.noise, false)) AND NOT (coalesce(b.cost > a.cost, false) OR coalesce(b.reach < a.reach, false) OR coalesce(b.noise > a.noise, false))),
 front AS (SELECT id FROM opt WHERE id NOT IN (SELECT id FROM dominated) OR (SELECT count(*) FROM dominated) = (SELECT count(*) FROM opt))"""
