@@ -3,20 +3,25 @@
 Texts are UTF-8 bytes; matches never cross documents. A byte is removed if a string of `width` bytes over it also
 starts in a document with a smaller doc_id, judged on the input. Overlapping strings merge into maximal spans.
 
-Strings that may repeat are found by their anchors (see `repeats`; nothing that repeats is lost), and the pieces of
-text around shared anchors are dealt by anchor into shards, identical pieces of a chunk of documents once. In a
-shard, pieces that are equal are one piece of the smallest doc_id. Over the remaining pieces of anchors that have
-several, the shard builds a run-length index: the transform's runs, the suffix positions at the runs' ends, and
-the smallest doc_id of all suffixes that share `width` bytes, again by runs of rows. Each piece then streams
-through the index backwards and keeps its matching statistics: the suffix row it stands at and the length of the
-match. Where the next byte continues the row, the match grows; else it jumps to the nearest run of that byte and
-keeps the common prefix that the index knows. A match of `width` bytes or more marks its string if the index has a
-smaller doc_id for it. Pieces do not grow with the corpus, and a hot anchor (see `repeats`) is dealt by
-its whole strings of `width` bytes instead, each a piece of its own, so that no shard must hold an unbounded group.
-
-Null and empty texts have no bytes; rows that repeat a doc_id do not remove each other's bytes; rows without a
-doc_id are left whole; extra columns are not read; an empty table gives an empty result. Removal may cut a
-multi-byte character, so the kept text is binary.
+1. Texts are written in chunks (`chunked`). The anchor of a string is the smallest hash of the `inner`-byte pieces
+   in it, so equal strings have equal anchors; consecutive strings with one anchor are a run. Each chunk sends the
+   distinct anchors of its runs, 32 bits each, to buckets, with the page of its first occurrence.
+2. A bucket answers each chunk, for every anchor that several documents have, with the anchor's page: its first
+   occurrence in the order of chunks. Anchors of one document alone are done with; nothing that repeats is lost.
+3. Consecutive runs with one page travel as one stretch of text, so a repeated passage travels once and not by its
+   anchors. Stretches are dealt by page; equal strings have equal anchors and so meet on a page. Equal stretches of
+   one chunk travel once, by the smallest doc_id (the others are marked there and then).
+4. A shard indexes, for every page, the stretches of its smallest doc_id only (`run_index`: the transform's runs,
+   suffix positions at the runs' ends, thresholds, and the smallest doc_id by runs of rows). All stretches stream
+   through the index, which gives their matching statistics. A match of `width` bytes or more says that the string
+   starts in the page's smallest document. What does not match is indexed and streamed by itself.
+5. An anchor of over `HOT_RUNS` runs is salted by chunk in step 4, so that no shard has an unbounded group. There,
+   strings that are not marked go on, one by one by their own hashes, to a second round of shards.
+
+The marks come from the index, but for equal stretches within one chunk. Null and empty texts have no bytes; rows
+that repeat a doc_id do not remove each other's bytes; rows without a doc_id are left whole and remove nothing;
+extra columns are not read; an empty table gives an empty result. Removal may cut a multi-byte character, so the
+kept text is binary.
 """
 
 from __future__ import annotations
@@ -25,246 +30,268 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import covered, input_bytes, packed_texts, read_table, spans_of, unpacked
-from .repeats import runs_of, shared_runs_and_hot, tagged
-from .suffixes import suffix_array
+from ._util import covered, materialize, mix, read_table, spans_of, window_hash
+from .chunked import chunk_table, opened, pack, pack_ascending, unpack, unpack_ascending
+from .repeats import runs_in
+from .run_index import RunIndex
 
 WIDTH = 50
 INNER = 24
-SHARD_BYTES = 1 << 20
+#: Text bytes to an anchor entry, about, and entries of a bucket.
+PER_ENTRY = 14
+BUCKET_ENTRIES = 1_000_000
+#: Bytes of a chunk to a page, and text of the corpus to a shard.
+PAGE = 4096
+SHARD_BYTES = 4 << 20
+#: Runs of one anchor that meet in one shard.
+HOT_RUNS = 2048
+#: Strings of a piece that streams through an index.
+STREAM = 512
 
+_HOME_BITS = 27
 
-def byte_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return data.astype(np.uint64) + np.uint64(1), offs
 
+def _hashed(x: np.ndarray) -> np.ndarray:
+    return mix(np.asarray(x).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
-class RunLengthIndex:
-    """Matching statistics against pieces of text, each of one document.
 
-    Rows are suffixes in order. Kept: the transform's run starts and bytes, the common prefix of neighbouring rows
-    at the ends of runs (as the smallest between two runs of one byte), suffix positions at run ends, and `least`.
-    """
+class _Anchors:
+    """The runs of one chunk and its distinct anchors by bucket, found anew alike in each step."""
 
-    def __init__(self, pieces: list[bytes], docs: np.ndarray, width: int):
-        self.width = width
-        sizes = np.array([len(p) + 1 for p in pieces], np.int64)
-        symbols = np.zeros(int(sizes.sum()), np.int64)
+    def __init__(self, data: np.ndarray, offs: np.ndarray, known: np.ndarray, width: int, inner: int, buckets: int):
+        row, runs, at = runs_in(data.astype(np.uint64) + np.uint64(1), offs, width, inner)
+        keep = known[row]
+        self.row, self.count, self.at = row[keep], runs["count"][keep].astype(np.int64), at[keep]
+        anchors = mix(runs["anchor"][keep])
+        bucket = (anchors >> np.uint64(32)) % np.uint64(buckets)
+        key = (bucket << np.uint64(32)) | (anchors & np.uint64(0xFFFFFFFF))
+        self.keys, self.first, self.of = np.unique(key, return_index=True, return_inverse=True)
+        self.bucket = (self.keys >> np.uint64(32)).astype(np.int64)
+        self.edges = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(self.keys) else np.zeros(0, np.int64)
+
+
+_ENTRY = "bucket long, chunk long, n int, anchors binary, notes binary"
+
+
+def _entries(chunks: DataFrame, width: int, inner: int, buckets: int) -> DataFrame:
+    names = [x.split()[0] for x in _ENTRY.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, _, ids, sizes, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _Anchors(*opened(ids, sizes, texts), width, inner, buckets)
+                if not len(found.keys):
+                    continue
+                # of each anchor: whether several documents of the chunk have it, its runs (up to 255), its page
+                doc = np.array([0 if i is None else i for i in ids], np.int64)[found.row]
+                by = np.argsort(found.of, kind="stable")
+                head = np.searchsorted(found.of[by], np.arange(len(found.keys)))
+                several = np.maximum.reduceat(doc[by], head) != np.minimum.reduceat(doc[by], head)
+                runs = np.minimum(np.bincount(found.of), 255).astype(np.uint8)
+                page = np.minimum(found.at[found.first] // PAGE, 0xFFFF).astype("<u2")
+                out = []
+                for a, b in zip(found.edges.tolist(), np.append(found.edges[1:], len(found.keys)).tolist(), strict=True):
+                    notes = pack(np.packbits(several[a:b]).tobytes() + runs[a:b].tobytes() + page[a:b].tobytes(), 1)
+                    out.append((int(found.bucket[a]), chunk, b - a, pack_ascending((found.keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), notes))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+    return chunks.mapInArrow(run, _ENTRY)
+
+
+def _answers(hot_runs: int):
+    """For one bucket: each chunk's codes, one per anchor in order; 0: one document alone has it; else salt bits and home."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"].to_numpy()
+        sizes = table["n"].to_numpy().astype(np.int64)
+        anchors = np.concatenate([unpack_ascending(x) for x in table["anchors"].to_pylist()])
+        several, runs, page = [], [], []
+        for notes, n in zip(table["notes"].to_pylist(), sizes.tolist(), strict=True):
+            x, bits = unpack(notes), -(-n // 8)
+            several.append(np.unpackbits(x[:bits], count=n).astype(bool))
+            runs.append(x[bits : bits + n])
+            page.append(x[bits + n :].view("<u2"))
+        several, runs, page = (np.concatenate(x) for x in (several, runs, page))
+        of = np.repeat(np.arange(len(chunk)), sizes)
+        order = np.lexsort((chunk[of], anchors))
+        head = np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1]))
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        shared = np.logical_or.reduceat(several[order], head) | (np.diff(np.append(head, len(order))) > 1)
+        total = np.add.reduceat(runs[order].astype(np.int64), head)
+        salts = np.ceil(np.log2(np.maximum(total / hot_runs, 1))).astype(np.uint32)
+        leader = order[head]
+        home = (_hashed(_hashed(chunk[of[leader]]) ^ page[leader].astype(np.uint64)) & np.uint64((1 << _HOME_BITS) - 1)).astype(np.uint32)
+        code = np.where(shared, np.maximum((np.minimum(salts, 31) << np.uint32(_HOME_BITS)) | home, 1), 0).astype("<u4")
+        codes = np.empty(len(anchors), "<u4")
+        codes[order] = code[group]
         stops = np.cumsum(sizes)
-        filled = np.ones(len(symbols), bool)
-        filled[stops - 1] = False
-        symbols[filled] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1
-        order = suffix_array(symbols)
-        n = len(symbols)
-        bwt = symbols[order - 1]
-        head = np.append(True, bwt[1:] != bwt[:-1])
-        self.run_start = np.flatnonzero(head)  # of each run of the transform
-        self.run_byte = bwt[self.run_start]
-        run_end = np.append(self.run_start[1:], n) - 1
-        self.end_position = order[run_end]  # sampled run ends
-        below = np.zeros(258, np.int64)
-        np.cumsum(np.bincount(symbols, minlength=257), out=below[1:])
-        # for each run, where its first row goes by one step back
-        by_byte = np.argsort(self.run_byte, kind="stable")
-        lengths = run_end - self.run_start + 1
-        goes = np.empty(len(lengths), np.int64)
-        goes[by_byte] = np.cumsum(lengths[by_byte]) - lengths[by_byte]
-        self.goes = goes
-        # runs of one byte, for jumps: (byte, run) in order
-        self.of_byte = by_byte
-        self.key = self.run_byte[by_byte] * (n + 1) + self.run_start[by_byte]
-        self.n = n
-        # common prefixes of neighbours, up to `width` bytes
-        same = self._prefixes(symbols, order, stops)
-        group = np.cumsum(np.append(True, same[1:] < width)) - 1
-        owner = docs[np.searchsorted(stops, order, side="right")]
-        least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, owner)
-        rows = least[group]
-        new = np.append(True, rows[1:] != rows[:-1])
-        self.least_start, self.least = np.flatnonzero(new), rows[new]
-        self._lcp_levels = [same]
-        k = 1
-        while 2 * k <= n:
-            a = self._lcp_levels[-1]
-            self._lcp_levels.append(np.minimum(a[: len(a) - k], a[k:]))
-            k *= 2
-
-    def _prefixes(self, symbols: np.ndarray, order: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Common prefix of each row with the one before, in bytes, at most `width`."""
-        n = len(order)
-        out = np.zeros(n, np.int16)
-        a, b = order[:-1], order[1:]
-        live = np.arange(n - 1)
-        for k in range(self.width):
-            x = symbols[np.minimum(a[live] + k, n - 1)]
-            live = live[(x == symbols[np.minimum(b[live] + k, n - 1)]) & (x > 0)]
-            if not len(live):
-                break
-            out[live + 1] = k + 1
-        return out
-
-    def _between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Smallest common prefix over rows (low, high], for low < high."""
-        k = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int64)
-        for level in np.unique(k).tolist():
-            at = np.flatnonzero(k == level)
-            a = self._lcp_levels[level]
-            out[at] = np.minimum(a[low[at] + 1], a[high[at] - (1 << level) + 1])
-        return out
-
-    def stream(self, pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(offset, piece numbers, match lengths, smallest doc_ids of matches of `width` or more) from the last byte of each piece back."""
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 1
-        first = np.cumsum(sizes) - sizes
-        row, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        for back in range(1, int(sizes.max(initial=0)) + 1):
-            live = np.flatnonzero(sizes >= back)
-            c = flat[first[live] + sizes[live] - back]
-            r, m = row[live], length[live]
-            run = np.searchsorted(self.run_start, r, side="right") - 1
-            jump = np.flatnonzero(self.run_byte[run] != c)
-            if len(jump):
-                j, cj = r[jump], c[jump]
-                at = np.searchsorted(self.key, cj * (self.n + 1) + j)
-                down = self.of_byte[np.minimum(at, len(self.key) - 1)]  # the run of that byte behind the row
-                up = self.of_byte[np.maximum(at - 1, 0)]  # and the one before it
-                has_down = (at < len(self.key)) & (self.run_byte[down] == cj)
-                has_up = (at > 0) & (self.run_byte[up] == cj)
-                down_row = self.run_start[down]
-                up_row = np.append(self.run_start[1:], self.n)[up] - 1
-                down_len, up_len = np.full(len(j), -1), np.full(len(j), -1)
-                if has_down.any():
-                    down_len[has_down] = self._between(j[has_down], down_row[has_down])
-                if has_up.any():
-                    up_len[has_up] = self._between(up_row[has_up], j[has_up])
-                use_up = up_len >= down_len
-                best = np.maximum(up_len, down_len)
-                to = np.where(use_up, up_row, down_row)
-                r[jump] = np.where(best >= 0, to, 0)
-                m[jump] = np.where(best >= 0, np.minimum(m[jump], np.maximum(best, 0)), -1)
-                run[jump] = np.where(use_up, up, down)
-            ok = m >= 0
-            row[live] = np.where(ok, self.goes[run] + r - self.run_start[run], 0)
-            length[live] = np.where(ok, m + 1, 0)
-            long = live[length[live] >= self.width]
-            if len(long):
-                yield back, long, length[long], self.least[np.searchsorted(self.least_start, row[long], side="right") - 1]
-
-
-_PIECE = "shard long, doc_id long, tag long, anchor long, start int, count int, piece binary"
-
-
-def _pieces(docs: DataFrame, width: int, shards: int, hot: set[int]) -> DataFrame:
-    """Texts around shared anchors, one row per distinct piece of a chunk; without `piece`: strings already known to repeat."""
-    names = [x.split()[0] for x in _PIECE.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+        out = [(c, b, pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T), 1)) for c, b, x in zip(chunk.tolist(), table["bucket"].to_pylist(), np.split(codes, stops[:-1]), strict=True) if x.any()]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["chunk", "bucket", "codes"])
+
+    return run
+
+
+#: A stretch of text, or without `piece` its marks: triples (row, first string, strings) of the chunk, packed.
+_STRETCH = "shard long, home long, hot boolean, chunk long, doc_id long, row int, start int, piece binary, marks binary"
+_STRETCHES = pa.schema([("shard", pa.int64()), ("home", pa.int64()), ("hot", pa.bool_()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("piece", pa.binary()), ("marks", pa.binary())])
+
+
+def _marks(row: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    return pack(np.stack([row, start, count]).astype("<u4").tobytes(), 1)
+
 
+def _stretches(answered: DataFrame, width: int, inner: int, buckets: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unpacked(batches):
-            seen: dict[tuple[int, bytes], int] = {}
-            out = []
-            ids = batch.column("doc_id").to_numpy()
-            texts, tags, parts = (batch.column(c).to_pylist() for c in ("text", "tag", "runs"))
-            for r in np.argsort(ids, kind="stable").tolist():
-                doc, text = int(ids[r]), texts[r]
-                for anchor, start, count in runs_of(parts[r]).tolist():
-                    alone = anchor in hot
-                    steps = [(start + k, 1) for k in range(count)] if alone else [(start, count)]
-                    for s, c in steps:
-                        piece = text[s : s + c + width - 1]
-                        key = xxhash.xxh64_intdigest(piece) if alone else anchor
-                        signed = key - (1 << 64) if key >> 63 else key
-                        if seen.setdefault((key, piece), doc) < doc:
-                            out.append((doc % shards, doc, tags[r], signed, s, c, None))
-                        else:
-                            out.append(((key >> 8) % shards, doc, tags[r], signed, s, c, piece))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names)
-
-    return docs.select("doc_id", "tag", "text", "runs").mapInArrow(run, _PIECE)
-
-
-_SPAN = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
-
-
-def _decide(width: int):
-    """For one shard: the strings, as (first, how many), of each document that a smaller doc_id has too."""
+        for batch in batches:
+            for chunk, ids, sizes, texts, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "sizes", "texts", "answers")), strict=True):
+                data, offs, known = opened(ids, sizes, texts)
+                found = _Anchors(data, offs, known, width, inner, buckets)
+                code = np.zeros(len(found.keys), np.uint32)
+                first_of = dict(zip(found.bucket[found.edges].tolist(), found.edges.tolist(), strict=True))
+                for x in answers:
+                    codes = np.ascontiguousarray(unpack(x["codes"]).reshape(4, -1).T).view("<u4").ravel()
+                    a = first_of[x["bucket"]]
+                    code[a : a + len(codes)] = codes
+                code = code[found.of]
+                order = np.argsort(found.at)
+                row, at, count, code = found.row[order], found.at[order], found.count[order], code[order]
+                new = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + count[:-1]))
+                head = np.flatnonzero(new & (code > 0))
+                number = np.cumsum(new) - 1
+                total = np.bincount(number, count).astype(np.int64)[number[head]]
+                row, at, code = row[head], at[head], code[head]
+                salt, home = (code >> np.uint32(_HOME_BITS)).astype(np.int64), (code & np.uint32((1 << _HOME_BITS) - 1)).astype(np.int64)
+                sub = np.where(salt > 0, int(_hashed(np.array([chunk]))[0] >> np.uint64(1)) & ((1 << np.minimum(salt, 31)) - 1), 0)
+                shard = (_hashed(home * 65536 + sub) % np.uint64(shards)).astype(np.int64)
+                raw, seen, out = data.tobytes(), {}, []
+                again: list[tuple[int, int, int]] = []
+                docs = np.array([0 if i is None else i for i in ids], np.int64)[row]
+                for k in np.argsort(docs, kind="stable").tolist():
+                    piece = raw[at[k] : at[k] + total[k] + width - 1]
+                    r, start = int(row[k]), int(at[k] - offs[row[k]])
+                    if seen.setdefault((int(code[k]), piece), int(docs[k])) < int(docs[k]):
+                        again.append((r, start, int(total[k])))
+                    else:
+                        out.append((int(shard[k]), int(home[k]) * 65536 + int(sub[k]), bool(salt[k]), chunk, int(docs[k]), r, start, piece, None))
+                if again:
+                    out.append((chunk % shards, None, None, chunk, None, None, None, None, _marks(*np.array(again, np.int64).T)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _STRETCHES.types, strict=True)], schema=_STRETCHES)
+
+    return answered.mapInArrow(run, _STRETCH)
+
+
+def _matches(index: RunIndex, texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text the smallest owner of its strings, at most int64 where no owner has one."""
+    parts, which, at = [], [], []
+    for k, text in enumerate(texts):
+        for a in range(0, len(text) - width + 1, STREAM):
+            parts.append(text[a : a + STREAM + width - 1])
+            which.append(k)
+            at.append(a)
+    sizes = np.fromiter((len(t) - width + 1 for t in texts), np.int64, len(texts))
+    base = np.cumsum(sizes) - sizes
+    out = np.full(int(sizes.sum()), np.iinfo(np.int64).max)
+    place = base[np.array(which, np.int64)] + np.array(at, np.int64) + np.fromiter(map(len, parts), np.int64, len(parts))
+    for back, long, least in index.stream(parts):
+        out[place[long] - back] = least
+    return np.split(out, base[1:])
+
+
+_NONE = np.iinfo(np.int64).max
+
+
+def _decide(width: int, shards: int):
+    """One shard's marks, by chunk, and the strings of hot anchors that go on to another shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, tag, anchor, start, count = (table[c].to_numpy() for c in ("doc_id", "tag", "anchor", "start", "count"))
-        known = table["piece"].is_null().to_numpy()
-        gone = [(doc[known], tag[known], start[known], count[known])]
-        rows = np.flatnonzero(~known)
+        done = table.filter(table["piece"].is_null())
+        table = table.filter(table["piece"].is_valid())
+        home, hot, chunk, doc, row, start = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "hot", "chunk", "doc_id", "row", "start"))
         pieces = table["piece"].to_pylist()
-        # equal pieces: those of the smallest doc_id decide for all
         number: dict[bytes, int] = {}
-        of = np.array([number.setdefault(pieces[r], len(number)) for r in rows.tolist()], np.int64)
-        distinct = list(number)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, of, doc[rows])
-        later = doc[rows] > least[of]
-        again = rows[later]
-        gone.append((doc[again], tag[again], start[again], count[again]))
-        rows, of = rows[~later], of[~later]
-        # an anchor with one piece has nothing else to match
-        pairs = np.unique(np.stack([anchor[rows], of]), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
-        _, at, several = np.unique(pairs[0], return_inverse=True, return_counts=True)
-        wanted = np.unique(pairs[1][several[at] > 1])
-        if len(wanted):
-            texts, owners = [distinct[k] for k in wanted.tolist()], least[wanted]
-            place = np.full(len(distinct), -1)
-            place[wanted] = np.arange(len(wanted))
-            by_piece = np.argsort(of, kind="stable")
-            low, high = np.searchsorted(of[by_piece], wanted), np.searchsorted(of[by_piece], wanted, side="right")
-            sizes = np.array([len(t) for t in texts])
-            for back, which, _, smallest in RunLengthIndex(texts, owners, width).stream(texts):
-                hit = which[smallest < owners[which]]
-                n = high[hit] - low[hit]
-                own = rows[by_piece[np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
-                gone.append((doc[own], tag[own], start[own] + np.repeat(sizes[hit] - back, n), np.ones(len(own), np.int64)))
-        d, t, s, c = (np.concatenate(x) for x in zip(*gone, strict=True))
-        order = np.lexsort((s, t, d))
-        d, t, s, c = d[order], t[order], s[order], c[order]
-        if len(d):  # neighbouring strings as one row
-            new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + c[:-1])))
-            c = np.add.reduceat(c, new)
-            d, t, s = d[new], t[new], s[new]
-        return pa.Table.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32))], schema=_SPAN)
+        of = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+        texts = list(number)
+        if not texts:
+            return done
+        # the smallest document of each page, and of each text
+        _, page = np.unique(home, return_inverse=True)
+        smallest = np.full(int(page.max()) + 1, _NONE)
+        np.minimum.at(smallest, page, doc)
+        owner = np.full(len(texts), _NONE)
+        np.minimum.at(owner, of, doc)
+        chosen = np.unique(of[doc == smallest[page]])
+        least = _matches(RunIndex([texts[k] for k in chosen.tolist()], owner[chosen], width), texts, width)
+        # what the pages' smallest documents don't have
+        rest, where = [], []
+        for k, x in enumerate(least):
+            a, b = spans_of(x == _NONE, np.array([0, len(x)]))
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                rest.append(texts[k][i : j + width - 1])
+                where.append((k, i))
+        if rest:
+            owners = owner[np.array([k for k, _ in where])]
+            for (k, i), x in zip(where, _matches(RunIndex(rest, owners, width), rest, width), strict=True):
+                least[k][i : i + len(x)] = x
+        by = np.argsort(chunk, kind="stable")
+        edges = np.flatnonzero(np.append(True, chunk[by][1:] != chunk[by][:-1]))
+        out = []
+        for group in np.split(by, edges[1:]):
+            found = [np.zeros((0, 3), np.int64)]
+            for k in group.tolist():
+                x = least[of[k]]
+                a, b = spans_of(x < doc[k], np.array([0, len(x)]))
+                if len(a):
+                    found.append(np.stack([np.full(len(a), row[k]), start[k] + a, b - a], axis=1))
+            rows = np.concatenate(found)
+            if len(rows):
+                out.append((None, None, None, int(chunk[group[0]]), None, None, None, None, _marks(*rows.T)))
+        for k in np.flatnonzero(hot & (doc == owner[of])).tolist():
+            hashes = _hashed(window_hash(np.frombuffer(pieces[k], np.uint8).astype(np.uint64) + np.uint64(1), width))
+            for i in np.flatnonzero(least[of[k]] >= doc[k]).tolist():
+                h = int(hashes[i])
+                out.append((h % shards, h >> 1, False, int(chunk[k]), int(doc[k]), int(row[k]), int(start[k]) + i, pieces[k][i : i + width], None))
+        made = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(_STRETCHES), _STRETCHES.types, strict=True)], schema=_STRETCHES)
+        return pa.concat_tables([done.cast(_STRETCHES), made])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, spans (maximal, in bytes)."""
-    own = tagged(docs)
-    shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(own) // SHARD_BYTES)
-    near, hot = shared_runs_and_hot(own, byte_units, width, inner, 8)
-    found = _pieces(near, width, shards, hot).groupBy("shard").applyInArrow(_decide(width), "doc_id long, tag long, start int, count int")
-    by_doc = found.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
-    nothing = F.lit(None).cast("array<int>")
-    without = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).transform(packed_texts).select("*", nothing.alias("starts"), nothing.alias("counts"))
-    every = packed_texts(own).join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "counts").unionAll(without)
+def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """doc_id, kept (binary), n_bytes, n_removed, spans (maximal, in bytes), a row per document."""
+    chunks = chunk_table(docs)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = chunks.agg(F.sum("n_bytes")).head()[0] or 0
+    buckets = max(least, n_bytes // (PER_ENTRY * BUCKET_ENTRIES))
+    shards = max(2 * least, n_bytes // SHARD_BYTES)
+    answers = _entries(chunks, width, inner, buckets).groupBy("bucket").applyInArrow(_answers(hot_runs), "chunk long, bucket long, codes binary")
+    answered = chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers")), "chunk")
+    decided = _stretches(answered, width, inner, buckets, shards).groupBy("shard").applyInArrow(_decide(width, shards), _STRETCH)
+    first = materialize(decided, "marks")
+    second = first.where("piece is not null").groupBy("shard").applyInArrow(_decide(width, shards), _STRETCH)
+    marks = first.where("marks is not null").select("chunk", "marks").unionAll(second.select("chunk", "marks").where("marks is not null"))
+    every = chunks.join(marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks")), "chunk", "left").select("ids", "sizes", "texts", "marks")
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in unpacked(batches):
-            out = []
-            for text, starts, counts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                kept, n, spans, removed = text, len(text), [], 0
-                if starts:
-                    s = np.array(starts, np.int64)
-                    gone = covered(s, s + np.array(counts, np.int64) + width - 1, n)
-                    removed = int(gone.sum())
-                    spans = [{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in spans_of(gone, np.array([0, n]))), strict=True)]
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((kept, n, removed, spans))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pair)], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
+        for batch in batches:
+            for ids, sizes, texts, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, offs, _ = opened(ids, sizes, texts)
+                row, start, count = np.concatenate([unpack(x, "<u4").reshape(3, -1) for x in marks], axis=1).astype(np.int64) if marks else np.zeros((3, 0), np.int64)
+                gone = covered(offs[row] + start, offs[row] + start + count + width - 1, len(data))
+                a, b = spans_of(gone, offs)
+                of = np.searchsorted(offs, a, side="right") - 1
+                spans: list[list[dict]] = [[] for _ in ids]
+                for r, i, j in zip(of.tolist(), (a - offs[of]).tolist(), (b - offs[of]).tolist(), strict=True):
+                    spans[r].append({"start": i, "end": j})
+                removed = np.append(0, np.cumsum(gone))[offs]
+                kept_offs = offs - removed
+                kept = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept_offs), pa.py_buffer(data[~gone])]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), kept, pa.array(sizes, pa.int64()), pa.array(np.diff(removed)), pa.array(spans, pair)], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
 
     return every.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
 

@@ -38,7 +38,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
             return order
         some = order[at]
         second = rank[np.minimum(some + h, n - 1)]
-        kept = np.lexsort((second, rank[some]))
+        kept = np.argsort(rank[some] * (n + 1) + second)
         some, second = some[kept], second[kept]
         order[at] = some
         firsts = rank[some]
