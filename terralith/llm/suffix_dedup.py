@@ -14,7 +14,8 @@ starts in a document with a smaller doc_id, judged on the input. Overlapping str
 4. A shard indexes, for every page, the stretches of its smallest doc_id only (`run_index`: the transform's runs,
    suffix positions at the runs' ends, thresholds, and the smallest doc_id by runs of rows). All stretches stream
    through the index, which gives their matching statistics. A match of `width` bytes or more says that the string
-   starts in the page's smallest document. What does not match is indexed and streamed by itself.
+   starts in the page's smallest document. What does not match, but has a hash that repeats in the shard, is indexed
+   and streamed by itself.
 5. An anchor of over `HOT_RUNS` runs is salted by chunk in step 4, so that no shard has an unbounded group. There,
    strings that are not marked go on, one by one by their own hashes, to a second round of shards.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from ._util import covered, materialize, mix, read_table, spans_of, window_hash
 from .chunked import chunk_table, opened, pack, pack_ascending, unpack, unpack_ascending
 from .repeats import runs_in
-from .run_index import RunIndex
+from .run_index import NONE, RunIndex
 
 WIDTH = 50
 INNER = 24
@@ -185,24 +186,35 @@ def _stretches(answered: DataFrame, width: int, inner: int, buckets: int, shards
     return answered.mapInArrow(run, _STRETCH)
 
 
-def _matches(index: RunIndex, texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text the smallest owner of its strings, at most int64 where no owner has one."""
-    parts, which, at = [], [], []
-    for k, text in enumerate(texts):
-        for a in range(0, len(text) - width + 1, STREAM):
-            parts.append(text[a : a + STREAM + width - 1])
-            which.append(k)
-            at.append(a)
+def _matches(index: RunIndex, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest owner of each string of the texts, end to end, `NONE` where no owner has one, and the texts' offsets."""
+    parts, at = [], []
     sizes = np.fromiter((len(t) - width + 1 for t in texts), np.int64, len(texts))
-    base = np.cumsum(sizes) - sizes
-    out = np.full(int(sizes.sum()), np.iinfo(np.int64).max)
-    place = base[np.array(which, np.int64)] + np.array(at, np.int64) + np.fromiter(map(len, parts), np.int64, len(parts))
+    offs = np.append(0, np.cumsum(sizes))
+    for text, base in zip(texts, offs.tolist(), strict=False):
+        for a in range(0, len(text) - width + 1, STREAM):
+            part = text[a : a + STREAM + width - 1]
+            parts.append(part)
+            at.append(base + a + len(part))
+    out, ends = np.full(int(offs[-1]), NONE), np.array(at, np.int64)
     for back, long, least in index.stream(parts):
-        out[place[long] - back] = least
-    return np.split(out, base[1:])
+        out[ends[long] - back] = least
+    return out, offs
 
 
-_NONE = np.iinfo(np.int64).max
+def _again(wanted: np.ndarray, offs: np.ndarray, texts: list[bytes], width: int) -> np.ndarray:
+    """Of the wanted strings, those whose hash another wanted string has too."""
+    at = np.flatnonzero(wanted)
+    hashes = window_hash(np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1), width)
+    text = np.repeat(np.arange(len(texts)), np.diff(offs))[at]
+    hashes = hashes[at + text * (width - 1)]
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    out = np.zeros_like(wanted)
+    out[at[twice]] = True
+    return out
 
 
 def _decide(width: int, shards: int):
@@ -212,49 +224,47 @@ def _decide(width: int, shards: int):
         done = table.filter(table["piece"].is_null())
         table = table.filter(table["piece"].is_valid())
         home, hot, chunk, doc, row, start = (table[c].to_numpy(zero_copy_only=False) for c in ("home", "hot", "chunk", "doc_id", "row", "start"))
-        pieces = table["piece"].to_pylist()
-        number: dict[bytes, int] = {}
-        of = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
-        texts = list(number)
+        kinds = table["piece"].combine_chunks().dictionary_encode()
+        texts, of = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
         if not texts:
             return done
         # the smallest document of each page, and of each text
         _, page = np.unique(home, return_inverse=True)
-        smallest = np.full(int(page.max()) + 1, _NONE)
+        smallest = np.full(int(page.max()) + 1, NONE)
         np.minimum.at(smallest, page, doc)
-        owner = np.full(len(texts), _NONE)
+        owner = np.full(len(texts), NONE)
         np.minimum.at(owner, of, doc)
         chosen = np.unique(of[doc == smallest[page]])
-        least = _matches(RunIndex([texts[k] for k in chosen.tolist()], owner[chosen], width), texts, width)
-        # what the pages' smallest documents don't have
-        rest, where = [], []
-        for k, x in enumerate(least):
-            a, b = spans_of(x == _NONE, np.array([0, len(x)]))
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                rest.append(texts[k][i : j + width - 1])
-                where.append((k, i))
-        if rest:
-            owners = owner[np.array([k for k, _ in where])]
-            for (k, i), x in zip(where, _matches(RunIndex(rest, owners, width), rest, width), strict=True):
-                least[k][i : i + len(x)] = x
-        by = np.argsort(chunk, kind="stable")
-        edges = np.flatnonzero(np.append(True, chunk[by][1:] != chunk[by][:-1]))
-        out = []
-        for group in np.split(by, edges[1:]):
-            found = [np.zeros((0, 3), np.int64)]
-            for k in group.tolist():
-                x = least[of[k]]
-                a, b = spans_of(x < doc[k], np.array([0, len(x)]))
-                if len(a):
-                    found.append(np.stack([np.full(len(a), row[k]), start[k] + a, b - a], axis=1))
-            rows = np.concatenate(found)
-            if len(rows):
-                out.append((None, None, None, int(chunk[group[0]]), None, None, None, None, _marks(*rows.T)))
+        least, offs = _matches(RunIndex([texts[k] for k in chosen.tolist()], owner[chosen], width), texts, width)
+        # what the pages' smallest documents don't have, as far as its hashes repeat
+        a, b = spans_of(_again(least == NONE, offs, texts, width), offs)
+        if len(a):
+            whose = np.searchsorted(offs, a, side="right") - 1
+            rest = [texts[k][i:j] for k, i, j in zip(whose.tolist(), (a - offs[whose]).tolist(), (b - offs[whose] + width - 1).tolist(), strict=True)]
+            found, inner = _matches(RunIndex(rest, owner[whose], width), rest, width)
+            least[np.repeat(a - inner[:-1], np.diff(inner)) + np.arange(len(found))] = found
+        # a string that no other text has is its text's own
+        alone = np.flatnonzero(least == NONE)
+        least[alone] = owner[np.searchsorted(offs, alone, side="right") - 1]
+        # back to the rows that have the texts
+        sizes = np.diff(offs)[of]
+        stops = np.append(0, np.cumsum(sizes))
+        mine = least[np.repeat(offs[of] - stops[:-1], sizes) + np.arange(stops[-1])]
+        later = mine < np.repeat(doc, sizes)
+        a, b = spans_of(later, stops)
+        whose = np.searchsorted(stops, a, side="right") - 1
+        order = np.argsort(chunk[whose], kind="stable")
+        a, b, whose = a[order], b[order], whose[order]
+        first, out = start[whose] + a - stops[whose], []
+        edges = np.flatnonzero(np.append(True, chunk[whose][1:] != chunk[whose][:-1])) if len(whose) else whose
+        for i, j in zip(edges.tolist(), np.append(edges[1:], len(whose)).tolist(), strict=False):
+            out.append((None, None, None, int(chunk[whose[i]]), None, None, None, None, _marks(row[whose[i:j]], first[i:j], (b - a)[i:j])))
         for k in np.flatnonzero(hot & (doc == owner[of])).tolist():
-            hashes = _hashed(window_hash(np.frombuffer(pieces[k], np.uint8).astype(np.uint64) + np.uint64(1), width))
-            for i in np.flatnonzero(least[of[k]] >= doc[k]).tolist():
+            piece = texts[of[k]]
+            hashes = _hashed(window_hash(np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1), width))
+            for i in np.flatnonzero(~later[stops[k] : stops[k + 1]]).tolist():
                 h = int(hashes[i])
-                out.append((h % shards, h >> 1, False, int(chunk[k]), int(doc[k]), int(row[k]), int(start[k]) + i, pieces[k][i : i + width], None))
+                out.append((h % shards, h >> 1, False, int(chunk[k]), int(doc[k]), int(row[k]), int(start[k]) + i, piece[i : i + width], None))
         made = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(_STRETCHES), _STRETCHES.types, strict=True)], schema=_STRETCHES)
         return pa.concat_tables([done.cast(_STRETCHES), made])
 

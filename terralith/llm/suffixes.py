@@ -17,7 +17,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     bits = max(int(symbols.max()).bit_length(), 1)
     h = max(1, 63 // bits)
     ends = np.flatnonzero(symbols == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the piece ends
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the piece ends
     key = np.zeros(n, np.int64)
     padded = np.zeros(n + h, np.int64)
     padded[:n] = symbols
