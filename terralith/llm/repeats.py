@@ -23,15 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import chunks, input_bytes, materialize, mix, packed_texts, text_array, window_hash
+from ._util import chunks, input_bytes, mix, packed_texts, text_array, window_hash
 
 #: Entries of one bucket, about; a bucket is one group of a grouped map.
 BUCKET_ENTRIES = 1_000_000
 
-#: Anchors of more entries than this, and than a part in HOT_MOST of all entries, are hot; so at most HOT_MOST are.
-HOT_LEAST = 20_000
-HOT_MOST = 100_000
-
 _RUN = np.dtype([("anchor", "<u8"), ("start", "<i4"), ("count", "<i4")])
 #: (values to hash, offsets of the rows in them) of one slice of documents.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -135,11 +131,7 @@ def _blocks(docs: DataFrame, units: Units, width: int, inner: int, buckets: int)
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """The runs of one bucket whose anchors stand in several documents, a row per document.
-
-    One row without doc_id has the number of entries as its tag, and the anchors of over HOT_LEAST entries with
-    their numbers of entries as `start`.
-    """
+    """The runs of one bucket whose anchors stand in several documents, a row per document."""
     ready = table.filter(pa.compute.is_valid(table["runs"])).select(["doc_id", "tag", "runs"])
     blocks = table.filter(pa.compute.is_valid(table["anchors"]))
     ids, tags, runs, many = [], [], [], []
@@ -158,11 +150,6 @@ def _shared(table: pa.Table) -> pa.Table:
     first = np.append(True, anchors[1:] != anchors[:-1])
     head, group = np.flatnonzero(first), np.cumsum(first) - 1
     shared = (np.maximum.reduceat(ids[order], head) != np.minimum.reduceat(ids[order], head)) | np.logical_or.reduceat(many[order], head)
-    entries = np.diff(np.append(head, len(order)))
-    many = np.flatnonzero(entries > HOT_LEAST)
-    hot = np.zeros(len(many), _RUN)
-    hot["anchor"], hot["start"] = anchors[head[many]], entries[many]
-    ready = pa.concat_tables([ready, pa.table({"doc_id": pa.array([None], pa.int64()), "tag": [len(order)], "runs": pa.array([hot.tobytes()], pa.binary())}).cast(ready.schema)])
     kept = order[shared[group]]
     kept = kept[np.lexsort((runs["start"][kept], tags[kept], ids[kept]))]
     if not len(kept):
@@ -174,12 +161,12 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _found(docs: DataFrame, units: Units, width: int, inner: int, per_entry: int) -> DataFrame:
-    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (per_entry * BUCKET_ENTRIES))
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, "text") // (per_entry * BUCKET_ENTRIES))
     return _blocks(docs, units, width, inner, buckets).groupBy("bucket").applyInArrow(_shared, "doc_id long, tag long, runs binary")
 
 
 def _with_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return packed_texts(docs).join(found.where("doc_id is not null").groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs")), ["doc_id", "tag"])
+    return packed_texts(docs).join(found.groupBy("doc_id", "tag").agg(F.collect_list("runs").alias("runs")), ["doc_id", "tag"])
 
 
 def shared_runs(docs: DataFrame, units: Units, width: int, inner: int, per_entry: int) -> DataFrame:
@@ -190,19 +177,6 @@ def shared_runs(docs: DataFrame, units: Units, width: int, inner: int, per_entry
     return _with_runs(docs, _found(docs, units, width, inner, per_entry))
 
 
-def shared_runs_and_hot(docs: DataFrame, units: Units, width: int, inner: int, per_entry: int) -> tuple[DataFrame, set[int]]:
-    """shared_runs, and the hot anchors: at most HOT_MOST numbers, whatever the input."""
-    found = materialize(_found(docs, units, width, inner, per_entry), "runs")
-    notes = found.where("doc_id is null")
-    least = max(HOT_LEAST, (notes.agg(F.sum("tag")).head()[0] or 0) // HOT_MOST)
-    size = _RUN.itemsize
-    hot: set[int] = set()
-    for (packed,) in notes.where(F.octet_length("runs") >= size).select("runs").collect():
-        x = np.frombuffer(packed, _RUN)
-        hot.update(x["anchor"][x["start"] > least].tolist())
-    return _with_runs(docs, found), hot
-
-
 def runs_of(parts: list[bytes]) -> np.ndarray:
     """The runs of one document, by start; rows that repeat give theirs once."""
     x = np.concatenate([np.frombuffer(p, _RUN) for p in parts])

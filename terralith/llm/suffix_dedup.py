@@ -17,7 +17,7 @@ starts in a document with a smaller doc_id, judged on the input. Overlapping str
    starts in the page's smallest document. What does not match, but has a hash that repeats in the shard, is indexed
    and streamed by itself.
 5. An anchor of over `HOT_RUNS` runs is salted by chunk in step 4, so that no shard has an unbounded group. There,
-   strings that are not marked go on, one by one by their own hashes, to a second round of shards.
+   runs with strings that are not marked go on to a second round of shards, by longer anchors of their own.
 
 The marks come from the index, but for equal stretches within one chunk. Null and empty texts have no bytes; rows
 that repeat a doc_id do not remove each other's bytes; rows without a doc_id are left whole and remove nothing;
@@ -217,8 +217,8 @@ def _again(wanted: np.ndarray, offs: np.ndarray, texts: list[bytes], width: int)
     return out
 
 
-def _decide(width: int, shards: int):
-    """One shard's marks, by chunk, and the strings of hot anchors that go on to another shard."""
+def _decide(width: int, shards: int, again: int):
+    """One shard's marks, by chunk, and the runs of hot anchors, by anchors of `again` bytes, that go on to another shard."""
 
     def run(table: pa.Table) -> pa.Table:
         done = table.filter(table["piece"].is_null())
@@ -260,11 +260,11 @@ def _decide(width: int, shards: int):
         for i, j in zip(edges.tolist(), np.append(edges[1:], len(whose)).tolist(), strict=False):
             out.append((None, None, None, int(chunk[whose[i]]), None, None, None, None, _marks(row[whose[i:j]], first[i:j], (b - a)[i:j])))
         for k in np.flatnonzero(hot & (doc == owner[of])).tolist():
-            piece = texts[of[k]]
-            hashes = _hashed(window_hash(np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1), width))
-            for i in np.flatnonzero(~later[stops[k] : stops[k + 1]]).tolist():
-                h = int(hashes[i])
-                out.append((h % shards, h >> 1, False, int(chunk[k]), int(doc[k]), int(row[k]), int(start[k]) + i, piece[i : i + width], None))
+            piece, open_ = texts[of[k]], np.append(0, np.cumsum(~later[stops[k] : stops[k + 1]]))
+            _, runs, _ = runs_in(np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1), np.array([0, len(piece)]), width, again)
+            for h, i, n in zip(_hashed(runs["anchor"]).tolist(), runs["start"].tolist(), runs["count"].tolist(), strict=True):
+                if open_[i + n] > open_[i]:
+                    out.append((h % shards, h >> 1, False, int(chunk[k]), int(doc[k]), int(row[k]), int(start[k]) + i, piece[i : i + n + width - 1], None))
         made = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(_STRETCHES), _STRETCHES.types, strict=True)], schema=_STRETCHES)
         return pa.concat_tables([done.cast(_STRETCHES), made])
 
@@ -280,9 +280,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot_
     shards = max(2 * least, n_bytes // SHARD_BYTES)
     answers = _entries(chunks, width, inner, buckets).groupBy("bucket").applyInArrow(_answers(hot_runs), "chunk long, bucket long, codes binary")
     answered = chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers")), "chunk")
-    decided = _stretches(answered, width, inner, buckets, shards).groupBy("shard").applyInArrow(_decide(width, shards), _STRETCH)
+    decide = _decide(width, shards, inner + 2 * (width - inner) // 3)
+    decided = _stretches(answered, width, inner, buckets, shards).groupBy("shard").applyInArrow(decide, _STRETCH)
     first = materialize(decided, "marks")
-    second = first.where("piece is not null").groupBy("shard").applyInArrow(_decide(width, shards), _STRETCH)
+    second = first.where("piece is not null").groupBy("shard").applyInArrow(decide, _STRETCH)
     marks = first.where("marks is not null").select("chunk", "marks").unionAll(second.select("chunk", "marks").where("marks is not null"))
     every = chunks.join(marks.groupBy("chunk").agg(F.collect_list("marks").alias("marks")), "chunk", "left").select("ids", "sizes", "texts", "marks")
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
