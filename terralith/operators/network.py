@@ -112,9 +112,8 @@ def costs(edges: DataFrame, origins: DataFrame, cutoff: float | None = None) ->
     Of equal costs the smallest `via` stays. Costs are not negative. A graph of at most `GRAPH_EDGES` edges is
     broadcast and searched from each origin by itself; over a larger one all searches spread in rounds of joins.
     """
-    if edges.limit(GRAPH_EDGES + 1).count() <= GRAPH_EDGES:
-        return _searches(edges, origins, cutoff)
-    return spread_costs(edges, origins, cutoff)
+    ways = materialize(edges.select("u", "v", F.col("cost").cast("double").alias("cost")), "ways")
+    return (_searches if ways.count() <= GRAPH_EDGES else spread_costs)(ways, origins, cutoff)
 
 
 def spread_costs(edges: DataFrame, origins: DataFrame, cutoff: float | None = None) -> DataFrame:
