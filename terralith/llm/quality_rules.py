@@ -25,8 +25,8 @@ from ._util import read_table
 
 MIN_WORDS = 50
 #: Rows of the sample that costs and selectivities are estimated on, and how often each is run in one measurement.
-SAMPLE_ROWS = 500
-REPEATS = 4
+SAMPLE_ROWS = 250
+REPEATS = 2
 
 #: White space between words, for regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
