@@ -1,15 +1,23 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, and chains of them.
 
-Shingles are those of `simhash` (lower-cased A-Z, five words, 64-bit hashes); a set counts each once. Candidates
-come from blocks: in one order of all shingles, two sets of a similarity t share a shingle among the first
-n - ceil(t * n) + 1 of each, so every pair meets in the block of that shingle. Shingles that are frequent in a
-sample come last in the order, which bounds the blocks and never loses a pair. Within a block, pairs whose sizes
-rule the similarity out, or whose SimHash fingerprints (of the sets) differ in over `MAX_BITS` of 64 bits, are
-left; 0.8 is 10 bits on average with a deviation of 3. Each other pair is confirmed by its exact sets.
-
-A block is compared in rounds: first each member with one pivot, then with the next 4, 16, ... of them, and only
+Shingles are runs of five words (lower-cased A-Z, `[^\\x20\\x09-\\x0D]+`), as 64-bit hashes; a text of fewer words
+is one shingle, and a set counts each once. Equal sets are one member of what follows.
+
+Candidates come from blocks: in one order of all shingles, two sets of a similarity t share a shingle among the first
+n - ceil(t * n) + 1 of each, so every pair meets in the block of that shingle. Shingles that many documents have come
+last in the order, which keeps blocks small and never loses a pair; they are counted over all documents. These first
+shingles travel as packed lists, one per slice of documents and bucket, and a bucket gives its blocks. Within a
+block, pairs whose sizes rule the similarity out are left; of the others the SimHash fingerprints (of the sets) go
+through the pigeonring filter of `simhash` and the full Hamming check, at most `MAX_BITS` of 64; 0.8 is 10 bits on
+average with a deviation of 3. Each other pair is confirmed by its exact sets, found anew from the two texts.
+
+A block is compared in rounds: first each member with one pivot, then with the next 16, 256, ... of them, and only
 members that no confirmed pair has joined yet. So a group of near copies takes about as many pairs as members,
 and after the last round every pair is either joined or was compared.
+
+Null, empty and blank texts have the empty set and are copies of each other. Rows of one doc_id and different texts
+are documents of their own; rows without a doc_id take no part. Extra columns are not read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,76 +30,201 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize, mix
+from ._util import NOT_SPACE, _R1, chunks, digests, materialize, mix, packed_texts, powers, prefix_hash, text_array, unpacked, words_in
+from .chunked import pack, pack_ascending, unpack, unpack_ascending
 from .graph import connected_components
-from .simhash import majority, shingle_hashes
+from .simhash import majority, ring_close
 
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
 MAX_BITS = 24
 #: A block of at most so many members is compared in whole in the first round.
 SMALL = 8
-#: Documents in the sample for frequent shingles, about, and in how many of them a frequent shingle is.
-SAMPLE_DOCS = 20_000
-FREQUENT = 64
+#: Text bytes of one slice of documents.
+SLICE_BYTES = 4 << 20
+#: A shingle is frequent if over one in `FREQUENT` documents of a partition has it; the order knows the `ORDERED` most frequent ones.
+FREQUENT = 2000
+ORDERED = 200_000
+#: Entries of a bucket of first shingles, about.
+BUCKET_ENTRIES = 1_000_000
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MEMBER = np.dtype([("sid", "<i8"), ("fp", "<u8"), ("n", "<i4")])
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, sid (a hash of the set), n, fp, hashes (the set in order, as bytes)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(x or b"", shingle)) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            packed = [x.tobytes() for x in found]
-            sid = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in packed), np.uint64, len(packed)).view(np.int64)
-            fp = np.fromiter(map(majority, found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid), pa.array([len(x) for x in found], pa.int32()), pa.array(fp), pa.array(packed, pa.binary())], ["doc_id", "sid", "n", "fp", "hashes"])
+def shingle_sets(data: np.ndarray, offs: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The shingles of each text, ascending."""
+    data = _LOWER[data]
+    codes, words, rows = words_in(data, offs, NOT_SPACE[data])
+    if not len(codes):
+        return [np.zeros(0, np.uint64)] * (len(offs) - 1)
+    so_far = prefix_hash(digests(words)[0][codes], _R1)
+    first = rows[:-1]
+    count = np.maximum(np.diff(rows) - shingle, 0) + (np.diff(rows) > 0)
+    stops = np.cumsum(count)
+    at = np.repeat(first - (stops - count), count) + np.arange(stops[-1])
+    size = np.minimum(np.repeat(np.diff(rows), count), shingle)
+    hashes = mix((so_far[at + size] - so_far[at]) * powers(pow(_R1, -1, 1 << 64), len(so_far))[at] + size.astype(np.uint64))
+    return [np.unique(x) for x in np.split(hashes, stops[:-1])]
+
+
+def set_hash(values: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64))
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sid long, n int, fp long, hashes binary")
 
+_PRINT = "doc_id long, tag long, sid long, n int, fp long, often binary"
+_COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) of many documents in a sample, and of how many; no more than the sample's shingles / FREQUENT."""
-    every = max(1, sets.count() // SAMPLE_DOCS)
+
+def _counted(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(parts)
+    x = x[np.argsort(x["h"])]
+    head = np.flatnonzero(np.append(True, x["h"][1:] != x["h"][:-1])) if len(x) else np.zeros(0, np.int64)
+    out = x[head]
+    if len(x):
+        out["c"] = np.add.reduceat(x["c"], head)
+    return out
+
+
+def _prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row per document (doc_id, tag, a hash of its set, the set's size and fingerprint), and one per partition with its frequent shingles."""
+    names = [x.split()[0] for x in _PRINT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, n_docs = [np.zeros(0, _COUNT)], 0
+        for batch in chunks(batches, "text", SLICE_BYTES):
+            sets = shingle_sets(*text_array(batch.column("text")), shingle)
+            h, c = np.unique(np.concatenate(sets), return_counts=True)
+            here = np.zeros(int((c > 1).sum()), _COUNT)
+            here["h"], here["c"] = h[c > 1], c[c > 1]
+            often, n_docs = [_counted([*often, here])], n_docs + len(sets)
+            sid, n = pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+            fp = pa.array(np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), sid, n, fp, pa.nulls(len(sets), pa.binary())], names)
+        kept = often[0][often[0]["c"] > max(n_docs // FREQUENT, 2)]
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())] + [pa.array([kept.tobytes()], pa.binary())], names)
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, _PRINT)
+
+
+def _frequent(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (ascending, at most `ORDERED`), and in how many documents they were seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["h"])
+            for packed in batch.column(0).to_pylist():
+                x = np.frombuffer(packed, _COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(x["h"].view(np.int64)), pa.array(x["c"])], ["h", "c"])
 
-    one = sets.where(F.pmod(F.xxhash64("sid"), F.lit(every)) == 0).select("hashes")
-    got = one.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).toArrow()
+    counts = prints.where("often is not null").select("often").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    got = counts.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
     h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def _members(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, sid, fp, n: each set in the blocks of its first shingles."""
-    known, counts = frequent
+def first_shingles(values: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a set, the shingles of which every near copy has one among its own."""
     a, b = LEAST
+    if not len(values):
+        return values
+    if len(known):
+        place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        values = values[np.lexsort((values, np.where(known[place] == values, counts[place], 0)))]
+    return values[: len(values) + 1 + (-a * len(values)) // b]
+
+
+_LISTS = "bucket long, members binary, keys binary, which binary"
+
+
+def _lists(docs: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """The first shingles of all sets by bucket, packed by slices of documents."""
+    names = [x.split()[0] for x in _LISTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys = []
-                for packed in part.column(3).to_pylist():
-                    x = np.frombuffer(packed, np.uint64)
-                    first = len(x) + 1 + (-a * len(x)) // b if len(x) else 0
-                    if len(known):
-                        place = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                        x = x[np.lexsort((x, np.where(known[place] == x, counts[place], 0)))]
-                    keys.append(x[:first])
-                times = np.array([len(k) for k in keys])
-                sid, n, fp = (np.repeat(part.column(i).to_numpy(), times) for i in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(sid), pa.array(fp), pa.array(n)], ["key", "sid", "fp", "n"])
-
-    return sets.select("sid", "n", "fp", "hashes").mapInArrow(run, "key long, sid long, fp long, n int")
+        for batch in chunks(batches, "text", SLICE_BYTES):
+            sets = list({set_hash(x): x for x in shingle_sets(*text_array(batch.column("text")), shingle)}.items())
+            firsts = [first_shingles(x, *frequent) for _, x in sets]
+            keys = mix(np.concatenate(firsts)) if firsts else np.zeros(0, np.uint64)
+            if not len(keys):
+                continue
+            member = np.zeros(len(sets), _MEMBER)
+            member["sid"], member["n"] = [s for s, _ in sets], [len(x) for _, x in sets]
+            member["fp"] = np.fromiter((majority(x) for _, x in sets), np.uint64, len(sets))
+            which = np.repeat(np.arange(len(sets)), [len(x) for x in firsts])
+            keys = ((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+            order = np.argsort(keys)
+            keys, which = keys[order], which[order]
+            bucket = (keys >> np.uint64(32)).astype(np.int64)
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            out = []
+            for a, b in zip(edges.tolist(), np.append(edges[1:], len(keys)).tolist(), strict=True):
+                own, local = np.unique(which[a:b], return_inverse=True)
+                out.append((int(bucket[a]), member[own].tobytes(), pack_ascending((keys[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pack(local.astype("<u4").tobytes(), 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
+
+    return docs.select("text").mapInArrow(run, _LISTS)
+
+
+#: A pair to confirm, or a block with more pairs (a and b null).
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.struct([("sid", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("root", pa.int64())])))])
+_FOUND_DDL = "a long, b long, members array<struct<sid:long,fp:long,n:int,root:long>>"
+
+
+def _close(sid: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the pivots low, ..., high - 1 of a block with later members of other roots that may be near copies."""
+    num, den = LEAST
+    n = n.astype(np.int64)
+    for p in range(low, (len(sid) if len(sid) <= SMALL else min(high, len(sid))) - 1 + (len(sid) > high)):
+        ok = np.flatnonzero((root[p + 1 :] != root[p]) & (den * n[p + 1 :] >= num * n[p]) & (den * n[p] >= num * n[p + 1 :])) + p + 1
+        ok = ok[ring_close(fp[ok], fp[p], MAX_BITS)]
+        if len(ok):
+            yield np.minimum(sid[ok], sid[p]), np.maximum(sid[ok], sid[p])
+
+
+def _found(table: pa.Table) -> pa.Table:
+    """The blocks of one bucket: the first round's pairs, and those blocks that need more."""
+    members = [np.frombuffer(x, _MEMBER) for x in table["members"].to_pylist()]
+    keys = np.concatenate([unpack_ascending(x) for x in table["keys"].to_pylist()])
+    base = np.cumsum([len(m) for m in members]) - [len(m) for m in members]
+    which = np.concatenate([unpack(x, "<u4").astype(np.int64) + b for x, b in zip(table["which"].to_pylist(), base.tolist(), strict=True)])
+    members = np.concatenate(members)
+    _, same, of = np.unique(members["sid"], return_index=True, return_inverse=True)
+    which = of[which]
+    members = members[same]
+    order = np.lexsort((which, keys))
+    keys, which = keys[order], which[order]
+    kept = np.append(True, (keys[1:] != keys[:-1]) | (which[1:] != which[:-1]))
+    keys, which = keys[kept], which[kept]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(head, len(keys)))
+    a, b, blocks, seen = [], [], [], set()
+    for at, n in zip(head[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        block = which[at : at + n]
+        if (key := block.tobytes()) in seen:
+            continue
+        seen.add(key)
+        m = members[block]
+        m = m[np.argsort(mix(m["sid"].view(np.uint64)))]
+        for x, y in _close(m["sid"], m["fp"], m["n"], m["sid"], 0, 1):
+            a.append(x)
+            b.append(y)
+        if n > max(SMALL, 2):
+            blocks.append([{"sid": s, "fp": f, "n": k, "root": s} for s, f, k in zip(m["sid"].tolist(), m["fp"].view(np.int64).tolist(), m["n"].tolist(), strict=True)])
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+    none = [None] * len(blocks)
+    return pa.Table.from_arrays([pa.array(pairs[0].tolist() + none, pa.int64()), pa.array(pairs[1].tolist() + none, pa.int64()), pa.array([None] * pairs.shape[1] + blocks, _FOUND.field("members").type)], schema=_FOUND)
 
 
 def _pairs(blocks: DataFrame, low: int, high: int) -> DataFrame:
     """a, b: pairs of the pivots low, ..., high - 1 of each block (members: sid, fp, n, root) with later members of other roots."""
-    num, den = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,51 +232,62 @@ def _pairs(blocks: DataFrame, low: int, high: int) -> DataFrame:
                 x = group.values
                 sid, fp, n, root = (x.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "fp", "n", "root"))
                 order = np.argsort(mix(sid.view(np.uint64)))
-                sid, fp, n, root = sid[order], fp[order].view(np.uint64), n[order].astype(np.int64), root[order]
-                for p in range(low, (len(sid) if len(sid) <= SMALL else min(high, len(sid))) - 1 + (len(sid) > high)):
-                    rest = slice(p + 1, None)
-                    ok = (root[rest] != root[p]) & (den * n[rest] >= num * n[p]) & (den * n[p] >= num * n[rest])
-                    ok &= np.bitwise_count(fp[rest] ^ fp[p]) <= MAX_BITS
-                    other = sid[rest][ok]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, sid[p])), pa.array(np.maximum(other, sid[p]))], ["a", "b"])
+                for a, b in _close(sid[order], fp[order].view(np.uint64), n[order], root[order], low, high):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return blocks.select("members").mapInArrow(run, "a long, b long").distinct()
+    return blocks.select("members").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """src, dst: the pairs whose sets have the least similarity."""
     num, den = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches, SLICE_BYTES):
+            other: dict[bytes, np.ndarray] = {}
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(shingle_sets(*text_array(batch.column("text")), shingle), batch.column("x").to_pylist(), strict=True):
+                if y not in other:
+                    if len(other) > 256:
+                        other.clear()
+                    raw = unpack(y)
+                    other[y] = shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+                y = other[y]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-    other = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
-    got = pairs.join(one, "b").join(other, "a").select(F.col("a").alias("src"), F.col("b").alias("dst"), "x", "y")
+    one = texts.select(F.col("sid").alias("b"), "text")
+    other = texts.select(F.col("sid").alias("a"), F.col("text").alias("x"))
+    got = pairs.join(one, "b").join(other, "a").select(F.col("a").alias("src"), F.col("b").alias("dst"), "text", "x")
     return got.mapInArrow(run, "src long, dst long")
 
 
-def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id that pairs of near copies lead to, for the rows with a doc_id."""
-    every = materialize(_sets(docs.where("doc_id is not null"), shingle), "sets")
-    owners = materialize(every.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "owners")
-    sets = every.join(owners, ["sid", "doc_id"], "left_semi")
-    members = _members(sets, _frequent(sets)).groupBy("key").agg(F.collect_list(F.struct("sid", "fp", "n", F.col("sid").alias("root"))).alias("members"))
-    blocks = materialize(members.where(F.size("members") > 1), "blocks")
+def near_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, tag (a hash of the text), keeper (doc_id, tag): the smallest document that pairs of near copies lead to, for each document."""
+    spark = docs.sparkSession
+    known = _tagged(docs)
+    prints = materialize(_prints(known, shingle), "prints")
+    every = prints.where("sid is not null").select("doc_id", "tag", "sid", "n")
+    first = F.expr(f"n + 1 - ceil(n * {LEAST[0]} / {LEAST[1]})")
+    entries = every.agg(F.sum(first)).head()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET_ENTRIES)
+    found = materialize(_lists(known, shingle, _frequent(prints), buckets).groupBy("bucket").applyInArrow(_found, _FOUND_DDL), "found")
+    blocks = found.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("key"), "members")
+    pairs = found.where("a is not null").select("a", "b").distinct()
+
+    # texts of the sets that a pair may need, each once, by the smallest document that has it
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionAll(blocks.select(F.explode("members.sid").alias("sid"))).distinct()
+    owners = every.groupBy("sid").agg(F.min(F.struct("doc_id", "tag")).alias("owner"))
+    asked = owners.join(wanted, "sid", "left_semi").select("owner.doc_id", "owner.tag", "sid")
+    texts = materialize(packed_texts(known).join(asked, ["doc_id", "tag"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
     labels, low, high = None, 0, 1
     while True:
-        links = materialize(_confirmed(_pairs(blocks, low, high), sets), "links")
+        links = materialize(_confirmed(pairs, texts, shingle), "links")
         if links.limit(1).count():
             links = links if labels is None else links.unionAll(labels.select(F.col("v").alias("src"), F.col("root").alias("dst")))
             labels = connected_components(links)
-        low, high = high, 4 * high + 1
+        low, high = high, 16 * high + 1
         apart = blocks.where((F.size("members") > SMALL) & (F.size("members") > low + 1))
         if labels is not None:
             member = apart.select("key", F.explode("members").alias("m")).select("key", "m.sid", "m.fp", "m.n", F.col("m.root").alias("old"))
@@ -152,20 +296,30 @@ def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
         blocks = materialize(apart.where(F.size(F.array_distinct("members.root")) > 1), "blocks")
         if not blocks.limit(1).count():
             break
+        pairs = _pairs(blocks, low, high).distinct()
+    own = every.groupBy("sid").agg(F.min(F.struct("doc_id", "tag")).alias("owner"))
     if labels is None:
-        classes = owners.select("sid", "doc_id", F.col("sid").alias("root"))
+        classes = own.select("sid", "owner", F.col("sid").alias("root"))
     else:
-        classes = owners.join(labels, owners["sid"] == labels["v"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return every.select("doc_id", "sid").join(classes.select("sid", "root"), "sid").join(smallest, "root").select("doc_id", "component_id")
+        classes = own.join(labels, own["sid"] == labels["v"], "left").select("sid", "owner", F.coalesce("root", "sid").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("owner").alias("keeper"))
+    keepers = classes.join(smallest, "root").select("sid", "keeper")
+    return every.select("doc_id", "tag", "sid").join(keepers, "sid").select("doc_id", "tag", "keeper").distinct()
+
+
+def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that pairs of near copies lead to, for the rows with a doc_id."""
+    return near_classes(docs, shingle).select("doc_id", F.col("keeper.doc_id").alias("component_id")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs with the smallest doc_id of each component; rows that repeat a doc_id are one document, of which the smallest row stays.
+    """docs with one row, that of the smallest doc_id, of each group of near copies.
 
-    Rows without a doc_id belong to no group and stay.
+    Rows of one doc_id and different texts are documents of their own; rows that repeat both are one document, of
+    which the smallest row stays. Rows without a doc_id belong to no group and stay.
     """
-    known = docs.where("doc_id is not null")
-    kept = near_components(known, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    one = known.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    kept = near_classes(docs, shingle).where((F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("tag") == F.col("keeper.tag"))).select(F.col("doc_id").alias("_kept_id"), F.col("tag").alias("_kept_tag"))
+    known = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), tag.alias("_tag"))
+    one = known.join(kept, (known["_id"] == kept["_kept_id"]) & (known["_tag"] == kept["_kept_tag"]), "left_semi").groupBy("_id", "_tag").agg(F.min("row").alias("row"))
     return one.select("row.*").unionAll(docs.where("doc_id is null"))

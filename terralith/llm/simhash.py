@@ -128,6 +128,23 @@ def _roots(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
+def ring_close(fps: np.ndarray, one: np.uint64, max_bits: int) -> np.ndarray:
+    """Places of the fingerprints that differ from `one` in at most `max_bits` bits.
+
+    Pigeonring first: from some segment on, the first 1, 2, ... differences stay within proportional budgets. The
+    chains of half the ring prune what cannot, then the full check follows.
+    """
+    apart = np.ascontiguousarray(fps ^ one)
+    bits = np.bitwise_count(apart.view(np.uint8).reshape(-1, SEGMENTS)).astype(np.int16)
+    budgets, total = _budgets(max_bits), np.zeros_like(bits)
+    chain = np.ones(bits.shape, bool)
+    for k in range(SEGMENTS // 2):
+        total += np.roll(bits, -k, axis=1)
+        chain &= total <= budgets[k]
+    at = np.flatnonzero(chain.any(axis=1))
+    return at[np.bitwise_count(apart[at]) <= max_bits]
+
+
 def links_within(fps: np.ndarray, start: int, max_bits: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (members, roots) of the links in one group, in blocks of pairs."""
     budgets, n = _budgets(max_bits), len(fps)
