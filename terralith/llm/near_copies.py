@@ -12,8 +12,8 @@ through the pigeonring filter of `simhash` and the full Hamming check, at most `
 average with a deviation of 3. Each other pair is confirmed by its exact sets, found anew from the two texts.
 
 A block is compared in rounds: first each member with one pivot, then with the next 16, 256, ... of them, and only
-members that no confirmed pair has joined yet. From the second round on, a wide SimHash fingerprint (`WIDE_BITS` of 2048)
-prunes pairs besides, which tells similarities of 0.65 from 0.8, so that a large group of loosely similar texts gives
+members that no confirmed pair has joined yet. From the second round on, a wide SimHash fingerprint (`WIDE_BITS` of 4096)
+prunes pairs besides, which tells similarities of 0.7 from 0.8, so that a large group of loosely similar texts gives
 few pairs to confirm. A group of near copies takes about as many pairs as members, and after the last round every
 pair is either joined or was compared.
 
@@ -40,9 +40,9 @@ from .simhash import majority, ring_close
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
 MAX_BITS = 24
-#: 64-bit words of the wide fingerprint, and in how many bits near copies differ at most: 0.8 is 310 of 2048 on average with a deviation of 16.
-WIDE_WORDS = 32
-WIDE_BITS = 384
+#: 64-bit words of the wide fingerprint, and in how many bits near copies differ at most: 0.8 is 620 of 4096 on average with a deviation of 23.
+WIDE_WORDS = 64
+WIDE_BITS = 724
 #: A block of at most so many members is compared in whole in the first round.
 SMALL = 8
 #: Text bytes of one slice of documents.
@@ -236,19 +236,25 @@ def _found(table: pa.Table) -> pa.Table:
 
 
 def _pairs(blocks: DataFrame, low: int, high: int) -> DataFrame:
-    """a, b: pairs of the pivots low, ..., high - 1 of each block (members: sid, fp, n, root, wide) with later members of other roots."""
+    """a, b: pairs of the pivots low, ..., high - 1 of each block (members: sid, fp, n, root, wide, keys) with later members of other roots.
+
+    Of the blocks that two members share, `keys` tells the smallest; only that one gives their pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in batch.column(0):
+            for key, group in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
                 x = group.values
+                before = {s: {k for k in keys if k < key} for s, keys in zip(x.field("sid").to_pylist(), x.field("keys").to_pylist(), strict=True)}
                 sid, fp, n, root = (x.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "fp", "n", "root"))
                 wide = np.frombuffer(b"".join(x.field("wide").to_pylist()), np.uint64).reshape(len(sid), -1)
                 order = np.argsort(mix(sid.view(np.uint64)))
                 for a, b in _close(sid[order], fp[order].view(np.uint64), n[order], root[order], low, high, wide[order]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    own = np.array([before[i].isdisjoint(before[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                    if own.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], ["a", "b"])
 
-    return blocks.select("members").mapInArrow(run, "a long, b long")
+    return blocks.select("members", "key").mapInArrow(run, "a long, b long")
 
 
 def _wide_prints(texts: DataFrame, shingle: int) -> DataFrame:
@@ -322,7 +328,9 @@ def near_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
             member = member.join(labels, member["sid"] == labels["v"], "left").withColumn("root", F.coalesce("root", "old"))
         else:
             member = member.withColumn("root", F.col("old"))
-        apart = member.groupBy("key").agg(F.collect_list(F.struct("sid", "fp", "n", "root", "wide")).alias("members"))
+        shared = member.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # no more than a set has first shingles
+        member = member.drop("keys").join(shared, "sid")
+        apart = member.groupBy("key").agg(F.collect_list(F.struct("sid", "fp", "n", "root", "wide", "keys")).alias("members"))
         blocks = materialize(apart.where(F.size(F.array_distinct("members.root")) > 1), "blocks")
         if not blocks.limit(1).count():
             break
