@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import read_table
+from ._util import materialize, read_table
 
 MIN_WORDS = 50
 #: Rows of the sample that costs and selectivities are estimated on, and how often each is run in one measurement.
@@ -100,8 +100,8 @@ def default_rules(m: dict[str, Column]) -> dict[str, Column]:
 
 def rule_order(docs: DataFrame, rules: Rules, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules by rejection per cost on a random sample of docs, the highest first; rules that reject nothing there by cost alone."""
-    sample = docs.orderBy(F.rand(17)).limit(sample_rows).select("text").toArrow()
-    rows = docs.sparkSession.createDataFrame(sample).withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    sample = materialize(docs.select("text").orderBy(F.rand(17)).limit(sample_rows), "sample")
+    rows = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
     every = rules(metric_columns())
 
     def measured(rule: Column) -> tuple[float, float]:
