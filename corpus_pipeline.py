@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written and read again before the next.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, untouched but where the
+stage's task is to change them, whatever extra columns there are and however they are called. Null texts count as
+empty, an empty table gives an empty one, and a text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -25,27 +27,31 @@ def _kept(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], kept: Col
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _kept(docs, quality_cascade, F.col("kept"))
+    """Rows that the quality rules keep, each judged by itself, repeated ones alike; null, empty and blank texts go."""
+    return _kept(docs, lambda x: quality_cascade(x, metrics=False), F.col("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
+    """One row, that with the smallest doc_id, of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Null, empty and blank texts are copies of each other. Repeated rows are one; rows of one doc_id with texts that
+    are no near copies all stay, and so do rows without a doc_id.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words come from benchmark windows."""
+    """Rows of which less than a twentieth of the words come from benchmark windows; texts without words stay."""
     return _kept(docs, lambda x: contamination(x, read_table(spark, sf_dir, "benchmark")), ~F.col("contaminated"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind and n_chars counted anew."""
+    """All rows, personal data replaced by its kind and n_chars counted anew (null for a null text)."""
     return redact_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their token ids, in sequences of at most 4096."""
+    """The pieces of all rows, with their token ids, in sequences of at most 4096; a text without words is its end token."""
     return pack_documents(docs).drop("doc_row")
 
 
