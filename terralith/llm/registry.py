@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from . import chat, decontaminate, language_id, lexical_search, packing, pii, quality_rules, simhash, structure_repair, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op10_quality_rules": quality_rules.op10,
@@ -13,9 +13,13 @@ QUERIES = {
     "op4_warc": warc.op4,
     "op6_token_counts": token_counts.op6,
     "op1_chat": chat.op1,
+    "op11_lexical_search": lexical_search.op11,
+    "op12_structure_repair": structure_repair.op12,
+    "op13_language_id": language_id.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat": chat.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -160,3 +162,98 @@ def quality(docs):
         n, r = len(words), len(inside)
         out.append((d, n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), r, n < 50 or 100 * r > 50 * n))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(docs, items, k=10):
+    split = lambda t: [w.translate(LOWER) for w in TERM.findall(t or "")]
+    bags = [(d, Counter(split(t))) for d, t in docs]
+    n_docs, total = sum(bool(b) for _, b in bags), sum(b.total() for _, b in bags)
+    held = Counter(w for _, b in bags for w in b)
+    out = []
+    for item, text in items:
+        scores = []
+        for d, bag in bags:
+            score = 0
+            for w, times in Counter(split(text)).items():
+                if tf := bag.get(w):
+                    m = 100 - 75 + 75 * bag.total() * n_docs // total
+                    score += times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * held[w] + 1))) * (10**9 * tf // (1000 * tf + 8 * m))
+            if score > 0:
+                scores.append((-score, d is None, d or 0))
+        out += [(item, i + 1, None if null else d, -s) for i, (s, null, d) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+def _cheapest(rows):
+    """rows of (role, text, fault): (cost, labels) by strings from the end back, and what is left."""
+    step = {("0", "s"): "1", ("0", "u"): "2", ("1", "u"): "2", ("2", "a"): "3", ("3", "u"): "2"}
+    want = lambda q: "assistant" if q == "2" else "user"
+    far = (10**9, "")
+    ahead = {q: far for q in "0123"} | {"0": (0, ""), "3": (0, "")}
+    steps: list[dict] = []
+
+    def inserts(here):
+        how = {}
+        for _ in range(4):
+            for q in "0123":
+                to = step[q, want(q)[0]]
+                new = (here[to][0] + 5, "I" + here[to][1])
+                if new < here[q]:
+                    here[q], how[q] = new, ("I", to)
+        return how
+
+    steps.append(inserts(ahead))
+    for role, _, fault in reversed(rows):
+        here, how = {}, {}
+        for q in "0123":
+            found = [((2 + ahead[q][0], "D" + ahead[q][1]), ("D", q))]
+            if fault not in ("blank", "duplicate"):
+                stays = 5 * (fault == "truncated")
+                if (q, role[:1]) in step:
+                    to = step[q, role[:1]]
+                    found.append(((stays + ahead[to][0], "K" + ahead[to][1]), ("K", to)))
+                to = step[q, want(q)[0]]
+                found.append(((1 + stays + ahead[to][0], "R" + ahead[to][1]), ("R", to)))
+            here[q], how[q] = min(found)
+        how |= inserts(here)
+        steps.append(how)
+        ahead = here
+    left, q, at = [], "0", 0
+    for label in ahead["0"][1]:
+        edit, to = steps[len(rows) - at][q]
+        assert edit == label
+        if label in "IR":
+            left.append((want(q), rows[at][1] if label == "R" else ""))
+        elif label == "K":
+            left.append(rows[at][:2])
+        at += label != "I"
+        q = to
+    return ahead["0"], left
+
+
+def repair(rows):
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        here = by[conv]
+        blank = lambda x: " " if x is None else x
+        harm = zlib.crc32(f"{blank(conv)}:{blank(turn)}".encode()) % 20
+        role, text = "user" if harm == 4 else blank(role), "" if harm == 1 else re.sub("[.!?]", "", blank(text)) if harm == 2 else blank(text)
+        here += [(turn, role, text)] * {0: 0, 3: 2}.get(harm, 1)
+    out = []
+    for conv, turns in by.items():
+        turns.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], sha(x[2])))
+        seen, marked = set(), []
+        for _, role, text in turns:
+            words = SPACE.findall(text)
+            marked.append((role, text, "blank" if not words else "duplicate" if (role, text) in seen else "" if words[-1][-1] in ".!?" else "truncated"))
+            seen.add((role, text))
+        (cost, audit), left = _cheapest(marked)
+        known = [t for t, _, _ in turns if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") or not a[1] or not b[1] for a, b in zip(turns, turns[1:]))
+        faults = [sum(f == x for _, _, f in marked) for x in ("blank", "duplicate", "truncated")]
+        out.append((conv, gaps, *faults, illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in left))))
+    return out

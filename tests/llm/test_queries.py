@@ -1,5 +1,6 @@
 """The numbered queries against their contracts in plain Python, over small tables with odd rows."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -102,6 +103,28 @@ def test_quality(spark, tables):
     assert 0.5 < sum(x[-1] for x in got) / sum(not x[-2] for x in got) <= 1
 
 
+def test_search(spark, tables):
+    want = brute.search(rows_of(tables, "documents", "doc_id", "text"), rows_of(tables, "benchmark", "item_id", "text"))
+    assert len(want) > 300
+    same(query("op11_lexical_search", spark, tables, "item_id", "rank", "doc_id", "score"), want)
+
+
+def test_repair(spark, tables):
+    want = brute.repair(rows_of(tables, "conversations", "conv_id", "turn", "role", "text"))
+    assert {c for r in want for c in r[7]} == set("DKR")
+    same(query("op12_structure_repair", spark, tables, "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"), want)
+
+
+def test_language(spark, tables):
+    lang = {d: (x, t) for d, x, t in rows_of(tables, "documents", "doc_id", "lang", "text") if d >= 10_000}
+    got = query("op13_language_id", spark, tables, "doc_id", "held_out", "lang_pred", "score")
+    assert all(0 <= s <= 1 and out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, out, _, s in got)
+    right = [p == lang[d][0] for d, out, p, _ in got if out and d in lang]
+    assert len(right) > 30 and sum(right) / len(right) > 0.95
+    text = dict(rows_of(tables, "documents", "doc_id", "text"))
+    assert all((p == "und") == (not any(unicodedata.category(c)[0] == "L" for c in text[d] or "")) for d, _, p, _ in got)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty(spark, nothing, name):
     assert QUERIES[name](spark, nothing).count() == (1 if name == "op1_chat" else 0)
@@ -129,6 +152,11 @@ def test_repeated_rows_and_null_ids(spark, repeated, name):
         assert sorted(known, key=repr) == sorted(brute_repeated_pages(repeated[1]), key=repr)
     elif name == "op1_chat":
         assert sorted(r[0] for r in known) == sorted(r[0] for r in one) and sum(r[1] for r in known) == 2 * sum(r[1] for r in one) - 2
+    elif name == "op11_lexical_search":
+        want = brute.search(rows_of(repeated[1], "documents", "doc_id", "text"), rows_of(repeated[1], "benchmark", "item_id", "text"))
+        assert sorted(two, key=repr) == sorted(want, key=repr)
+    elif name == "op12_structure_repair":
+        assert sorted(two, key=repr) == sorted(brute.repair(rows_of(repeated[1], "conversations", "conv_id", "turn", "role", "text")), key=repr)
     elif name == "op5_packing":
         total = lambda rows: sorted((r[0], r[4]) for r in rows if r[1] == 0)
         assert total(known) == sorted(total(one) * 2) and sum(r[2] for r in known) == 2 * sum(r[2] for r in one)
