@@ -174,6 +174,33 @@ def from_utm(e: Column, n: Column, zone: int, north: bool = True) -> tuple[Colum
     return (6.0 * zone - 183.0) + F.degrees(F.atan2(F.sinh(eta2), F.cos(xi2))), F.degrees(lat)
 
 
+def project(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """A point from one system to another: EPSG:4326 (degrees), EPSG:3857 (Web Mercator), EPSG:326zz and EPSG:327zz (UTM)."""
+    if source == target:
+        return x, y
+    return _from_degrees(*_to_degrees(x, y, _code(source)), _code(target))
+
+
+def _code(crs: str) -> int:
+    code = crs.upper().removeprefix("EPSG:")
+    known = code in ("4326", "3857", "900913") or code[:3] in ("326", "327") and code[3:].isdigit() and 1 <= int(code[3:]) <= 60
+    if not known:
+        raise ValueError(f"unknown coordinate system {crs}")
+    return 3857 if code == "900913" else int(code)
+
+
+def _to_degrees(x: Column, y: Column, code: int) -> tuple[Column, Column]:
+    if code == 4326:
+        return x, y
+    return from_mercator(x, y) if code == 3857 else from_utm(x, y, code % 100, code < 32700)
+
+
+def _from_degrees(x: Column, y: Column, code: int) -> tuple[Column, Column]:
+    if code == 4326:
+        return x, y
+    return to_mercator(x, y) if code == 3857 else to_utm(x, y, code % 100, code < 32700)
+
+
 # Chinese datums. The published constants of the GCJ-02 and BD-09 transformations.
 
 _GCJ_A, _GCJ_EE = 6378245.0, 0.00669342162296594323

@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from terralith.plans import audits, extras, grids, places, tables
+from terralith.plans import audits, extras, grids, places, surfaces, tables
 
 from .compare import differences, duck
 
-PLANS = tables.PLANS | places.PLANS | grids.PLANS | audits.PLANS | extras.PLANS
+PLANS = tables.PLANS | places.PLANS | grids.PLANS | audits.PLANS | extras.PLANS | surfaces.PLANS
 
 
 @pytest.fixture(scope="module")
