@@ -119,7 +119,10 @@ def _has_letter(text: Column) -> Column:
 def training_rows(labelled: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """lang, place (from 1), x (packed counts) of the sample of labelled (text, lang), written."""
     rows = labelled.where(F.col("lang").isNotNull() & _has_letter(F.col("text"))).select("text", "lang", F.xxhash64("text").alias("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= most)
+    # Only hashes below a share that leaves some four times as many are ranked, so that no task reads a language whole.
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * most) / F.approx_count_distinct("h")).alias("share"))
+    low = rows.join(F.broadcast(materialize(sizes, "languages")), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    chosen = low.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).where(F.col("place") <= most)
     chosen = materialize(chosen, "chosen")  # at most `most` rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
