@@ -9,7 +9,7 @@ last in the order, which keeps blocks small and never loses a pair; they are cou
 shingles travel as packed lists, one per slice of documents and bucket, and a bucket gives its blocks. Within a
 block, pairs whose sizes rule the similarity out are left; of the others the SimHash fingerprints (of the sets) go
 through the pigeonring filter of `simhash` and the full Hamming check, at most `MAX_BITS` of 64; 0.8 is 10 bits on
-average with a deviation of 3. Each other pair is confirmed by its exact sets, found anew from the two texts.
+average with a deviation of 3; sets of fewer than `FEW` shingles skip both. Each other pair is confirmed by its exact sets, found anew from the two texts.
 
 A block is compared in rounds: first each member with one pivot, then with the next 16, 256, ... of them, and only
 members that no confirmed pair has joined yet. From the second round on, a wide SimHash fingerprint (`WIDE_BITS` of 4096)
@@ -43,6 +43,8 @@ MAX_BITS = 24
 #: 64-bit words of the wide fingerprint, and in how many bits near copies differ at most: 0.8 is 620 of 4096 on average with a deviation of 23.
 WIDE_WORDS = 64
 WIDE_BITS = 724
+#: A set of fewer shingles is compared without bounds on bits: those of so few shingles scatter too widely.
+FEW = 24
 #: A block of at most so many members is compared in whole in the first round.
 SMALL = 8
 #: Text bytes of one slice of documents.
@@ -194,9 +196,12 @@ def _close(sid: np.ndarray, fp: np.ndarray, n: np.ndarray, root: np.ndarray, low
     n = n.astype(np.int64)
     for p in range(low, (len(sid) if len(sid) <= SMALL else min(high, len(sid))) - 1 + (len(sid) > high)):
         ok = np.flatnonzero((root[p + 1 :] != root[p]) & (den * n[p + 1 :] >= num * n[p]) & (den * n[p] >= num * n[p + 1 :])) + p + 1
-        ok = ok[ring_close(fp[ok], fp[p], MAX_BITS)]
+        near = np.minimum(n[ok], n[p]) < FEW
+        near[ring_close(fp[ok], fp[p], MAX_BITS)] = True
+        ok = ok[near]
         if wide is not None:
-            ok = ok[np.bitwise_count(wide[ok] ^ wide[p]).sum(axis=1, dtype=np.int64) <= WIDE_BITS]
+            few = np.minimum(n[ok], n[p]) < FEW
+            ok = ok[few | (np.bitwise_count(wide[ok] ^ wide[p]).sum(axis=1, dtype=np.int64) <= WIDE_BITS)]
         if len(ok):
             yield np.minimum(sid[ok], sid[p]), np.maximum(sid[ok], sid[p])
 
@@ -354,10 +359,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each group of near copies.
 
     Rows of one doc_id and different texts are documents of their own; rows that repeat both are one document, of
-    which the smallest row stays. Rows without a doc_id belong to no group and stay.
+    which the smallest row stays (by its JSON where it holds a map). Rows without a doc_id belong to no group and stay.
     """
     tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     kept = near_classes(docs, shingle).where((F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("tag") == F.col("keeper.tag"))).select(F.col("doc_id").alias("_kept_id"), F.col("tag").alias("_kept_tag"))
     known = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), tag.alias("_tag"))
-    one = known.join(kept, (known["_id"] == kept["_kept_id"]) & (known["_tag"] == kept["_kept_tag"]), "left_semi").groupBy("_id", "_tag").agg(F.min("row").alias("row"))
+    smallest = F.min_by("row", F.to_json("row")) if "map<" in known.schema["row"].dataType.simpleString() else F.min("row")  # maps have no order
+    one = known.join(kept, (known["_id"] == kept["_kept_id"]) & (known["_tag"] == kept["_kept_tag"]), "left_semi").groupBy("_id", "_tag").agg(smallest.alias("row"))
     return one.select("row.*").unionAll(docs.where("doc_id is null"))

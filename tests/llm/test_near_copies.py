@@ -69,3 +69,24 @@ def test_drop(spark):
     assert kept.columns == ["doc_id", "text", "kind"]
     assert sorted(r[0] for r in kept.where("doc_id is not null").collect()) == sorted(set(components(docs).values()))
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_short_texts_in_large_blocks(spark):
+    """One text of eight words, and forty that add a word to it: each is a near copy of the first."""
+    r = random.Random(5)
+    docs = [(0, "a b c d e f g h")] + [(i, f"a b c d e f g h x{i}") for i in range(1, 41)]
+    assert set(dict(near_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()).values()) == {0}
+    # a common start, and sets of 1 to 100 shingles with few or many of them changed
+    for size in (1, 2, 5, 9, 16, 24, 40, 70, 100):
+        start = [f"s{size}w{i}" for i in range(size + 4)]
+        for k in range(24):
+            copy = list(start) + [f"e{r.random()}" for _ in range(r.choice([0, 1, 1, max(size // 4, 1), size // 5]))]
+            docs.append((1000 * size + k + 100, " ".join(copy[: max(len(copy) - r.choice([0, 0, 1, size // 8]), 1)])))
+    got = dict(near_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect())
+    assert got == components(docs)
+
+
+def test_map_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", {"k": 2}, [{"m": 1}]), (1, "a b c", {"k": 1}, None), (2, "a b c", {}, None), (None, "x", {"k": 3}, None)], "doc_id long, text string, extra map<string,int>, more array<map<string,int>>")
+    kept = drop_near_duplicates(docs).collect()
+    assert sorted((x["doc_id"] or 0, x["text"], x["extra"]) for x in kept) == [(0, "x", {"k": 3}), (1, "a b c", {"k": 1})]
