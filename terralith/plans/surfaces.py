@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geo import rectangle
+from ..functions.geo import rectangle, signed_area
 from ..operators import planar as P
 from ..operators import warp as W
+from ..sources.shape_tiles import tile_parts
 from . import inputs as I
 from .inputs import sql, table
 
@@ -88,7 +89,25 @@ def _valid(s, d):
     return got.groupBy("fid").agg(F.count("*").alias("n_polygons"), F.sum(F.size("holes")).alias("n_holes"), F.round(F.sum("area"), 4).alias("area"))
 
 
+ZOOMS = [4, 7, 9]
+
+
+def _polygon_tiles(s, d):
+    """By tile: features, vertices and area in tile units of the nations' rectangles."""
+    nations = I.polygons(s, d).select(F.col("pid").cast("long").alias("fid"), F.array("ring").alias("parts"))
+    parts = tile_parts(nations, ZOOMS, polygon=True)
+    whole = F.transform(F.col("parts")[0], lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return parts.groupBy(F.col("z").cast("long").alias("z"), "tx", "ty").agg(F.count("*").alias("n"), F.sum(F.size(whole)).alias("vertices"), F.sum(signed_area(whole)).alias("area"))
+
+
+_RECT_TILES = """WITH w AS (SELECT pid, x0/360.0::DOUBLE+0.5 AS u0, x1/360.0::DOUBLE+0.5 AS u1, 0.5-ln(tan(pi()/4+radians(y1)/2))/(2*pi()) AS v0, 0.5-ln(tan(pi()/4+radians(y0)/2))/(2*pi()) AS v1 FROM polys),
+z AS (SELECT z, CAST(1::BIGINT << z AS DOUBLE) AS n FROM (VALUES (4), (7), (9)) t(z)), b AS (SELECT z, u0*n AS u0, u1*n AS u1, v0*n AS v0, v1*n AS v1, pid FROM w, z),
+t AS (SELECT *, unnest(range(CAST(floor(u0-1/64.0::DOUBLE) AS BIGINT), CAST(floor(u1+1/64.0::DOUBLE) AS BIGINT)+1)) AS tx FROM b), r AS (SELECT *, unnest(range(CAST(floor(v0-1/64.0::DOUBLE) AS BIGINT), CAST(floor(v1+1/64.0::DOUBLE) AS BIGINT)+1)) AS ty FROM t),
+c AS (SELECT z, tx, ty, round_even(greatest(-64, (u0-tx)*4096),0) AS a, round_even(least(4160, (u1-tx)*4096),0) AS e, round_even(greatest(-64, (v0-ty)*4096),0) AS f, round_even(least(4160, (v1-ty)*4096),0) AS g FROM r)
+SELECT z::BIGINT AS z, tx, ty, count(*) AS n, 4*count(*) AS vertices, sum((e-a)*(g-f))::DOUBLE AS area FROM c WHERE e > a AND g > f GROUP BY 1, 2, 3"""
+
 PLANS = {
+    "vector_tiles_polygons": (_polygon_tiles, sql(_RECT_TILES, "polys")),
     "raster_reproject_nearest": (_warp("nearest"), sql(_NEAREST, "pixels")),
     "raster_reproject_bilinear": (_warp("bilinear"), sql(_kernel_sql(_LINEAR), "pixels")),
     "raster_reproject_cubic": (_warp("cubic"), sql(_kernel_sql(_CUBIC), "pixels")),
