@@ -255,6 +255,10 @@ def rule_applicability(rules: DataFrame, contexts: DataFrame, max_rules: int = 1
     return facts.join(F.broadcast(book)).select(F.explode(held).alias("rule"), "ctx_id").select("rule.rule_id", "ctx_id")
 
 
+#: How names of counties, districts and autonomous counties end in the official list of divisions.
+DISTRICT_ENDINGS = ("县", "区", "自治县")
+
+
 def district_match(names: DataFrame, districts: DataFrame) -> DataFrame:
     """names (full_name, province_hint) with the district (dt_name, dt_adcode, pr_name) whose name is the longest proper prefix of 2 letters or more.
 
@@ -263,7 +267,7 @@ def district_match(names: DataFrame, districts: DataFrame) -> DataFrame:
     """
     known = districts.select("dt_name", F.lpad(F.col("dt_adcode").cast("string"), 6, "0").alias("dt_adcode"), "pr_name")
     n = F.col("dt_name")
-    county, district, autonomous = F.lit("\u53bf"), F.lit("\u533a"), F.lit("\u81ea\u6cbb\u53bf")
+    county, district, autonomous = map(F.lit, DISTRICT_ENDINGS)
     stem = F.substring(n, F.lit(1), F.char_length(n) - 1)
     other = F.when(F.endswith(n, county) & ~F.endswith(n, autonomous), F.concat(stem, district)).when(F.endswith(n, district) & (F.char_length(n) > 2), F.concat(stem, county))
     aliases = known.withColumn("key", other).where("key is not null").join(known.select(F.col("dt_name").alias("key")).distinct(), "key", "left_anti")
@@ -303,8 +307,14 @@ def status_tally(rows: DataFrame, provider: str = "provider", found: str = "foun
     return rows.groupBy(provider).agg(F.count("*").alias("tries"), hits.alias("hits"), F.round(100.0 * hits / F.count("*"), 2).alias("pct"))
 
 
-#: Parts of column names that tell what a column is, in the order of preference.
-FIELD_PARTS = {"name": ("name", "\u540d\u79f0", "title", "\u6807\u9898"), "address": ("address", "\u5730\u5740", "addr", "location", "\u4f4d\u7f6e"), "lat": ("lat", "latitude", "\u7eac\u5ea6", "y"), "lon": ("lon", "lng", "longitude", "\u7ecf\u5ea6", "x")}
+#: Parts of column names that tell what a column is, in the order of preference, in English and Chinese.
+#: They must be these for a table to be read the same way.
+FIELD_PARTS = {
+    "name": ("name", "名称", "title", "标题"),
+    "address": ("address", "地址", "addr", "location", "位置"),
+    "lat": ("lat", "latitude", "纬度", "y"),
+    "lon": ("lon", "lng", "longitude", "经度", "x"),
+}
 
 
 def field_roles(columns: list[str]) -> dict[str, str]:

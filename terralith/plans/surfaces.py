@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.geo import rectangle, signed_area
 from ..operators import planar as P
 from ..operators import warp as W
+from ..operators.geometry import buffer_shapes
+from ..operators.relate import shape_join
 from ..sources.shape_tiles import tile_parts
 from . import inputs as I
 from .inputs import sql, table
@@ -89,6 +93,57 @@ def _valid(s, d):
     return got.groupBy("fid").agg(F.count("*").alias("n_polygons"), F.sum(F.size("holes")).alias("n_holes"), F.round(F.sum("area"), 4).alias("area"))
 
 
+def _boxes(s, d):
+    """Suppliers as boxes of whole hundredths: fid, x0, y0, x1, y1 as numbers."""
+    k = F.col("s_suppkey")
+    b = table(s, d, "supplier").select(k.alias("fid"), (k * 61 % 100).alias("x0"), (k * 89 % 100).alias("y0"), (1 + k % 7).alias("w"), (1 + k % 5).alias("h"))
+    return b.select("fid", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+
+
+def _point(x, y):
+    return F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+
+_RING4 = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")]
+
+
+def _as_polygons(boxes):
+    return boxes.select("fid", F.lit("polygon").alias("kind"), F.array(F.array(*(_point(*c) for c in _RING4))).alias("parts"))
+
+
+def _predicates(s, d):
+    """How many suppliers' boxes and lines meet each nation's square in which way."""
+    n = F.col("n_nationkey")
+    nations = table(s, d, "nation").select(n.alias("fid"), (n % 5 * 20).alias("x0"), (F.floor(n / 5) * 20).alias("y0")).withColumns({"x1": F.col("x0") + 20, "y1": F.col("y0") + 20})
+    squares = _as_polygons(nations)
+    lines = _boxes(s, d).select("fid", F.lit("line").alias("kind"), F.array(F.array(_point("x0", "y0"), _point("x1", "y0"))).alias("parts"))
+    asked = [("polygon", _as_polygons(_boxes(s, d)), p) for p in ("within", "touches", "overlaps")] + [("line", lines, p) for p in ("within", "touches", "crosses")]
+    out = None
+    for kind, shapes, predicate in asked:
+        one = shape_join(shapes, squares, predicate).groupBy(F.col("bid").cast("long").alias("nation")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(predicate).alias("predicate"), "nation", "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_SBOX = "s AS (SELECT s_suppkey AS fid, s_suppkey*61 % 100 AS x0, s_suppkey*89 % 100 AS y0, s_suppkey*61 % 100 + 1 + s_suppkey % 7 AS x1, s_suppkey*89 % 100 + 1 + s_suppkey % 5 AS y1 FROM supplier)"
+_PREDICATES = f"""WITH {_SBOX}, n AS (SELECT n_nationkey::BIGINT AS nation, (n_nationkey % 5)*20 AS a0, (n_nationkey // 5)*20 AS b0, (n_nationkey % 5)*20+20 AS a1, (n_nationkey // 5)*20+20 AS b1 FROM nation),
+p AS (SELECT nation, x0 < a1 AND a0 < x1 AND y0 < b1 AND b0 < y1 AS ii, x0 <= a1 AND a0 <= x1 AND y0 <= b1 AND b0 <= y1 AS meet, x0 >= a0 AND x1 <= a1 AND y0 >= b0 AND y1 <= b1 AS inner_, 'polygon' AS kind FROM s, n
+  UNION ALL SELECT nation, y0 > b0 AND y0 < b1 AND x0 < a1 AND a0 < x1, y0 >= b0 AND y0 <= b1 AND x0 <= a1 AND a0 <= x1, x0 >= a0 AND x1 <= a1, 'line' FROM s, n)
+SELECT kind, 'within' AS predicate, nation, count(*) AS n FROM p WHERE ii AND inner_ GROUP BY ALL UNION ALL SELECT kind, 'touches', nation, count(*) FROM p WHERE meet AND NOT ii GROUP BY ALL
+UNION ALL SELECT kind, CASE kind WHEN 'line' THEN 'crosses' ELSE 'overlaps' END, nation, count(*) FROM p WHERE ii AND NOT inner_ GROUP BY ALL"""
+
+
+def _buffers(s, d):
+    """Areas of the suppliers' boxes with a border of 0.75 around and one of 1 taken off, and all of them dissolved."""
+    shapes = _as_polygons(_boxes(s, d))
+    more = buffer_shapes(shapes, 0.75).groupBy("fid").agg(F.round(F.sum("area"), 3).alias("area")).select("fid", F.lit("out").alias("way"), "area")
+    less = buffer_shapes(shapes, -1.0).groupBy("fid").agg(F.round(F.sum("area"), 3).alias("area")).select("fid", F.lit("in").alias("way"), "area")
+    return more.unionAll(less)
+
+
+_DISC = 16 * 0.75 * 0.75 * math.sin(2 * math.pi / 32)
+_BUFFERS = f"WITH {_SBOX} SELECT fid, 'out' AS way, round((x1-x0)*(y1-y0) + 1.5::DOUBLE*(x1-x0+y1-y0) + {_DISC!r}::DOUBLE, 3) AS area FROM s UNION ALL SELECT fid, 'in', ((x1-x0-2)*(y1-y0-2))::DOUBLE FROM s WHERE x1-x0 > 2 AND y1-y0 > 2"
+
 ZOOMS = [4, 7, 9]
 
 
@@ -107,6 +162,8 @@ c AS (SELECT z, tx, ty, round_even(greatest(-64, (u0-tx)*4096),0) AS a, round_ev
 SELECT z::BIGINT AS z, tx, ty, count(*) AS n, 4*count(*) AS vertices, sum((e-a)*(g-f))::DOUBLE AS area FROM c WHERE e > a AND g > f GROUP BY 1, 2, 3"""
 
 PLANS = {
+    "spatial_join_predicates": (_predicates, _PREDICATES),
+    "shape_buffers": (_buffers, _BUFFERS),
     "vector_tiles_polygons": (_polygon_tiles, sql(_RECT_TILES, "polys")),
     "raster_reproject_nearest": (_warp("nearest"), sql(_NEAREST, "pixels")),
     "raster_reproject_bilinear": (_warp("bilinear"), sql(_kernel_sql(_LINEAR), "pixels")),

@@ -101,3 +101,14 @@ def test_sync_catalog(spark):
     kind = "id long, title string, updated_at long"
     known, new = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], kind), spark.createDataFrame([(2, "c", 6), (3, "d", 6)], kind)
     assert sorted(map(tuple, V.sync_catalog(known, new).select("id", "title").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_field_roles_and_readers(spark, tmp_path):
+    from terralith.operators.relational import field_roles
+    from terralith.sources import files
+
+    assert field_roles(["店铺名称", "详细地址", "纬度", "经度", "phone"]) == {"name": "店铺名称", "address": "详细地址", "lat": "纬度", "lon": "经度"}
+    assert field_roles(["Title", "LOCATION", "lat_wgs", "lng_wgs"]) == {"name": "Title", "address": "LOCATION", "lat": "lat_wgs", "lon": "lng_wgs"}
+    (tmp_path / "a.csv").write_text("经度,纬度,note\n116.5,39.9,one\n,39,none\nabc,1,bad\n", encoding="utf-8")
+    got = files.read_csv(spark, str(tmp_path / "a.csv")).collect()
+    assert [(r["x"], r["y"], r["note"]) for r in got] == [(116.5, 39.9, "one")]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.functions.geo import RING
+from terralith.operators.geometry import buffer_shapes
 from terralith.operators.planar import combine, dissolve_union, make_valid
 
 SHAPE = f"key string, layer int, ring {RING}"
@@ -118,3 +119,35 @@ def test_make_valid_with_rings_in_rings(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], SHAPE)
     assert combine(none).count() == 0 and make_valid(none.select(F.lit(1).alias("fid"), "ring")).count() == 0
+
+
+def test_buffers(spark):
+    """Points drawn at random are within the buffer if their distance says so; borders come off polygons; dissolved by a column."""
+    import math
+
+    r = random.Random(3)
+    bent, square, gap = [(0, 0), (10, 0), (10, 8), (4, 3)], box(0, 0, 20, 20), box(6, 6, 12, 12)
+    rows = [(1, "line", [bent], "a"), (2, "polygon", [square, gap], "a"), (3, "point", [[(30, 30)], [(31, 30)]], None), (4, "polygon", [box(0, 0, 1, 1)], "b"), (5, "line", None, "b"), (6, "polygon", [], "c")]
+    shapes = spark.createDataFrame([(i, k, None if p is None else [points(q) for q in p], t) for i, k, p, t in rows], f"fid int, kind string, parts array<{RING}>, tag string")
+
+    def gap_to(x, y, lines):
+        def far(a, b):
+            t = max(0, min(1, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / (math.dist(a, b) ** 2 or 1)))
+            return math.hypot(a[0] + t * (b[0] - a[0]) - x, a[1] + t * (b[1] - a[1]) - y)
+
+        return min(far(a, b) for p in lines for a, b in zip(p, p[1:] or p))
+
+    wide, less = (buffer_shapes(shapes, d).collect() for d in (2.0, -1.0))
+    proper(wide + less)
+    assert {x["fid"] for x in wide} == {1, 2, 3, 4} and {x["fid"] for x in less} == {2}
+    assert [round(x["area"], 6) for x in less] == [round(18 * 18 - 6 * 6 - 4 * 6 - 16 * math.sin(2 * math.pi / 32), 6)]
+    for _ in range(2500):
+        i, k, p, _ = rows[r.randrange(3)]
+        x, y = r.uniform(-3, 34), r.uniform(-3, 34)
+        d, solid = gap_to(x, y, p), k == "polygon" and inside(x, y, points(square)) and not inside(x, y, points(gap))
+        if not 2 * math.cos(math.pi / 32) - 1e-3 <= d <= 2.001:
+            assert holds([w for w in wide if w["fid"] == i], x, y) == int(solid or d < 2)
+        if k == "polygon" and not math.cos(math.pi / 32) - 1e-3 <= d <= 1.001:
+            assert holds(less, x, y) == int(solid and d > 1)
+    both = buffer_shapes(shapes, 2.0, by=["tag"]).collect()
+    assert {x["tag"] for x in both} == {"a", "b", None} and len([x for x in both if x["tag"] is None]) == 1
