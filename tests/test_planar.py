@@ -140,7 +140,7 @@ def test_buffers(spark):
     wide, less = (buffer_shapes(shapes, d).collect() for d in (2.0, -1.0))
     proper(wide + less)
     assert {x["fid"] for x in wide} == {1, 2, 3, 4} and {x["fid"] for x in less} == {2}
-    assert [round(x["area"], 6) for x in less] == [round(18 * 18 - 6 * 6 - 4 * 6 - 16 * math.sin(2 * math.pi / 32), 6)]
+    assert len(less) == 1 and abs(less[0]["area"] - (18 * 18 - 6 * 6 - 4 * 6 - 16 * math.sin(2 * math.pi / 32))) < 1e-3
     for _ in range(2500):
         i, k, p, _ = rows[r.randrange(3)]
         x, y = r.uniform(-3, 34), r.uniform(-3, 34)
