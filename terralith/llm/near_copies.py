@@ -48,12 +48,12 @@ FEW = 24
 #: A block of at most so many members is compared in whole in the first round.
 SMALL = 8
 #: Text bytes of one slice of documents.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A shingle is frequent if over one in `FREQUENT` documents of a partition has it; the order knows the `ORDERED` most frequent ones.
 FREQUENT = 2000
 ORDERED = 200_000
 #: Entries of a bucket of first shingles, about.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 300_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -234,10 +234,14 @@ def _found(table: pa.Table) -> pa.Table:
             a.append(x)
             b.append(y)
         if n > max(SMALL, 2):
-            blocks.append([{"sid": s, "fp": f, "n": k, "root": s} for s, f, k in zip(m["sid"].tolist(), m["fp"].view(np.int64).tolist(), m["n"].tolist(), strict=True)])
+            blocks.append(m)
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
     none = [None] * len(blocks)
-    return pa.Table.from_arrays([pa.array(pairs[0].tolist() + none, pa.int64()), pa.array(pairs[1].tolist() + none, pa.int64()), pa.array([None] * pairs.shape[1] + blocks, _FOUND.field("members").type)], schema=_FOUND)
+    every = np.concatenate([np.zeros(0, _MEMBER), *blocks])
+    fields = [pa.array(x) for x in (every["sid"], every["fp"].view(np.int64), every["n"], every["sid"])]
+    ends = np.cumsum([0, *map(len, blocks)]).tolist()
+    lists = pa.ListArray.from_arrays(pa.array([None] * pairs.shape[1] + ends, pa.int32()), pa.StructArray.from_arrays(fields, ["sid", "fp", "n", "root"]))
+    return pa.Table.from_arrays([pa.array(pairs[0].tolist() + none, pa.int64()), pa.array(pairs[1].tolist() + none, pa.int64()), lists.cast(_FOUND.field("members").type)], schema=_FOUND)
 
 
 def _pairs(blocks: DataFrame, low: int, high: int) -> DataFrame:
