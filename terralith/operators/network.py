@@ -155,6 +155,106 @@ def closest_facility(od: DataFrame, k: int = 1) -> DataFrame:
     return od.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_labels(edges: DataFrame, facilities: DataFrame, k: int, cutoff: float | None = None, slack: float = 0.0) -> DataFrame:
+    """node, did, cost: the k cheapest facilities (did, node) on the way to every node, and all that cost at most `slack` more than the k-th.
+
+    Labels spread from all facilities at once and a node passes on only what it keeps, so the work grows with k times
+    the graph, not with facilities times nodes. Of facilities at one node the k smallest are told apart. A graph of at
+    most `GRAPH_EDGES` edges is broadcast and searched from groups of facilities; a larger one in rounds of joins.
+    """
+    ways = materialize(edges.select("u", "v", F.col("cost").cast("double").alias("cost")), "ways")
+    first = facilities.select("did", "node").where("node IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("did"))).where(F.col("_n") <= k).drop("_n")
+    return (_label_searches if ways.count() <= GRAPH_EDGES else spread_labels)(ways, first, k, cutoff, slack)
+
+
+def _label_searches(edges: DataFrame, facilities: DataFrame, k: int, cutoff: float | None, slack: float) -> DataFrame:
+    spark, node, did = edges.sparkSession, facilities.schema["node"].dataType.simpleString(), facilities.schema["did"].dataType.simpleString()
+    graph = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("cost").alias("c")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("c").alias("c"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = facilities.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("did", "node")).alias("sources"))
+    most = float("inf") if cutoff is None else cutoff
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.column(0).type.value_type.field(c).type for c in ("node", "did")]
+            for sources, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                ways: dict = {}
+                for u, v, cost in zip(a, b, c, strict=True):
+                    ways.setdefault(u, []).append((v, cost))
+                queue = [(0.0, s["did"], s["node"]) for s in sources]
+                heapq.heapify(queue)
+                kept: dict = {}
+                while queue:
+                    cost, d, u = heapq.heappop(queue)
+                    mine = kept.setdefault(u, {})
+                    if d in mine or len(mine) >= k and cost > sorted(mine.values())[k - 1] + slack:
+                        continue
+                    mine[d] = cost
+                    for v, step in ways.get(u, ()):
+                        if cost + step <= most and d not in kept.get(v, ()):
+                            heapq.heappush(queue, (cost + step, d, v))
+                rows = [(u, d, cost) for u, mine in kept.items() for d, cost in mine.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (*kinds, pa.float64()), strict=True)], ["node", "did", "cost"])
+
+    found = dealt.join(F.broadcast(graph)).select("sources", "a", "b", "c").mapInArrow(run, f"node {node}, did {did}, cost double")
+    return _k_best(found, k, slack)
+
+
+def _k_best(labels: DataFrame, k: int, slack: float) -> DataFrame:
+    """Of labels (node, did, cost), one per pair, those of the k best costs of the node, with the slack."""
+    w = Window.partitionBy("node").orderBy("cost", "did")
+    last = F.max(F.when(F.col("_n") == k, F.col("cost"))).over(Window.partitionBy("node"))
+    return labels.withColumn("_n", F.row_number().over(w)).withColumn("_last", last).where(F.col("_last").isNull() | (F.col("cost") <= F.col("_last") + slack)).drop("_n", "_last")
+
+
+def spread_labels(edges: DataFrame, facilities: DataFrame, k: int, cutoff: float | None = None, slack: float = 0.0) -> DataFrame:
+    """nearest_labels() for graphs of any size: each round extends the labels that are new or better, and a node keeps its best."""
+    best = materialize(facilities.select("node", "did", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")), "labels")
+    while True:
+        steps = best.where("fresh").select("node", "did", "cost").join(edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.col("cost").alias("step")), "node").select(F.col("to").alias("node"), "did", (F.col("cost") + F.col("step")).alias("cost"))
+        steps = steps.where(F.col("cost") <= cutoff) if cutoff is not None else steps
+        old = best.select("node", "did", "cost", F.lit(False).alias("fresh"))
+        one = old.unionAll(steps.withColumn("fresh", F.lit(True))).groupBy("node", "did").agg(F.min(F.struct("cost", "fresh")).alias("x")).select("node", "did", "x.cost", "x.fresh")
+        best = materialize(_k_best(one, k, slack), "labels")
+        if not best.where("fresh").limit(1).count():
+            return best.drop("fresh")
+
+
+def closest_on_network(edges: DataFrame, demand: DataFrame, facilities: DataFrame, k: int = 1, cutoff: float | None = None, direction: str = "from_facility", digits: int = 3) -> DataFrame:
+    """oid, did, cost, rank: the k cheapest facilities (did, node) of each demand (oid, node), by costs of so many digits and then by facility.
+
+    direction: from_facility or to_facility, which goes against the edges. Demands of one node share their answer; one
+    without a facility within the cutoff has no row.
+    """
+    if direction not in ("from_facility", "to_facility"):
+        raise ValueError(f"unknown direction {direction}")
+    ways = edges if direction == "from_facility" else edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")
+    slack = 10.0**-digits
+    labels = nearest_labels(ways, facilities, k, None if cutoff is None else cutoff + slack, slack).withColumn("cost", F.round("cost", digits))
+    labels = labels.where(F.col("cost") <= cutoff) if cutoff is not None else labels
+    ranked = closest_facility(labels.withColumnRenamed("node", "oid"), k).withColumnRenamed("oid", "node")
+    return demand.select("oid", "node").join(ranked, "node").select("oid", "did", "cost", "rank")
+
+
+def node_accessibility(edges: DataFrame, demand: DataFrame, facilities: DataFrame, cutoff: float, method: str = "2sfca", digits: int = 3) -> DataFrame:
+    """accessibility() of demand (oid, node, weight) and facilities (did, node, capacity), by node: only pairs of nodes within the cutoff are made."""
+    sites = facilities.groupBy(F.col("node").alias("did")).agg(F.sum("capacity").alias("capacity"))
+    zones = demand.groupBy(F.col("node").alias("oid")).agg(F.sum("weight").alias("weight"))
+    within = costs(edges, sites.select(F.col("did").alias("node")), cutoff + 10.0**-digits)
+    od = within.select(F.col("node").alias("oid"), F.col("origin").alias("did"), F.round("cost", digits).alias("cost")).join(zones.select("oid"), "oid", "left_semi")
+    got = accessibility(od, zones, sites, cutoff, method).select(F.col("oid").alias("node"), "score", "least", "served")
+    return demand.select("oid", "node", "weight").join(got, "node").select("oid", "weight", "score", "least", "served")
+
+
+def od_totals(edges: DataFrame, demand: DataFrame, facilities: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """oid, n, total: how many facilities reach each demand within the cutoff, and the sum of their costs; by node, so that no pair is made."""
+    sites = facilities.groupBy("node").agg(F.count("*").alias("sites"))
+    reached = costs(edges, sites.select("node"), cutoff).join(sites.withColumnRenamed("node", "origin"), "origin")
+    by = reached.groupBy("node").agg(F.sum("sites").alias("n"), F.sum(F.col("sites") * F.col("cost")).alias("total"))
+    return demand.select("oid", "node").join(by, "node").select("oid", "n", "total")
+
+
 def shortest_path(edges: DataFrame, origin, destination) -> DataFrame:
     """seq, node, cost along the cheapest path, empty if there is none. The way back doubles with each join."""
     kind = edges.schema["u"].dataType.simpleString()

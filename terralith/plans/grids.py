@@ -73,14 +73,10 @@ def _placed(s, d, which, idc):
 _PLACED = "{n} AS (SELECT *, least(19, greatest(0, CAST(round_even((y-39.5::DOUBLE)/0.05::DOUBLE,0) AS BIGINT)))*20 + least(19, greatest(0, CAST(round_even((x-116.0::DOUBLE)/0.05::DOUBLE,0) AS BIGINT))) AS node FROM {t})"
 
 
-def _whole_od(s, d):
-    from ..sources.store import materialize
-
+def _on_grid(s, d):
+    """(edges, demand, facilities) of the street grid, each at its node."""
     _, e = I.grid_edges(s)
-    dem = _placed(s, d, I.demand, "oid").select("oid", "node", "weight")
-    fac = _placed(s, d, I.facilities, "did").select("did", "node", "capacity")
-    got = N.od_matrix(e, fac.select(F.col("did").alias("oid"), "node"), dem.select(F.col("oid").alias("did"), "node"))
-    return materialize(got.select(F.col("did").alias("oid"), F.col("oid").alias("did"), "cost"), "od"), dem, fac
+    return e, _placed(s, d, I.demand, "oid").select("oid", "node", "weight"), _placed(s, d, I.facilities, "did").select("did", "node", "capacity")
 
 
 _COSTS = """dist(o, node, cost, k) AS (SELECT DISTINCT node, node, 0.0::DOUBLE, 0 FROM fp UNION ALL
@@ -90,35 +86,33 @@ _NET = f"WITH {_PLACED.format(n='fp', t='facilities')}, {_PLACED.format(n='dp',
 
 
 def _od_query(s, d):
-    od, _, _ = _whole_od(s, d)
-    return od.groupBy("oid").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 2).alias("total"))
+    return N.od_totals(*_on_grid(s, d)).select("oid", "n", F.round("total", 2).alias("total"))
 
 
 def _closest(s, d):
-    od, _, _ = _whole_od(s, d)
-    got = N.closest_facility(od.withColumn("cost", F.round("cost", 3)), 2)
-    return _long(got, "rank")
+    return _long(N.closest_on_network(*_on_grid(s, d), 2), "rank")
 
 
 def _access(method):
     def run(s, d):
-        od, dem, fac = _whole_od(s, d)
-        got = N.accessibility(od.withColumn("cost", F.round("cost", 3)), dem.select("oid", "weight"), fac.select("did", "capacity"), 900.0, method)
+        got = N.node_accessibility(*_on_grid(s, d), 900.0, method)
         return got.select("oid", F.round("score", 6).alias("score"), "least", "served")
 
     return run
 
 
 def _coverage(s, d):
-    od, dem, fac = _whole_od(s, d)
-    got = N.coverage(N.accessibility(od.withColumn("cost", F.round("cost", 3)), dem.select("oid", "weight"), fac.select("did", "capacity"), 600.0, "circle"))
-    return _round(got, 3, "pct", "mean_cost")
+    return _round(N.coverage(N.node_accessibility(*_on_grid(s, d), 600.0, "circle")), 3, "pct", "mean_cost")
 
 
 def _allocate(problem):
+    """Demand by node: the same sums from as many rows as nodes."""
+
     def run(s, d):
-        od, dem, _ = _whole_od(s, d)
-        chosen, score = N.allocate(od, dem.select("oid", "weight"), None, 3, problem)
+        e, dem, fac = _on_grid(s, d)
+        zones = dem.groupBy(F.col("node").alias("oid")).agg(F.sum("weight").alias("weight"))
+        od = N.od_matrix(e, fac.select(F.col("did").alias("oid"), "node"), zones.select(F.col("oid").alias("did"), F.col("oid").alias("node"))).select(F.col("did").alias("oid"), F.col("oid").alias("did"), "cost")
+        chosen, score = N.allocate(od, zones, None, 3, problem)
         return s.createDataFrame([(c, round(score, 1)) for c in sorted(chosen)], "did long, score double")
 
     return run
@@ -150,8 +144,7 @@ def _built(s, d):
 
 
 def _route(s, d):
-    od, _, fac = _whole_od(s, d)
-    _, e = I.grid_edges(s)
+    e, _, fac = _on_grid(s, d)
     stops = [r[0] for r in fac.select("node").distinct().orderBy("node").collect()]  # at most the grid's nodes
     pts = s.createDataFrame([(i, n) for i, n in enumerate(stops)], "oid long, node long")
     m = {(r[0], r[1]): r[2] for r in N.od_matrix(e, pts, pts.withColumnRenamed("oid", "did")).collect()}  # a stop table, square of its stops

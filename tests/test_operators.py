@@ -220,3 +220,27 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         store.shared_dir(Cluster)
+
+
+@pytest.mark.parametrize("direction", ["from_facility", "to_facility"])
+def test_closest_on_network(spark, monkeypatch, direction):
+    """k labels against all pairs, on a broadcast graph and in rounds of joins; facilities that share nodes, ties, nodes out of reach."""
+    r = random.Random(7)
+    ways = [(r.randrange(40), r.randrange(40), float(r.randrange(1, 6))) for _ in range(110)] + [(90, 91, 1.0)]
+    fac = [(d, r.randrange(40)) for d in range(25)] + [(100 + d, 3) for d in range(6)] + [(200, 91), (201, None)]
+    dem = [(o, r.randrange(40)) for o in range(60)] + [(60, 90), (61, 77)]
+    graph = {}
+    for u, v, c in ways:
+        u, v = (u, v) if direction == "from_facility" else (v, u)
+        graph.setdefault(u, []).append((v, c))
+    far = {n: network.cheapest(graph, n, float("inf"))[0] for n in {n for _, n in fac if n is not None}}
+    edges, facilities, demand = spark.createDataFrame(ways, "u long, v long, cost double"), spark.createDataFrame(fac, "did long, node long"), spark.createDataFrame(dem, "oid long, node long")
+    for k, cutoff in ((1, None), (3, 6.0)):
+        want = set()
+        for o, n in dem:
+            reach = sorted((far[m][n], d) for d, m in fac if m is not None and n in far[m] and (cutoff is None or far[m][n] <= cutoff))
+            want |= {(o, d, c, i + 1) for i, (c, d) in enumerate(reach[:k])}
+        for limit in (1_000_000, 0):
+            monkeypatch.setattr(network, "GRAPH_EDGES", limit)
+            got = network.closest_on_network(edges, demand, facilities, k, cutoff, direction).collect()
+            assert len(got) == len(want) and {tuple(x) for x in got} == want
