@@ -171,15 +171,37 @@ def breaks(df: DataFrame, value: str, method: str = "quantiles", k: int = 5) ->
 JENKS_BINS = 1000
 
 
-def histogram(v: DataFrame, bins: int) -> list[tuple[float, float, int, float, float]]:
-    """(smallest, largest, rows, sum, sum of squares) of all values v: of each distinct one, or of `bins` classes of equal width if there are more."""
+def histogram(v: DataFrame, bins: int, rounds: int = 5) -> list[tuple[float, float, int, float, float]]:
+    """(smallest, largest, rows, mean, sum of squared deviations) of all values v in ascending classes: one for each distinct value, or at most `bins`.
+
+    Where there are more distinct values, classes start from quantiles and equal widths, a quarter of the bins each; round by
+    round those with the largest deviations are split by width while bins are left. So neither an outlier nor a
+    crowd of values makes the others coarse: what the classes of natural breaks can differ by from those of all
+    values is where, within the last and smallest bins, a break lies.
+    """
+
+    from pyspark.ml.feature import Bucketizer
+
+    def summary(rows: DataFrame) -> list[tuple]:
+        got = rows.groupBy("bin").agg(F.min("v"), F.max("v"), F.count("*"), F.avg("v"), F.var_pop("v") * F.count("*"))
+        return sorted(tuple(r[1:]) for r in got.collect())  # at most `bins` rows
+
     if v.select("v").distinct().limit(bins + 1).count() <= bins:
-        by = F.col("v")
-    else:
-        low, high = v.agg(F.min("v"), F.max("v")).head()
-        by = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
-    got = v.groupBy(by.alias("bin")).agg(F.min("v"), F.max("v"), F.count("*"), F.sum("v"), F.sum(F.col("v") * F.col("v")))
-    return sorted(tuple(r[1:]) for r in got.collect())  # at most `bins` rows
+        return summary(v.withColumn("bin", F.col("v")))
+    low, high = v.agg(F.min("v"), F.max("v")).head()
+    share = max(bins // 4, 2)
+    edges = set(v.agg(F.percentile_approx("v", [i / share for i in range(1, share)], 50 * share)).head()[0])
+    edges |= {low + (high - low) * i / share for i in range(1, share)}
+    while True:
+        inner = sorted(e for e in edges if low < e < high)
+        found = summary(Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="v", outputCol="bin").transform(v))
+        room = bins - len(found)
+        wide = [c for c in sorted(found, key=lambda c: -c[4]) if c[0] < c[1]][: room // 3]
+        rounds -= 1
+        if not wide or rounds < 0:
+            return found
+        for a, b, *_ in wide:
+            edges |= {a + (b - a) * i / 4 for i in (1, 2, 3)}
 
 
 def jenks(classes: list[tuple[float, float, int, float, float]], k: int) -> list[float]:
@@ -189,16 +211,16 @@ def jenks(classes: list[tuple[float, float, int, float, float]], k: int) -> list
     n = len(classes)
     if n <= k:
         return sorted({c[1] for c in classes} | {classes[0][0]} if classes else set())
-    low, x, rows, total, squares = (np.array(c, float) for c in zip(*classes, strict=True))
-    centre = total.sum() / rows.sum()
-    s, q = np.append(0.0, np.cumsum(total - rows * centre)), np.append(0.0, np.cumsum(squares - 2 * centre * total + rows * centre**2))
-    so_far = np.append(0.0, np.cumsum(rows))
+    low, x, rows, mean, spread = (np.array(c, np.longdouble) for c in zip(*classes, strict=True))
+    off = mean - (rows * mean).sum() / rows.sum()
+    s, q = np.append(np.longdouble(0), np.cumsum(rows * off)), np.append(np.longdouble(0), np.cumsum(spread + rows * off**2))
+    so_far = np.append(np.longdouble(0), np.cumsum(rows))
     i, j = np.arange(n)[:, None], np.arange(n)[None, :]
     width = np.where(j >= i, so_far[1:][None, :] - so_far[:-1][:, None], 1.0)
     cost = np.where(j >= i, (q[1:][None, :] - q[:-1][:, None]) - (s[1:][None, :] - s[:-1][:, None]) ** 2 / width, np.inf)  # of one class from i to j
     best, cuts = cost[0].copy(), []
     for _ in range(1, k):
-        options = np.full((n, n), np.inf)
+        options = np.full((n, n), np.inf, np.longdouble)
         options[1:] = best[:-1][:, None] + cost[1:]
         cut = options.argmin(axis=0)
         best = options[cut, np.arange(n)]

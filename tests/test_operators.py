@@ -101,6 +101,27 @@ def test_jenks(spark):
     assert limits[0] == 0 and limits[-1] == 4999 and max(abs(x - w) for x, w in zip(limits, [0, 1250, 2500, 3750, 4999], strict=True)) < 30
 
 
+@pytest.mark.parametrize("shape", ["outlier", "skewed", "two crowds"])
+def test_jenks_of_many_values(spark, shape):
+    """More distinct values than classes: the sum of squares is that of the exact programme over all values."""
+    r = random.Random(3)
+    values = {
+        "outlier": [float(1000 * c + i) for c in range(4) for i in range(300 + 4 * c)] + [1e9],
+        "skewed": [r.lognormvariate(0, 2.5) for _ in range(1800)],
+        "two crowds": [r.gauss(0, 1e-3) for _ in range(900)] + [r.gauss(5, 1e-3) for _ in range(900)] + [r.uniform(0, 1000) for _ in range(40)],
+    }[shape]
+    got = statistics.breaks(spark.createDataFrame([(v,) for v in values], "v double"), "v", "jenks", 5)
+    exact = statistics.jenks(sorted((v, v, 1, v, 0.0) for v in values), 5)
+
+    def spread(limits):
+        groups = [[v for v in values if v <= b and (v > a or i == 0)] for i, (a, b) in enumerate(itertools.pairwise(limits))]
+        return sum(sum((v - sum(g) / len(g)) ** 2 for v in g) for g in groups if g)
+
+    assert len(got) == 6 and spread(got) <= spread(exact) * 1.002 + 1e-6
+    if shape == "outlier":
+        assert got == exact == [0.0, *[1000.0 * c + 299 + 4 * c for c in range(4)], 1e9]
+
+
 def test_few_points(spark):
     kind = "fid long, mx double, my double, x double, y double"
     none, one = spark.createDataFrame([], kind), spark.createDataFrame([(1, 2.0, 3.0, 2.0, 3.0)], kind)
