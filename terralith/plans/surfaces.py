@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import rectangle, signed_area
 from ..operators import planar as P
 from ..operators import warp as W
+from ..operators.contours import contours
 from ..operators.geometry import buffer_shapes
 from ..operators.relate import shape_join
 from ..sources.shape_tiles import tile_parts
@@ -144,6 +145,21 @@ def _buffers(s, d):
 _DISC = 16 * 0.75 * 0.75 * math.sin(2 * math.pi / 32)
 _BUFFERS = f"WITH {_SBOX} SELECT fid, 'out' AS way, round((x1-x0)*(y1-y0) + 1.5::DOUBLE*(x1-x0+y1-y0) + {_DISC!r}::DOUBLE, 3) AS area FROM s UNION ALL SELECT fid, 'in', ((x1-x0-2)*(y1-y0-2))::DOUBLE FROM s WHERE x1-x0 > 2 AND y1-y0 > 2"
 
+LEVELS = [20.0, 26.5]
+
+
+def _contours(s, d):
+    got = contours(I.pixels(s, d), LEVELS, unit=1e-7)
+    return got.groupBy("level").agg(F.round(F.sum("area"), 3).alias("area"))
+
+
+_CONTOURS = """WITH l AS (SELECT * FROM (VALUES (20.0::DOUBLE), (26.5::DOUBLE)) t(level)), g AS (SELECT id // 65 - 1 AS row, id % 65 - 1 AS col FROM range(65*65) g(id)),
+c AS (SELECT g.row, g.col, level, coalesce(a.v, 0) AS a, coalesce(b.v, 0) AS b, coalesce(c.v, 0) AS c, coalesce(d.v, 0) AS d FROM g, l LEFT JOIN pixels a ON a.row = g.row AND a.col = g.col LEFT JOIN pixels b ON b.row = g.row AND b.col = g.col + 1 LEFT JOIN pixels c ON c.row = g.row + 1 AND c.col = g.col + 1 LEFT JOIN pixels d ON d.row = g.row + 1 AND d.col = g.col),
+s AS (SELECT level, a >= level AS ha, b >= level AS hb, c >= level AS hc, d >= level AS hd, (a+b+c+d)/4 >= level AS joined, (level-a)/(b-a) AS t, (level-b)/(c-b) AS u, (level-d)/(c-d) AS v, (level-a)/(d-a) AS w FROM c),
+p AS (SELECT *, list_filter([CASE WHEN ha THEN {'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE} END, CASE WHEN ha <> hb THEN {'x': t, 'y': 0.0::DOUBLE} END, CASE WHEN hb THEN {'x': 1.0::DOUBLE, 'y': 0.0::DOUBLE} END, CASE WHEN hb <> hc THEN {'x': 1.0::DOUBLE, 'y': u} END, CASE WHEN hc THEN {'x': 1.0::DOUBLE, 'y': 1.0::DOUBLE} END, CASE WHEN hc <> hd THEN {'x': v, 'y': 1.0::DOUBLE} END, CASE WHEN hd THEN {'x': 0.0::DOUBLE, 'y': 1.0::DOUBLE} END, CASE WHEN hd <> ha THEN {'x': 0.0::DOUBLE, 'y': w} END], lambda q: q IS NOT NULL) AS q FROM s)
+SELECT level, round(sum(CASE WHEN len(q) = 0 THEN 0 WHEN NOT joined AND ha AND hc AND NOT hb AND NOT hd THEN t*w/2 + (1-u)*(1-v)/2 WHEN NOT joined AND hb AND hd AND NOT ha AND NOT hc THEN (1-t)*u/2 + v*(1-w)/2
+  ELSE list_sum(list_transform(range(1, len(q)+1), lambda i: q[i].x*q[i % len(q) + 1].y - q[i % len(q) + 1].x*q[i].y))/2 END), 3) AS area FROM p GROUP BY 1"""
+
 ZOOMS = [4, 7, 9]
 
 
@@ -162,6 +178,7 @@ c AS (SELECT z, tx, ty, round_even(greatest(-64, (u0-tx)*4096),0) AS a, round_ev
 SELECT z::BIGINT AS z, tx, ty, count(*) AS n, 4*count(*) AS vertices, sum((e-a)*(g-f))::DOUBLE AS area FROM c WHERE e > a AND g > f GROUP BY 1, 2, 3"""
 
 PLANS = {
+    "contours": (_contours, sql(_CONTOURS, "pixels")),
     "spatial_join_predicates": (_predicates, _PREDICATES),
     "shape_buffers": (_buffers, _BUFFERS),
     "vector_tiles_polygons": (_polygon_tiles, sql(_RECT_TILES, "polys")),
