@@ -12,6 +12,7 @@ from ..operators import warp as W
 from ..operators.contours import contours
 from ..operators.geometry import buffer_shapes
 from ..operators.relate import shape_join
+from ..sources.geotiff import geotiff_blocks, geotiff_info, geotiff_pixels
 from ..sources.shape_tiles import tile_parts
 from . import inputs as I
 from .inputs import sql, table
@@ -160,6 +161,13 @@ p AS (SELECT *, list_filter([CASE WHEN ha THEN {'x': 0.0::DOUBLE, 'y': 0.0::DOUB
 SELECT level, round(sum(CASE WHEN len(q) = 0 THEN 0 WHEN NOT joined AND ha AND hc AND NOT hb AND NOT hd THEN t*w/2 + (1-u)*(1-v)/2 WHEN NOT joined AND hb AND hd AND NOT ha AND NOT hc THEN (1-t)*u/2 + v*(1-w)/2
   ELSE list_sum(list_transform(range(1, len(q)+1), lambda i: q[i].x*q[i % len(q) + 1].y - q[i % len(q) + 1].x*q[i].y))/2 END), 3) AS area FROM p GROUP BY 1"""
 
+def _geotiff(s, d):
+    """The pixel layer as GeoTIFF blocks, read back."""
+    blocks = geotiff_blocks(I.pixels(s, d), SOURCE, 24)
+    at = geotiff_info(blocks).select("path", F.rint((F.lit(SOURCE.y0) - F.col("y0")) / SOURCE.dy).cast("long").alias("down"), F.rint((F.col("x0") - F.lit(SOURCE.x0)) / SOURCE.dx).cast("long").alias("right"))
+    return geotiff_pixels(blocks).where("v IS NOT NULL").join(at, "path").select((F.col("row") + F.col("down")).alias("row"), (F.col("col") + F.col("right")).alias("col"), F.round("v", 6).alias("v"))
+
+
 ZOOMS = [4, 7, 9]
 
 
@@ -178,6 +186,7 @@ c AS (SELECT z, tx, ty, round_even(greatest(-64, (u0-tx)*4096),0) AS a, round_ev
 SELECT z::BIGINT AS z, tx, ty, count(*) AS n, 4*count(*) AS vertices, sum((e-a)*(g-f))::DOUBLE AS area FROM c WHERE e > a AND g > f GROUP BY 1, 2, 3"""
 
 PLANS = {
+    "geotiff_round_trip": (_geotiff, sql("SELECT row, col, round(v, 6) AS v FROM pixels", "pixels")),
     "contours": (_contours, sql(_CONTOURS, "pixels")),
     "spatial_join_predicates": (_predicates, _PREDICATES),
     "shape_buffers": (_buffers, _BUFFERS),
