@@ -13,6 +13,7 @@ from ..operators.contours import contours
 from ..operators.geometry import buffer_shapes
 from ..operators.relate import shape_join
 from ..sources.geotiff import geotiff_blocks, geotiff_info, geotiff_pixels
+from ..sources.osm import osm_theme
 from ..sources.shape_tiles import tile_parts
 from . import inputs as I
 from .inputs import sql, table
@@ -168,6 +169,22 @@ def _geotiff(s, d):
     return geotiff_pixels(blocks).where("v IS NOT NULL").join(at, "path").select((F.col("row") + F.col("down")).alias("row"), (F.col("col") + F.col("right")).alias("col"), F.round("v", 6).alias("v"))
 
 
+def _osm(s, d):
+    """Roads over the facilities as nodes: an order is a way along three of them, some of which are not there."""
+    nodes = I.facilities(s, d).select(F.lit("node").alias("kind"), F.col("fid").alias("id"), "x", "y", F.lit(None).cast("array<long>").alias("refs"), F.create_map().cast("map<string,string>").alias("tags"))
+    o = table(s, d, "orders")
+    k = F.col("o_orderkey")
+    refs = F.array(1 + k % 100, 1 + k * 7 % 130, 1 + k * 13 % 100)
+    tags = F.when(k % 3 == 0, F.create_map(F.lit("highway"), F.col("o_orderpriority"))).otherwise(F.create_map(F.lit("railway"), F.lit("rail")))
+    ways = o.select(F.lit("way").alias("kind"), k.alias("id"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), refs.alias("refs"), tags.alias("tags"))
+    got = osm_theme(nodes.unionByName(ways), "roads")
+    return got.select("osm_id", "category", "x", "y", F.size("points").cast("long").alias("n"), F.round(F.aggregate("points", F.lit(0.0), lambda t, p: t + p["x"]), 6).alias("sum_x"))
+
+
+_OSM = """WITH w AS (SELECT o_orderkey AS k, o_orderpriority AS category, unnest([1 + o_orderkey % 100, 1 + o_orderkey*7 % 130, 1 + o_orderkey*13 % 100]) AS ref, unnest([1, 2, 3]) AS nth FROM orders WHERE o_orderkey % 3 = 0),
+p AS (SELECT k, category, nth, x, y FROM w JOIN facilities ON fid = ref)
+SELECT k AS osm_id, any_value(category) AS category, arg_min(x, nth) AS x, arg_min(y, nth) AS y, count(*) AS n, round(sum(x), 6) AS sum_x FROM p GROUP BY k HAVING count(*) > 1"""
+
 ZOOMS = [4, 7, 9]
 
 
@@ -186,6 +203,7 @@ c AS (SELECT z, tx, ty, round_even(greatest(-64, (u0-tx)*4096),0) AS a, round_ev
 SELECT z::BIGINT AS z, tx, ty, count(*) AS n, 4*count(*) AS vertices, sum((e-a)*(g-f))::DOUBLE AS area FROM c WHERE e > a AND g > f GROUP BY 1, 2, 3"""
 
 PLANS = {
+    "osm_roads": (_osm, sql(_OSM, "facilities")),
     "geotiff_round_trip": (_geotiff, sql("SELECT row, col, round(v, 6) AS v FROM pixels", "pixels")),
     "contours": (_contours, sql(_CONTOURS, "pixels")),
     "spatial_join_predicates": (_predicates, _PREDICATES),
