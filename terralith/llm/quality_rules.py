@@ -5,17 +5,14 @@ alike, each row by itself. Extra columns are kept; the columns that this module
 the same names. An empty table gives an empty result.
 
 The cascade first measures, on a bounded random sample of the whole table (`SAMPLE_ROWS`), what share of rows each
-rule rejects and the time it takes a row, and then tests the rules in the order of rejection per cost, the base
-rules among them; a row that a rule rejects is not tested by the later ones (CASE WHEN is lazy). Costs count by
-powers of two, so that noise seldom changes the order; the order never changes a verdict, only the work and which
-rule is named. With `metrics`, the base metrics are columns of the result and computed for every row; without, a
+rule rejects and how much work it is for a row (`rule_work`), and then tests the rules in the order of rejection per cost, the base
+rules among them; a row that a rule rejects is not tested by the later ones (CASE WHEN is lazy). The order never
+changes a verdict, only the work and which rule is named. With `metrics`, the base metrics are columns of the result and computed for every row; without, a
 rule's metrics are only computed where the row gets that far.
 """
 
 from __future__ import annotations
 
-import math
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +21,8 @@ from pyspark.sql import functions as F
 from ._util import materialize, read_table
 
 MIN_WORDS = 50
-#: Rows of the sample that costs and selectivities are estimated on, and how often each is run in one measurement.
-SAMPLE_ROWS = 250
-REPEATS = 2
+#: Rows of the sample that costs and selectivities are estimated on.
+SAMPLE_ROWS = 1000
 
 #: White space between words, for regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -98,26 +94,33 @@ def default_rules(m: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def rule_order(docs: DataFrame, rules: Rules, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules by rejection per cost on a random sample of docs, the highest first; rules that reject nothing there by cost alone."""
+def rule_work(m: dict[str, Column]) -> dict[str, Column]:
+    """What a rule takes for a row, in units of splitting one character into words (factors measured once, over 25 million characters)."""
+    chars = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("double")
+    return {
+        "few_words": chars,
+        "repeated_windows": chars + 400 * m["n_words"],
+        "symbols_per_word": 9 * chars,
+        "mean_word_short": 13 * chars,
+        "mean_word_long": 13 * chars,
+        "duplicate_lines": 2 * chars,
+        "few_letters": 30 * chars,
+        "capitals": 20 * chars,
+    }
+
+
+def rule_order(docs: DataFrame, rules: Rules, sample_rows: int = SAMPLE_ROWS, work: Rules = rule_work) -> list[str]:
+    """Names of the rules by rejection per cost on a random sample of docs, the highest first; rules that reject nothing there by cost alone, then by name.
+
+    The cost of a rule is the mean of its `work` over the sample's rows; one that has none there is taken for a regular expression. Costs and
+    selectivities come from one aggregation, so the order is the same each time.
+    """
     sample = materialize(docs.select("text").orderBy(F.rand(17)).limit(sample_rows), "sample")
-    rows = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-    every = rules(metric_columns())
-
-    def measured(rule: Column) -> tuple[float, float]:
-        best, share = float("inf"), 0.0
-        for _ in range(2):
-            began = time.perf_counter()
-            share = rows.agg(F.avg(F.coalesce(rule, F.lit(False)).cast("double"))).head()[0] or 0.0
-            best = min(best, time.perf_counter() - began)
-        return share, best
-
-    idle = measured(F.col("_again") < 0)[1]
-    scores = {}
-    for name, rule in every.items():
-        share, took = measured(rule)
-        cost = 2.0 ** math.floor(math.log2(max(took - idle, idle / 8, 1e-4)))
-        scores[name] = (share / cost, -cost)
+    metrics = metric_columns()
+    every, costs = rules(metrics), work(metrics)
+    usual = 10 * F.char_length(F.coalesce(F.col("text"), F.lit("")))
+    found = sample.agg(*(F.avg(F.coalesce(rule, F.lit(False)).cast("double")).alias(f"share_{i}") for i, rule in enumerate(every.values())), *(F.avg(costs.get(name, usual)).alias(f"cost_{i}") for i, name in enumerate(every))).head()
+    scores = {name: ((found[f"share_{i}"] or 0.0) / (cost := max(found[f"cost_{i}"] or 0.0, 1.0)), -cost) for i, name in enumerate(every)}
     return sorted(every, key=lambda n: (-scores[n][0], -scores[n][1], n))
 
 

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from terralith.llm import language_id, lexical_search, structure_repair
+from pyspark.sql import functions as F
+
+from terralith.llm import language_id, lexical_search, quality_rules, structure_repair
 
 from . import brute
 
@@ -97,3 +99,18 @@ def test_language_with_few_labels(spark, langs):
 
 def test_families():
     assert language_id.family_of("pt-BR") == "romance" and language_id.family_of("EN_us") == "germanic" and language_id.family_of("tlh") == "tlh"
+
+
+def test_rule_order(spark):
+    """Rejections per cost decide, then cost, then name; the same each time, and no verdict depends on it."""
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, words + " ###" * 40 if i % 2 else words) for i in range(80)] + [(100 + i, "\n".join(["same line of some words here"] * 30)) for i in range(8)] + [(200, None), (201, "")], "doc_id long, text string").repartition(3)
+    every = lambda m: quality_rules.base_rules(m) | quality_rules.default_rules(m)
+    order = quality_rules.rule_order(docs, every)
+    assert order == quality_rules.rule_order(docs, every)
+    assert order.index("symbols_per_word") < order.index("repeated_windows") and order.index("few_words") < order.index("few_letters")
+    assert order.index("mean_word_long") < order.index("mean_word_short") < order.index("capitals")  # nothing rejected: by cost, then by name
+    cheap = quality_rules.rule_order(docs, lambda m: {"b": F.lit(True), "a": F.lit(True), "c": F.col("text").isNull()}, work=lambda m: {"a": F.lit(5.0), "b": F.lit(5.0), "c": F.lit(1.0)})
+    assert cheap == ["a", "b", "c"]
+    kept = {r["doc_id"]: (r["kept"], r["rejected_by"]) for r in quality_rules.quality_cascade(docs).collect()}
+    assert [kept[0], kept[1][0], kept[100][0], kept[200][0]] == [(True, None), False, False, False]
