@@ -18,6 +18,7 @@ from terralith.llm.near_copies import drop_near_duplicates
 from terralith.llm.packing import pack_documents
 from terralith.llm.pii import redact_pii
 from terralith.llm.quality_rules import quality_cascade
+from terralith.sources.store import clear_shared, shared_count
 
 
 def _kept(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], kept: Column) -> DataFrame:
@@ -68,7 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage has put into the shared folder goes once its result is written."""
+    docs, since = read_table(spark, sf_dir, "documents"), shared_count(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear_shared(spark, since, keep_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import RING, ring_bbox, signed_area
+from ..sources.store import materialize
 from .geometry import _RING, _open, _ring
 from .spatial import _cells
 
@@ -156,6 +157,6 @@ def baseline(features: DataFrame, area: list[tuple[float, float]], columns: list
     A feature meets the area if it has a part within it, touching borders left aside.
     """
     one = features.sparkSession.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in area],)], f"ring {RING}").select(F.lit(0).alias("bid"), "ring")
-    numbered = features.withColumn("aid", F.monotonically_increasing_id())
+    numbered = materialize(features.withColumn("aid", F.monotonically_increasing_id()), "numbered")
     kept = overlay_parts(numbered.select("aid", "ring"), one).select("aid").distinct()
     return numbered.join(kept, "aid", "left_semi").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(c).try_cast("double")), 4).alias(c) for c in columns])

@@ -32,9 +32,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Remove all tables and files that this application has put into the shared folder; results that still read them must be written before."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def shared_count(spark: SparkSession) -> int:
+    """How many tables and files this application has put into the shared folder and not removed."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clear_shared(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
+    """Remove what this application has put into the shared folder, from number `since` on and but for the last ones; results that still read it must be written before."""
+    held = _written.get(spark.sparkContext.applicationId, [])
+    gone = held[since : len(held) - keep_last]
+    held[since : len(held) - keep_last] = []
+    for path in gone:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
