@@ -93,7 +93,7 @@ def resample(pixels: DataFrame, factor: int, how: str = "average") -> DataFrame:
 def upsample_bilinear(pixels: DataFrame, factor: int) -> DataFrame:
     """Finer by a whole factor: each new pixel centre weighs the up to four old centres around it; missing ones drop out."""
     half = (factor - 1) / 2
-    offsets = F.sequence(F.lit(-factor + 1), F.lit(factor - 1))
+    offsets = F.sequence(F.lit(-factor), F.lit(factor - 1))
     w = lambda d: 1 - F.abs(d) / factor
     base_r, base_c = F.col("row") * factor + F.lit(half), F.col("col") * factor + F.lit(half)
     spread = pixels.where("v is not null").withColumn("dr", F.explode(offsets)).withColumn("dc", F.explode(offsets))

@@ -120,20 +120,20 @@ def _crossings(s, d):
 
 
 def _turn_path(s, d):
-    n, e = I.grid_edges(s)
+    n, e = I.grid_edges(s, d)
     got = N.turn_aware_path(n, e, 0, 399, 60.0)
     return got.agg(F.count("*").alias("n"), F.max_by("node", "seq").alias("last"), F.sum(F.when(F.col("turn").isin("left", "right"), 1).otherwise(0)).alias("turns"))
 
 
 def _isochrones(s, d):
-    n, e = I.grid_edges(s)
+    n, e = I.grid_edges(s, d)
     fac = I.facilities(s, d).select((F.col("fid") * 7 % 400).alias("node")).distinct()
     return N.isochrones(n, e, fac, 30.0, "driving").select("facility", "n_nodes", settled(F.col("farthest"), 2).alias("farthest"))
 
 
 def _hotspots(s, d):
     p = I.points(s, d).select("fid", "mx", "my", F.unix_timestamp(F.col("t").cast("timestamp")).cast("double").alias("ts"))
-    return C.space_time_hotspots(p, 3000.0, 7200.0, 4).agg(F.count("*").alias("n"), F.min("n").alias("least"))
+    return C.space_time_hotspots(p, 6000.0, 86400.0, 3).select("cluster", "n", F.round("mx", 1).alias("mx"), F.round("my", 1).alias("my"), "first", "last")
 
 
 def _describe(s, d):

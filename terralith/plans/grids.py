@@ -75,7 +75,7 @@ _PLACED = "{n} AS (SELECT *, least(19, greatest(0, CAST(round_even((y-39.5::DOUB
 
 def _on_grid(s, d):
     """(edges, demand, facilities) of the street grid, each at its node."""
-    _, e = I.grid_edges(s)
+    _, e = I.grid_edges(s, d)
     return e, _placed(s, d, I.demand, "oid").select("oid", "node", "weight"), _placed(s, d, I.facilities, "did").select("did", "node", "capacity")
 
 
@@ -119,26 +119,26 @@ def _allocate(problem):
 
 
 def _path(s, d):
-    _, e = I.grid_edges(s)
+    _, e = I.grid_edges(s, d)
     got = N.shortest_path(e, 0, 399)
     return got.agg(F.count("*").alias("n"), F.round(F.max("cost"), 3).alias("cost"), F.min(F.col("node") >= 0).alias("ok"))
 
 
 def _service(s, d):
-    _, e = I.grid_edges(s)
+    _, e = I.grid_edges(s, d)
     fac = _placed(s, d, I.facilities, "did").select("node").distinct()
     return _round(N.service_area(e, fac, [300.0, 900.0]), 2, "reach")
 
 
 def _barriers(s, d):
-    _, e = I.grid_edges(s)
+    _, e = I.grid_edges(s, d)
     b = s.createDataFrame([(0, 1, None), (1, 0, None), (0, 20, 5.0)], "u long, v long, factor double")
     got = N.costs(N.apply_barriers(e, b), s.createDataFrame([(0,)], "node long"))
     return got.select("node", F.round("cost", 3).alias("cost"))
 
 
 def _built(s, d):
-    rows = s.range(40).select(F.col("id").alias("fid"), F.when(F.col("id") % 5 == 0, "yes").otherwise("-1").alias("one_way"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(50.0).alias("speed_kmh"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.struct(F.when(F.col("id") < 20, 116.0 + k * 0.05).otherwise(116.0 + (F.col("id") - 20) * 0.05).alias("x"), F.when(F.col("id") < 20, 39.5 + F.col("id") * 0.05).otherwise(39.5 + k * 0.05).alias("y"))).alias("points"))
+    rows = table(s, d, "orders").select((F.col("o_orderkey") % 40).alias("id")).distinct().select(F.col("id").alias("fid"), F.when(F.col("id") % 5 == 0, "yes").otherwise("-1").alias("one_way"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(50.0).alias("speed_kmh"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.struct(F.when(F.col("id") < 20, 116.0 + k * 0.05).otherwise(116.0 + (F.col("id") - 20) * 0.05).alias("x"), F.when(F.col("id") < 20, 39.5 + F.col("id") * 0.05).otherwise(39.5 + k * 0.05).alias("y"))).alias("points"))
     nodes, edges = N.build_edges(rows)
     return edges.agg(F.count("*").alias("n_edges"), F.round(F.sum("length_m"), 0).alias("metres")).join(nodes.agg(F.count("*").alias("n_nodes")))
 
@@ -153,7 +153,7 @@ def _route(s, d):
 
 
 def _turns(s, d):
-    n, e = I.grid_edges(s)
+    n, e = I.grid_edges(s, d)
     line = N.turn_edges(n, e, 30.0)
     return line.agg(F.count("*").alias("n"), F.round(F.sum("cost"), 0).alias("total"))
 
@@ -174,7 +174,7 @@ PLANS = {
     "raster_series": (lambda s, d: _round(R.series_stats(R.time_slice(_series(s, d), "scene", 1993, 1996)), 4, "mean", "std", "min", "max"), f"WITH {_SERIES} SELECT scene, count(v) AS n, round(avg(v),4) AS mean, round(stddev_pop(v),4) AS std, round(min(v),4) AS min, round(max(v),4) AS max FROM series WHERE scene BETWEEN 1993 AND 1996 GROUP BY 1"),
     "raster_trend": (_raster_trend, f"WITH {_SERIES}, m AS (SELECT scene, avg(v) AS v FROM series GROUP BY 1) SELECT 'aoi' AS k, count(*) AS n, round(round(regr_slope(v, scene),6),4) AS slope FROM m"),
     "raster_tiles": (lambda s, d: R.tiles(I.pixels(s, d), 16).select("tx", "ty", F.size("pixels").cast("long").alias("n"), F.round(F.element_at("pixels", 1)["v"], 4).alias("first")), sql("SELECT col//16 AS tx, row//16 AS ty, count(*) AS n, round(arg_min(v, (row%16)*16+col%16),4) AS first FROM pixels GROUP BY 1, 2", "pixels")),
-    "network_build": (_built, None),
+    "network_build": (_built, "WITH l AS (SELECT DISTINCT o_orderkey % 40 AS id FROM orders), p AS (SELECT id, k, CASE WHEN id < 20 THEN 116.0::DOUBLE + k*0.05::DOUBLE ELSE 116.0::DOUBLE + (id-20)*0.05::DOUBLE END AS x, CASE WHEN id < 20 THEN 39.5::DOUBLE + id*0.05::DOUBLE ELSE 39.5::DOUBLE + k*0.05::DOUBLE END AS y FROM l, range(20) r(k)), e AS (SELECT id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY id ORDER BY k)), d AS (SELECT CASE WHEN id % 5 = 0 THEN 1 ELSE 2 END AS ways, 2*6371000.0::DOUBLE*asin(sqrt(pow(sin(radians(y2-y)/2),2)+cos(radians(y))*cos(radians(y2))*pow(sin(radians(x2-x)/2),2))) AS m FROM e WHERE x2 IS NOT NULL) SELECT CAST(sum(ways) AS BIGINT) AS n_edges, round(sum(ways*m),0) AS metres, (SELECT count(DISTINCT (round(x,6), round(y,6))) FROM p) AS n_nodes FROM d"),
     "network_od": (_od_query, sql(_NET + " SELECT oid, count(*) AS n, round(sum(cost),2) AS total FROM od GROUP BY 1", "edges", "facilities", "demand", recursive=True)),
     "closest_facility": (_closest, sql(_NET + ", r AS (SELECT oid, did, round(cost,3) AS cost, row_number() OVER (PARTITION BY oid ORDER BY round(cost,3), did) AS rank FROM od) SELECT * FROM r WHERE rank <= 2", "edges", "facilities", "demand", recursive=True)),
     "accessibility_2sfca": (_access("2sfca"), sql(_NET + ", near AS (SELECT oid, did, round(cost,3) AS cost FROM od WHERE round(cost,3) <= 900), ratio AS (SELECT did, any_value(capacity)/sum(weight) AS ratio FROM near JOIN dp ON dp.fid = oid JOIN fp ON fp.fid = did GROUP BY 1), g AS (SELECT oid, sum(ratio) AS score, min(cost) AS least FROM near JOIN ratio USING (did) GROUP BY 1) SELECT fid AS oid, round(coalesce(score,0),6) AS score, least, coalesce(score,0) > 0 AS served FROM dp LEFT JOIN g ON oid = fid", "edges", "facilities", "demand", recursive=True)),
@@ -184,7 +184,7 @@ PLANS = {
     "allocation_max_coverage": (_allocate("max_coverage"), None),
     "network_shortest_path": (_path, None),
     "network_service_area": (_service, sql(_NET + " SELECT o AS facility, brk AS break, count(DISTINCT best.node) AS n_nodes, round(sum(least(e.cost, brk-best.cost)),2) AS reach FROM best JOIN (VALUES (300.0::DOUBLE),(900.0::DOUBLE)) b(brk) ON best.cost <= brk LEFT JOIN edges e ON e.u = best.node GROUP BY 1, 2", "edges", "facilities", "demand", recursive=True)),
-    "network_barriers": (_barriers, None),
+    "network_barriers": (_barriers, sql("WITH hard AS (SELECT u, v, CASE WHEN u = 0 AND v = 20 THEN cost*5 ELSE cost END AS cost FROM edges WHERE NOT (u = 0 AND v = 1) AND NOT (u = 1 AND v = 0)), dist(node, cost, k) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION ALL SELECT node, min(cost), max(k) FROM (SELECT e.v AS node, d.cost + e.cost AS cost, d.k + 1 AS k FROM dist d JOIN hard e ON e.u = d.node WHERE d.k < 60) GROUP BY node) SELECT node, round(min(cost), 3) AS cost FROM dist GROUP BY 1", "edges", recursive=True)),
     "network_route": (_route, None),
     "network_turns": (_turns, None),
 }

@@ -58,11 +58,12 @@ def pixels(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFra
     return line.groupBy((F.col("l_orderkey") % 64).alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(F.avg("l_quantity").alias("v"))
 
 
-def grid_edges(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a 20 by 20 street grid, two ways, cost in seconds at 30 + (id % 4) * 10 km/h."""
-    n = spark.range(400).select(F.col("id").alias("node"), (F.lit(116.0) + (F.col("id") % 20) * 5 / F.lit(100.0)).alias("x"), (F.lit(39.5) + F.floor(F.col("id") / 20) * 5 / F.lit(100.0)).alias("y"))
-    right = spark.range(400).where("id % 20 < 19").select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    up = spark.range(380).select(F.col("id").alias("u"), (F.col("id") + 20).alias("v"))
+def grid_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a 20 by 20 street grid whose crossings are the orders' keys modulo 400, two ways, cost in seconds at 30 + (id % 4) * 10 km/h."""
+    ids = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 400).alias("id")).distinct()
+    n = ids.select(F.col("id").alias("node"), (F.lit(116.0) + (F.col("id") % 20) * 5 / F.lit(100.0)).alias("x"), (F.lit(39.5) + F.floor(F.col("id") / 20) * 5 / F.lit(100.0)).alias("y"))
+    right = ids.where("id % 20 < 19").select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    up = ids.where("id < 380").select(F.col("id").alias("u"), (F.col("id") + 20).alias("v"))
     one = right.unionAll(up).withColumn("k", F.col("u"))
     both = one.unionAll(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "k"))
     a, b = n.select(F.col("node").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy")), n.select(F.col("node").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
@@ -112,14 +113,15 @@ CTES = {
     "pixels": "SELECT l_orderkey % 64 AS row, l_partkey % 64 AS col, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2",
     "pixels_a": "SELECT l_orderkey % 64 AS row, l_partkey % 64 AS col, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2",
     "catalog": "SELECT p_partkey AS id, p_name AS title, p_brand AS source_type, CASE WHEN p_size % 2 = 0 THEN 'EPSG:4326' ELSE 'EPSG:3857' END AS crs, string_split(p_type, ' ') AS tags, 100.0::DOUBLE + (p_partkey % 50)/10.0::DOUBLE AS x0, 20.0::DOUBLE + (p_partkey*7 % 50)/10.0::DOUBLE AS y0, 100.0::DOUBLE + (p_partkey % 50)/10.0::DOUBLE + 0.5::DOUBLE AS x1, 20.0::DOUBLE + (p_partkey*7 % 50)/10.0::DOUBLE + 0.5::DOUBLE AS y1 FROM part",
-    "nodes": "SELECT id AS node, 116.0::DOUBLE + (id % 20)*5/100.0::DOUBLE AS x, 39.5::DOUBLE + (id // 20)*5/100.0::DOUBLE AS y FROM range(400) r(id)",
+    "ids": "SELECT DISTINCT o_orderkey % 400 AS id FROM orders",
+    "nodes": "SELECT id AS node, 116.0::DOUBLE + (id % 20)*5/100.0::DOUBLE AS x, 39.5::DOUBLE + (id // 20)*5/100.0::DOUBLE AS y FROM ids",
     "edges": """SELECT u, v, len AS length_m, len / ((30 + (k % 4)*10)/3.6::DOUBLE) AS cost FROM (
         SELECT e.u, e.v, k, 2*6371000.0::DOUBLE*asin(sqrt(least(1.0, pow(sin(radians(b.y-a.y)/2),2) + cos(radians(a.y))*cos(radians(b.y))*pow(sin(radians(b.x-a.x)/2),2)))) AS len
-        FROM (SELECT id AS u, id+1 AS v, id AS k FROM range(400) r(id) WHERE id % 20 < 19 UNION ALL SELECT id, id+20, id FROM range(380) r(id)
-              UNION ALL SELECT id+1, id, id FROM range(400) r(id) WHERE id % 20 < 19 UNION ALL SELECT id+20, id, id FROM range(380) r(id)) e
+        FROM (SELECT id AS u, id+1 AS v, id AS k FROM ids WHERE id % 20 < 19 UNION ALL SELECT id, id+20, id FROM ids WHERE id < 380
+              UNION ALL SELECT id+1, id, id FROM ids WHERE id % 20 < 19 UNION ALL SELECT id+20, id, id FROM ids WHERE id < 380) e
         JOIN nodes a ON a.node = e.u JOIN nodes b ON b.node = e.v)""",
 }
-_NEEDS = {"edges": ["nodes"]}
+_NEEDS = {"edges": ["ids", "nodes"], "nodes": ["ids"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:

@@ -33,6 +33,12 @@ def _nearest(s, d):
     return got.select(F.col("aid").alias("demand"), F.col("bid").alias("facility"), F.round("d", 2).alias("distance"))
 
 
+def _fishnet(s, d):
+    """Cells over the demand's width, from 116 degrees on."""
+    right = I.demand(s, d).agg(F.max("x")).head()[0]
+    return _r(S.fishnet(s, (116.0, 39.5, right, 40.3), 0.03), 9, "x0", "y0", "x1", "y1")
+
+
 def _hexes(s, d):
     return S.hex_bin(I.points(s, d), HEX, "value", "mean", places=2)
 
@@ -173,7 +179,7 @@ _MASK = "m(bid,x0,y0,x1,y1) AS (VALUES (1,116.05::DOUBLE,39.55::DOUBLE,116.35::D
 
 
 def _snap(s, d):
-    n, e = I.grid_edges(s)
+    n, e = I.grid_edges(s, d)
     ux, uy = geo.to_utm(F.col("x"), F.col("y"), I.ZONE)
     n = n.withColumns({"mx": ux, "my": uy})
     a, b = n.select(F.col("node").alias("u"), F.col("mx").alias("x1"), F.col("my").alias("y1")), n.select(F.col("node").alias("v"), F.col("mx").alias("x2"), F.col("my").alias("y2"))
@@ -212,7 +218,7 @@ PLANS = {
     ),
     "point_probe": (lambda s, d: S.probe(I.points(s, d), 116.5, 40.0, 2000.0).select("fid", F.round("distance_m", 3).alias("distance_m")), sql(f"SELECT fid, round({_HAV.format(x1='x', y1='y', x2='116.5::DOUBLE', y2='40.0::DOUBLE')},3) AS distance_m FROM points WHERE {_HAV.format(x1='x', y1='y', x2='116.5::DOUBLE', y2='40.0::DOUBLE')} <= 2000", "points")),
     "hex_binning": (lambda s, d: _hexes(s, d).withColumn("stat", settled(F.col("stat"), 4)), sql(f"{_HEXQ} SELECT q, r, n, {settled_sql('stat', 4)} AS stat FROM hexes", "points")),
-    "fishnet": (lambda s, d: _r(S.fishnet(s, (116.0, 39.5, 117.0, 40.3), 0.03), 9, "x0", "y0", "x1", "y1"), "SELECT id AS fid, id // 27 AS col, id % 27 AS row, round(116.0::DOUBLE+(id//27)*0.03::DOUBLE,9) AS x0, round(39.5::DOUBLE+(id%27)*0.03::DOUBLE,9) AS y0, round(116.0::DOUBLE+(id//27)*0.03::DOUBLE+0.03::DOUBLE,9) AS x1, round(39.5::DOUBLE+(id%27)*0.03::DOUBLE+0.03::DOUBLE,9) AS y1 FROM range(918) r(id)"),
+    "fishnet": (_fishnet, "SELECT id AS fid, id // 27 AS col, id % 27 AS row, round(116.0::DOUBLE+(id//27)*0.03::DOUBLE,9) AS x0, round(39.5::DOUBLE+(id%27)*0.03::DOUBLE,9) AS y0, round(116.0::DOUBLE+(id//27)*0.03::DOUBLE+0.03::DOUBLE,9) AS x1, round(39.5::DOUBLE+(id%27)*0.03::DOUBLE+0.03::DOUBLE,9) AS y1 FROM range(2000) r(id) WHERE id // 27 < (SELECT greatest(1, ceil(((116.0::DOUBLE + max(c_custkey*41 % 1000)/1000.0::DOUBLE) - 116.0::DOUBLE) / 0.03::DOUBLE)) FROM customer)"),
     "heatmap_grid": (lambda s, d: _r(S.heatmap_grid(I.points(s, d), 3000.0), 6, "weight"), sql("WITH c AS (SELECT CAST(floor((mx-(SELECT min(mx) FROM points))/3000) AS BIGINT) AS col, CAST(floor((my-(SELECT min(my) FROM points))/3000) AS BIGINT) AS row, count(*) AS n FROM points GROUP BY 1, 2) SELECT col, row, n, round(n/(SELECT max(n) FROM c),6) AS weight FROM c", "points")),
     "heatmap_smooth": (lambda s, d: _r(S.heatmap_smooth(S.heatmap_grid(I.points(s, d), 3000.0), 3000.0, 6000.0), 6, "intensity"), None),
     "describe_values": (lambda s, d: _r(S.describe(table(s, d, "events"), "value"), 4, "mean", "std", "min", "p25", "p50", "p75", "max"), "SELECT count(value) AS count, round(avg(value),4) AS mean, round(stddev_samp(value),4) AS std, round(min(value),4) AS min, round(quantile_cont(value,0.25),4) AS p25, round(quantile_cont(value,0.5),4) AS p50, round(quantile_cont(value,0.75),4) AS p75, round(max(value),4) AS max FROM events"),
