@@ -320,30 +320,27 @@ def near_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     owners = every.groupBy("sid").agg(F.min(F.struct("doc_id", "tag")).alias("owner"))
     asked = owners.join(wanted, "sid", "left_semi").select("owner.doc_id", "owner.tag", "sid")
     texts = materialize(packed_texts(known).join(asked, ["doc_id", "tag"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
-    labels, low, high = None, 0, 1
+    member = blocks.select("key", F.explode("members").alias("m")).select("key", "m.sid", "m.fp", "m.n", "m.root")
+    labels, wides, low, high = None, None, 0, 1
     while True:
         links = materialize(_confirmed(pairs, texts, shingle), "links")
         if links.limit(1).count():
             links = links if labels is None else links.unionAll(labels.select(F.col("v").alias("src"), F.col("root").alias("dst")))
             labels = connected_components(links)
+            known_root = labels.select(F.col("v").alias("sid"), F.col("root").alias("now"))
+            member = member.join(known_root, "sid", "left").select("key", "sid", "fp", "n", F.coalesce("now", "root").alias("root"))
         low, high = high, 16 * high + 1
-        apart = blocks.where((F.size("members") > SMALL) & (F.size("members") > low + 1))
-        member = apart.select("key", F.explode("members").alias("m")).select("key", "m.*").withColumnRenamed("root", "old")
-        if "wide" not in member.columns:  # once, for the blocks that the first round leaves
-            member = materialize(member, "members")
-            few = texts.join(member.select("sid").distinct(), "sid", "left_semi")
-            member = member.join(_wide_prints(few, shingle), "sid")
-        if labels is not None:
-            member = member.join(labels, member["sid"] == labels["v"], "left").withColumn("root", F.coalesce("root", "old"))
-        else:
-            member = member.withColumn("root", F.col("old"))
-        shared = member.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # no more than a set has first shingles
-        member = member.drop("keys").join(shared, "sid")
-        apart = member.groupBy("key").agg(F.collect_list(F.struct("sid", "fp", "n", "root", "wide", "keys")).alias("members"))
-        blocks = materialize(apart.where(F.size(F.array_distinct("members.root")) > 1), "blocks")
-        if not blocks.limit(1).count():
+        # blocks that are larger than what has been compared, and not yet of one root
+        member = materialize(member, "members")
+        open_ = member.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("size") > max(SMALL, low + 1)) & (F.col("least") < F.col("most")))
+        member = materialize(member.join(open_.select("key"), "key", "left_semi"), "members")
+        if not member.limit(1).count():
             break
-        pairs = _pairs(blocks, low, high).distinct()
+        if wides is None:  # once, for the blocks that the first round leaves
+            wides = materialize(_wide_prints(texts.join(member.select("sid").distinct(), "sid", "left_semi"), shingle), "wide")
+        shared = member.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # no more than a set has first shingles
+        full = member.join(wides.join(shared, "sid"), "sid").groupBy("key").agg(F.collect_list(F.struct("sid", "fp", "n", "root", "wide", "keys")).alias("members"))
+        pairs = _pairs(full, low, high).distinct()
     own = every.groupBy("sid").agg(F.min(F.struct("doc_id", "tag")).alias("owner"))
     if labels is None:
         classes = own.select("sid", "owner", F.col("sid").alias("root"))
