@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..functions.geo import rectangle, signed_area
 from ..operators import planar as P
 from ..operators import warp as W
@@ -185,6 +186,23 @@ _OSM = """WITH w AS (SELECT o_orderkey AS k, o_orderpriority AS category, unnest
 p AS (SELECT k, category, nth, x, y FROM w JOIN facilities ON fid = ref)
 SELECT k AS osm_id, any_value(category) AS category, arg_min(x, nth) AS x, arg_min(y, nth) AS y, count(*) AS n, round(sum(x), 6) AS sum_x FROM p GROUP BY k HAVING count(*) > 1"""
 
+def _udtf_sessions(s, d):
+    """Sessions of users by a table function over their events: more than two hours part them."""
+    registry.register(s, ["sessions"])
+    e = table(s, d, "events").select(F.col("user_id").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    got = s.sql("SELECT * FROM sessions(TABLE({e}) PARTITION BY k ORDER BY (at), 7200000000.0D)", e=e)
+    return got.groupBy("k").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("most"))
+
+
+_SESSIONS = """WITH e AS (SELECT user_id AS k, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), s AS (SELECT k, sum(CASE WHEN gap > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts) AS session FROM e), n AS (SELECT k, session, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT k, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) AS most FROM n GROUP BY 1"""
+
+
+def _sql_functions(s, d):
+    registry.register(s, ["great_circle_m", "mercator_y"])
+    return s.sql("SELECT fid, round(great_circle_m(x, y, 116.4D, 39.9D), 2) AS metres, round(mercator_y(y), 2) AS my FROM {p}", p=I.demand(s, d))
+
+
 ZOOMS = [4, 7, 9]
 
 
@@ -203,6 +221,8 @@ c AS (SELECT z, tx, ty, round_even(greatest(-64, (u0-tx)*4096),0) AS a, round_ev
 SELECT z::BIGINT AS z, tx, ty, count(*) AS n, 4*count(*) AS vertices, sum((e-a)*(g-f))::DOUBLE AS area FROM c WHERE e > a AND g > f GROUP BY 1, 2, 3"""
 
 PLANS = {
+    "udtf_sessions": (_udtf_sessions, _SESSIONS),
+    "sql_functions": (_sql_functions, sql("SELECT fid, round(2*6371000.0::DOUBLE*asin(sqrt(pow(sin(radians(39.9::DOUBLE-y)/2),2)+cos(radians(y))*cos(radians(39.9::DOUBLE))*pow(sin(radians(116.4::DOUBLE-x)/2),2))),2) AS metres, round(ln(tan(pi()/4+radians(y)/2))*6378137.0::DOUBLE,2) AS my FROM demand", "demand")),
     "osm_roads": (_osm, sql(_OSM, "facilities")),
     "geotiff_round_trip": (_geotiff, sql("SELECT row, col, round(v, 6) AS v FROM pixels", "pixels")),
     "contours": (_contours, sql(_CONTOURS, "pixels")),
