@@ -232,7 +232,7 @@ PLANS = {
     "impact_zones": (lambda s, d: G.impact_zones(I.facilities(s, d).select("fid", "mx", "my")).select("fid", "zone", F.round("area", 0).alias("area")), sql("SELECT fid, z AS zone, round(128*0.5*sin(2*pi()/128)*(d*d - i*i),0) AS area FROM facilities, (VALUES ('direct',500.0::DOUBLE,0.0::DOUBLE),('indirect',1500.0::DOUBLE,500.0::DOUBLE)) t(z,d,i)", "facilities")),
     "point_buffer_join": (
         lambda s, d: S.spatial_join(I.demand(s, d).select(F.col("fid").alias("demand"), F.col("mx").alias("x"), F.col("my").alias("y")), G.buffer_points(I.facilities(s, d).select("fid", "mx", "my"), 5000.0), cell=5000.0).groupBy("fid").agg(F.count("*").alias("n")),
-        None,
+        sql("WITH p AS (SELECT f.fid, sqrt(pow(d.mx-f.mx,2)+pow(d.my-f.my,2)) AS r, atan2(d.my-f.my, d.mx-f.mx)+pi() AS a FROM facilities f JOIN demand d ON abs(d.mx-f.mx) <= 5000 AND abs(d.my-f.my) <= 5000) SELECT fid, count(*) AS n FROM p WHERE r*cos(a - floor(a*32/pi())*pi()/32 - pi()/64) <= 5000*cos(pi()/64) GROUP BY 1", "facilities", "demand"),
     ),
     "datum_transform": (_datum, None),
     "utm_mercator": (_utm, sql("SELECT fid, round(mx,3) AS e, round(my,3) AS n, round(radians(x)*6378137.0::DOUBLE,3) AS merc_x, round(ln(tan(pi()/4+radians(y)/2))*6378137.0::DOUBLE,3) AS merc_y, true AS returns FROM demand", "demand")),
