@@ -83,8 +83,9 @@ def _asof(spark, d):
 
 def _interval(spark, d):
     lines = table(spark, d, "part").select(F.col("p_partkey").alias("part"), (F.col("p_retailprice") - 1).alias("low"), (F.col("p_retailprice") + 1).alias("high"))
+    ranges = lines.groupBy("low", "high").agg(F.count("*").alias("parts"), F.min("part").alias("first"))  # equal intervals hold the same points
     pts = _events(spark, d).select("event_id", (F.col("value") * 10).alias("v"))
-    return R.interval_join(pts, lines, "v", "low", "high", 10.0).groupBy("event_id").agg(F.count("*").alias("n"), F.min("part").alias("first_part"))
+    return R.interval_join(pts, ranges, "v", "low", "high", 10.0).groupBy("event_id").agg(F.sum("parts").alias("n"), F.min("first").alias("first_part"))
 
 
 def _rules(spark, d):
