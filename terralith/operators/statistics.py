@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import normal_cdf
 from ..sources.store import materialize
-from .spatial import nearest, within_distance
+from .spatial import nearest, neighbour_sums, places, within_distance
 
 
 def knn_weights(points: DataFrame, k: int = 8) -> DataFrame:
@@ -47,8 +47,7 @@ def moran(points: DataFrame, weights: DataFrame, value: str, permutations: int =
 def getis_ord(points: DataFrame, value: str, band: float) -> DataFrame:
     """Gi* of every point (fid, mx, my) over the points within `band`, itself included; p two-sided, labels at 99, 95 and 90 %."""
     stats = points.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count("*").alias("n"))
-    pairs = within_distance(points.select("fid", "mx", "my"), points.select("fid", "mx", "my", value), band)
-    sums = pairs.groupBy(F.col("aid").alias("fid")).agg(F.count("*").alias("w"), F.sum(f"b_{value}").alias("wx"))
+    sums = neighbour_sums(points, band, value).select("fid", F.col("n").alias("w"), F.col("sum").alias("wx"))
     inner = (F.col("n") * F.col("w") - F.col("w") * F.col("w")) / (F.col("n") - 1)
     den = F.when(inner > 0, F.col("s") * F.sqrt(inner)).otherwise(0.0)
     g = sums.join(F.broadcast(stats)).withColumn("gi", F.when(den != 0, (F.col("wx") - F.col("m") * F.col("w")) / den).otherwise(0.0))
