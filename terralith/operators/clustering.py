@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import materialize
 from .relational import with_position
-from .spatial import within_distance
+from .spatial import places, within_distance
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,29 +26,43 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _label(points: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
-    """pairs (aid, bid) of neighbours, each point its own neighbour: fid, cluster (from 0 by first core point; noise -1), is_core."""
-    pairs = materialize(pairs.select("aid", "bid"), "neighbours")
-    cores = materialize(pairs.groupBy(F.col("aid").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("core"), "cores")
-    links = pairs.join(cores, pairs["aid"] == cores["core"], "left_semi").join(cores.withColumnRenamed("core", "to"), pairs["bid"] == F.col("to"), "left_semi")
-    roots = components(links.select(F.col("aid").alias("src"), F.col("bid").alias("dst")))
+def _clusters(points: DataFrame, by: list[str], near: Callable[[DataFrame, DataFrame], DataFrame], cell: list[Column], min_samples: int) -> DataFrame:
+    """fid, cluster (from 0 by first core point; noise -1), is_core, of points at places (columns `by`) that `near` pairs.
+
+    Places are paired, with the rows there as their weight, and no pair is written: core points are counted, then those
+    of one `cell`, which are all neighbours, act as one when links are followed, then border points look for a core.
+    """
+    points = materialize(points.select("fid", *by), "points")
+    spots = materialize(places(points, by), "spots")
+    full = near(spots.select("fid", *by), spots.select("fid", *by, "n")).groupBy("aid").agg(F.sum("b_n").alias("n")).where(F.col("n") >= min_samples)
+    cores = materialize(spots.join(full.select("aid"), spots["fid"] == F.col("aid"), "left_semi").select("fid", *by, F.struct(*cell).alias("cell")), "cores")
+    cells = cores.groupBy("cell").agg(F.min("fid").alias("first"))
+    cores = materialize(cores.join(cells, "cell").drop("cell"), "cores")
+    links = near(cores, cores).select(F.col("a_first").alias("src"), F.col("b_first").alias("dst")).distinct()
+    roots = components(links)
     numbers = with_position(roots.select("root").distinct(), [F.col("root")], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
-    numbered = roots.join(numbers, "root").select(F.col("v").alias("core"), "cluster")
-    border = pairs.join(numbered, pairs["bid"] == numbered["core"]).groupBy("aid").agg(F.min("cluster").alias("near"))
-    own = points.select("fid").join(numbered, F.col("fid") == numbered["core"], "left").join(border, F.col("fid") == border["aid"], "left")
-    return own.select("fid", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"), F.col("core").isNotNull().alias("is_core"))
+    numbered = materialize(cores.join(roots.join(numbers, "root").select(F.col("v").alias("first"), "cluster"), "first").select("fid", *by, "cluster"), "numbered")
+    other = spots.join(numbered.select("fid"), "fid", "left_anti").select("fid", *by)
+    border = near(other, numbered).groupBy("aid").agg(F.min("b_cluster").alias("cluster"))
+    found = numbered.select(*by, "cluster", F.lit(True).alias("is_core")).unionAll(other.join(border, other["fid"] == border["aid"]).select(*by, "cluster", F.lit(False)))
+    got = points.select("fid", *by).join(found, by, "left")
+    return got.select("fid", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+
+
+def _within(eps: float) -> list[Column]:
+    """Cells no two points of which lie farther apart than eps."""
+    return [F.floor(F.col(c) / (eps / 1.4143)).alias(c) for c in ("mx", "my")]
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """points (fid, mx, my). A border point joins the lowest-numbered cluster that has a core point within eps."""
-    p = points.select("fid", "mx", "my")
-    return _label(points, within_distance(p, p, eps), min_samples)
+    return _clusters(points, ["mx", "my"], lambda a, b: within_distance(a, b, eps), _within(eps), min_samples)
 
 
 def st_dbscan(points: DataFrame, eps_m: float, eps_s: float, min_samples: int) -> DataFrame:
     """points (fid, mx, my, ts in seconds): neighbours are within eps_m metres and eps_s seconds."""
-    p = points.select("fid", "mx", "my", "ts")
-    return _label(points, within_distance(p, p, eps_m, extra=F.abs(F.col("a_ts") - F.col("b_ts")) <= eps_s), min_samples)
+    cell = [*_within(eps_m), F.floor(F.col("ts") / eps_s).alias("ts")]
+    return _clusters(points, ["mx", "my", "ts"], lambda a, b: within_distance(a, b, eps_m, lag=("ts", eps_s)), cell, min_samples)
 
 
 def kmeans(points: DataFrame, k: int, features: list[str], seed: int = 42, rounds: int = 20) -> DataFrame:
