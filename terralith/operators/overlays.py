@@ -154,9 +154,27 @@ def overlay_parts(a: DataFrame, b: DataFrame, how: str = "intersection", cell: f
 def baseline(features: DataFrame, area: list[tuple[float, float]], columns: list[str]) -> DataFrame:
     """One row: features (ring) that meet an area, and the means of their numeric columns, 4 places.
 
-    A feature meets the area if it has a part within it, touching borders left aside.
+    A feature meets the area if it has a part within it, however small, touching borders left aside: two convex parts
+    do unless a side of one has the other wholly on or beyond it.
     """
-    one = features.sparkSession.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in area],)], f"ring {RING}").select(F.lit(0).alias("bid"), "ring")
-    numbered = materialize(features.withColumn("aid", F.monotonically_increasing_id()), "numbered")
-    kept = overlay_parts(numbered.select("aid", "ring"), one).select("aid").distinct()
-    return numbered.join(kept, "aid", "left_semi").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(c).try_cast("double")), 4).alias(c) for c in columns])
+    mask = convex_parts(np.array(area, float))
+    x0, y0, x1, y1 = (float(f(p[i] for p in area)) for f, i in ((min, 0), (min, 1), (max, 0), (max, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = [any(_overlap(p, q) for p in convex_parts(_open(ring)) for q in mask) for ring in batch.column("ring").to_pylist()]
+            yield batch.filter(pa.array(met, pa.bool_())).select(columns)
+
+    box = ring_bbox(F.col("ring"))
+    near = features.select("ring", *columns).where((box["x0"] < x1) & (box["x1"] > x0) & (box["y0"] < y1) & (box["y1"] > y0))
+    kept = near.mapInArrow(run, near.select(*columns).schema)
+    return kept.agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(c).try_cast("double")), 4).alias(c) for c in columns])
+
+
+def _overlap(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two convex counter-clockwise rings share more than a border."""
+    for one, other in ((p, q), (q, p)):
+        for a, b in zip(one, np.roll(one, -1, axis=0), strict=True):
+            if ((b[0] - a[0]) * (other[:, 1] - a[1]) - (b[1] - a[1]) * (other[:, 0] - a[0]) <= 0).all():
+                return False
+    return True
