@@ -153,7 +153,9 @@ LEVELS = [20.0, 26.5]
 
 def _contours(s, d):
     got = contours(I.pixels(s, d), LEVELS, unit=1e-7)
-    return got.groupBy("level").agg(F.round(F.sum("area"), 3).alias("area"))
+    areas = got.groupBy("level").agg(F.round(F.sum("area"), 3).alias("area"))
+    every = s.createDataFrame([(x,) for x in LEVELS], "level double")  # a level that nothing reaches has no area
+    return every.join(areas, "level", "left").select("level", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 _CONTOURS = """WITH l AS (SELECT * FROM (VALUES (20.0::DOUBLE), (26.5::DOUBLE)) t(level)), g AS (SELECT id // 65 - 1 AS row, id % 65 - 1 AS col FROM range(65*65) g(id)),
