@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +83,23 @@ def catalog_search(catalog: DataFrame, keyword: str | None = None, bbox=None, cr
     return page(df, [F.col("id")], limit, offset).join(F.broadcast(totals))
 
 
+def _convex_sides(x: Column, y: Column, polygon) -> Column | None:
+    """Whether a point lies inside every side of a strictly convex polygon, by the sign of one product each; None for other polygons."""
+    points = [(float(a), float(b)) for a, b in polygon]
+    points = points[:-1] if len(points) > 1 and points[0] == points[-1] else points
+    ends = list(zip(points, points[1:] + points[:1], strict=True))
+    turns = [(b[0] - a[0]) * (d[1] - b[1]) - (b[1] - a[1]) * (d[0] - b[0]) for (a, b), (_, d) in zip(ends, ends[1:] + ends[:1], strict=True)]
+    way = 1 if min(turns) > 0 else -1 if max(turns) < 0 else 0
+    around = sum(math.atan2(t, (b[0] - a[0]) * (d[0] - b[0]) + (b[1] - a[1]) * (d[1] - b[1])) for t, ((a, b), (_, d)) in zip(turns, zip(ends, ends[1:] + ends[:1], strict=True), strict=True))
+    if len(points) < 3 or not way or abs(around) > 7:  # a star turns around more than once
+        return None
+    out = F.lit(True)
+    for (x1, y1), (x2, y2) in ends:
+        side = (F.lit(x2) - F.lit(x1)) * (y - F.lit(y1)) - (F.lit(y2) - F.lit(y1)) * (x - F.lit(x1))
+        out &= side > 0 if way > 0 else side < 0
+    return out
+
+
 def poi_filter(pois: DataFrame, polygon=None, bbox=None, adcode: str | None = None, name: str | None = None, category: str | None = None, subtype: str | None = None) -> DataFrame:
     """Points of interest (fid, x, y, adcode, name, category, subtype). A polygon is used before a box, a box before an adcode.
 
@@ -89,7 +108,9 @@ def poi_filter(pois: DataFrame, polygon=None, bbox=None, adcode: str | None = No
     df = pois
     if polygon:
         xs, ys = zip(*polygon, strict=True)
-        df = df.where(in_bbox(F.col("x"), F.col("y"), (min(xs), min(ys), max(xs), max(ys))) & point_in_ring(F.col("x"), F.col("y"), ring(polygon), boundary=False))
+        sides = _convex_sides(F.col("x"), F.col("y"), polygon)
+        within = point_in_ring(F.col("x"), F.col("y"), ring(polygon), boundary=False) if sides is None else sides
+        df = df.where(in_bbox(F.col("x"), F.col("y"), (min(xs), min(ys), max(xs), max(ys))) & within)
     elif bbox:
         df = df.where(in_bbox(F.col("x"), F.col("y"), bbox))
     elif adcode:
