@@ -307,6 +307,12 @@ def coverage(zones: DataFrame) -> DataFrame:
     return zones.agg(served.alias("served"), total.alias("total"), F.when(total > 0, 100.0 * served / total).otherwise(100.0).alias("pct"), (F.sum(F.when(F.col("served"), F.col("weight") * F.col("least"))) / served).alias("mean_cost"))
 
 
+def first_sites(facilities: DataFrame, p: int) -> DataFrame:
+    """Of facilities (did, node) at one node the p smallest: they reach everything at the same cost, so no choice of p needs others."""
+    first = Window.partitionBy("node").orderBy("did")
+    return facilities.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= p).drop("_n")
+
+
 def allocate(od: DataFrame, demand: DataFrame, candidates: list | None, p: int, problem: str = "p_median", cutoff: float = 900.0, exact_limit: int = 20_000) -> tuple[list, float]:
     """The p candidates of least weighted cost, or of most weight within the cutoff; unreachable demand costs 1e9 a unit.
 

@@ -106,10 +106,11 @@ def _coverage(s, d):
 
 
 def _allocate(problem):
-    """Demand by node: the same sums from as many rows as nodes."""
+    """Demand by node, and of the facilities at a node as many as can be chosen: the same sums and sites from as many rows as nodes."""
 
     def run(s, d):
         e, dem, fac = _on_grid(s, d)
+        fac = N.first_sites(fac, 3)
         zones = dem.groupBy(F.col("node").alias("oid")).agg(F.sum("weight").alias("weight"))
         od = N.od_matrix(e, fac.select(F.col("did").alias("oid"), "node"), zones.select(F.col("oid").alias("did"), F.col("oid").alias("node"))).select(F.col("did").alias("oid"), F.col("oid").alias("did"), "cost")
         chosen, score = N.allocate(od, zones, None, 3, problem)
