@@ -7,7 +7,7 @@ touch themselves or each other in points at most. Holes go to the smallest shell
 
 Everything is a join or an aggregation over edges: edges and boxes meet by cells of their own size (a power of two) and those
 above, so one long edge among many short ones is not cut into their cells; equal edges are one before they
-meet; rings are labelled by doubling jumps. Only the edges of one ring of the result come together, in its row.
+meet; rings are labelled by doubling jumps. Cells are dealt to both sides: a small file may have very many. Only the edges of one ring of the result come together, in its row.
 Parts thinner than the grid vanish. Null and empty rings, and rings without area, count for nothing.
 """
 
@@ -88,7 +88,7 @@ def _cuts(segments: DataFrame) -> DataFrame:
     own = _cells(boxed, F.col("level")).select("key", "at", "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in (*_SEG, "x0", "x1", "y0", "y1")))
     above = boxed.withColumn("up", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col("level"))))
     above = _cells(above, F.col("up")).select("key", "at", "cx", "cy", *_SEG, "x0", "x1", "y0", "y1")
-    near = own.join(above, ["key", "at", "cx", "cy"]).where("x0 <= o_x1 + 1 AND o_x0 <= x1 + 1 AND y0 <= o_y1 + 1 AND o_y0 <= y1 + 1")
+    near = own.join(above.hint("merge"), ["key", "at", "cx", "cy"]).where("x0 <= o_x1 + 1 AND o_x0 <= x1 + 1 AND y0 <= o_y1 + 1 AND o_y0 <= y1 + 1")
     near = near.where(" OR ".join(f"{c} <> o_{c}" for c in _SEG))
     both = near.select("key", *_SEG, *(f"o_{c}" for c in _SEG)).unionAll(near.select("key", *(F.col(f"o_{c}") for c in _SEG), *_SEG))
     d = lambda a, b: (F.col(a) - F.col(b)).cast("double")
@@ -143,7 +143,7 @@ def _covered(middles: DataFrame, polys: DataFrame, pieces: DataFrame, unit: floa
     size = F.pow(F.lit(2.0), F.col("at"))
     asked = middles.select("key", *_SEG, mx.alias("mx"), my.alias("my"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("at"))
     asked = asked.withColumns({"cx": F.floor(F.col("mx") / size), "cy": F.floor(F.col("my") / size)})
-    near = asked.join(_cells(boxed, F.col("level")).drop("level"), ["key", "at", "cx", "cy"]).where("mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1")
+    near = asked.join(_cells(boxed, F.col("level")).drop("level").hint("merge"), ["key", "at", "cx", "cy"]).where("mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1")
     x, y = F.col("mx"), F.col("my")
     crossed = F.filter("sides", lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
     hits = near.where(F.size(crossed) % 2 == 1).select("key", *_SEG, "fid", "layer")
@@ -208,7 +208,7 @@ def _polygons(bounds: DataFrame, unit: float) -> DataFrame:
     asked = holes.select("key", F.col("ring").alias("hole"), F.col("part").alias("hole_part"), ((first["x"] + second["x"]) / 2).alias("mx"), ((first["y"] + second["y"]) / 2).alias("my"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("at"))
     size = F.pow(F.lit(2.0), F.col("at"))
     asked = asked.withColumns({"cx": F.floor(F.col("mx") / unit / size), "cy": F.floor(F.col("my") / unit / size)})
-    near = asked.join(_cells(boxed, F.col("level")).select("key", "at", "cx", "cy", "ring", "part", "area"), ["key", "at", "cx", "cy"])
+    near = asked.join(_cells(boxed, F.col("level")).select("key", "at", "cx", "cy", "ring", "part", "area").hint("merge"), ["key", "at", "cx", "cy"])
     x, y = F.col("mx"), F.col("my")
     inside = F.size(F.filter(edges(F.col("ring")), lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))) % 2 == 1
     owner = near.where(inside).groupBy("hole_part").agg(F.min_by(F.struct("part", "hole"), "area").alias("o"))
@@ -258,12 +258,24 @@ def dissolve_union(df: DataFrame, keys: list[str], unit: float = UNIT) -> DataFr
     return got.join(named.select("key", *keys).dropDuplicates(["key"]), "key").select(*keys, "ring", "holes", "area")
 
 
+def alike(df: DataFrame, fid: str, columns: list[str]) -> DataFrame:
+    """fid, _one: the smallest fid whose rows hold the same columns, so that equal shapes are worked on once."""
+    held = df.groupBy(fid).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_held"))
+    return materialize(held.join(held.groupBy("_held").agg(F.min(fid).alias("_one")), "_held").select(fid, "_one"), "alike")
+
+
 def make_valid(df: DataFrame, fid: str = "fid", unit: float = UNIT) -> DataFrame:
     """fid, ring, holes, area: each row's rings (ring, holes) as valid polygons under the even-odd rule, a row per polygon.
 
     Self-crossings are noded, edges that a polygon runs along twice cancel (spikes vanish), and a ring inside another is a
-    hole, one inside that a polygon again. Rows of which nothing is left give no row.
+    hole, one inside that a polygon again. Rows of which nothing is left give no row. Equal shapes are repaired once.
     """
+    same = alike(df, fid, [c for c in ("ring", "holes") if c in df.columns])
+    ones = df.join(same.where(F.col(fid) == F.col("_one")).select(fid), fid, "left_semi")
+    return same.join(_repaired(ones, fid, unit).withColumnRenamed(fid, "_one"), "_one").select(fid, "ring", "holes", "area")
+
+
+def _repaired(df: DataFrame, fid: str, unit: float) -> DataFrame:
     held = [] if "holes" not in df.columns else [F.coalesce("holes", F.array().cast(f"array<{RING}>"))]
     rings = F.concat(F.array("ring"), *held)
     each = df.select(F.col(fid).alias("key"), F.explode(rings).alias("r")).select("key", F.explode(edges(_snapped(F.col("r"), unit))).alias("e"))
@@ -279,7 +291,7 @@ def make_valid(df: DataFrame, fid: str = "fid", unit: float = UNIT) -> DataFrame
     other = [F.col(c).alias(f"o_{c}") for c in _SEG]
     flat = boxed.select("key", *other, "y0", "y1", F.lit(True).alias("up"), F.explode(F.sequence(strip(F.col("y0")), strip(F.col("y1")))).alias("strip")).where("y0 < y1")
     steep = boxed.select("key", *other, F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.lit(False).alias("up"), F.explode(F.sequence(strip(F.col("x0")), strip(F.col("x1")))).alias("strip")).where("y0 < y1")
-    met = middle.join(flat.unionAll(steep), ["key", "up", "strip"]).where("CASE WHEN up THEN my ELSE mx END >= y0 AND CASE WHEN up THEN my ELSE mx END < y1")
+    met = middle.join(flat.unionAll(steep).hint("merge"), ["key", "up", "strip"]).where("CASE WHEN up THEN my ELSE mx END >= y0 AND CASE WHEN up THEN my ELSE mx END < y1")
     share = lambda p, a, b: (F.col(p) - F.col(f"o_{a}")) / (F.col(f"o_{b}") - F.col(f"o_{a}"))
     west = F.col("o_ax") + share("my", "ay", "by") * (F.col("o_bx") - F.col("o_ax")) < F.col("mx")
     north = F.col("o_ay") + share("mx", "ax", "bx") * (F.col("o_by") - F.col("o_ay")) > F.col("my")
