@@ -5,7 +5,9 @@ is one shingle, and a set counts each once. Equal sets are one member of what fo
 
 Candidates come from blocks: in one order of all shingles, two sets of a similarity t share a shingle among the first
 n - ceil(t * n) + 1 of each, so every pair meets in the block of that shingle. Shingles that many documents have come
-last in the order, which keeps blocks small and never loses a pair; they are counted over all documents. These first
+last in the order, which keeps blocks small and never loses a pair. First shingles are those of the lowest hashes but for
+the frequent ones, so the lowest `COUNTED` of all hashes are counted exactly, over all documents, and what more than
+`SMALL` documents have is frequent; of the others those that a partition often has. These first
 shingles travel as packed lists, one per slice of documents and bucket, and a bucket gives its blocks. Within a
 block, pairs whose sizes rule the similarity out are left; of the others the SimHash fingerprints (of the sets) go
 through the pigeonring filter of `simhash` and the full Hamming check, at most `MAX_BITS` of 64; 0.8 is 10 bits on
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import NOT_SPACE, _R1, chunks, digests, materialize, mix, packed_texts, powers, prefix_hash, text_array, unpacked, words_in
+from ._util import NOT_SPACE, _R1, chunks, digests, input_bytes, materialize, mix, packed_texts, powers, prefix_hash, text_array, unpacked, words_in
 from .chunked import pack, pack_ascending, unpack, unpack_ascending
 from .graph import connected_components
 from .simhash import majority, ring_close
@@ -49,9 +51,14 @@ FEW = 24
 SMALL = 8
 #: Text bytes of one slice of documents.
 SLICE_BYTES = 2 << 20
-#: A shingle is frequent if over one in `FREQUENT` documents of a partition has it; the order knows the `ORDERED` most frequent ones.
+#: The share of all hashes that is counted exactly: more than a set's first shingles take (a fifth), for sets with some frequent ones.
+COUNTED = 0.3
+#: Of the others a shingle is frequent if over one in `FREQUENT` documents of a partition has it; the order knows the `ORDERED` most frequent ones.
 FREQUENT = 2000
 ORDERED = 200_000
+#: Hashes to count that a task holds before they are dealt to buckets, and bytes of documents to a bucket, about.
+HELD = 2_000_000
+COUNTED_BYTES = 1 << 20
 #: Entries of a bucket of first shingles, about.
 BUCKET_ENTRIES = 300_000
 
@@ -90,7 +97,8 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
 
 
-_PRINT = "doc_id long, tag long, sid long, n int, fp long, often binary"
+_PRINT = "doc_id long, tag long, sid long, n int, fp long, often binary, bucket long, low binary"
+_LOW = np.uint64(int(COUNTED * 2**64))
 _COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
 
 
@@ -104,59 +112,84 @@ def _counted(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row per document (doc_id, tag, a hash of its set, the set's size and fingerprint), and one per partition with its frequent shingles."""
+def _low_rows(low: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Hashes to count by bucket, their first `bits` bits; the next 32 bits stand for each."""
+    h = np.sort(np.concatenate(low)) >> np.uint64(32 - bits)
+    bucket = (h >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    packed = [pack_ascending(x.astype(np.uint32)) for x in np.split(h & np.uint64(0xFFFFFFFF), edges[1:])]
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("often", pa.binary()), ("bucket", pa.int64()), ("low", pa.binary())])
+    return pa.RecordBatch.from_arrays([*(pa.nulls(len(edges), f.type) for f in list(schema)[:6]), pa.array(bucket[edges]), pa.array(packed, pa.binary())], schema=schema)
+
+
+def _prints(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """A row per document (doc_id, tag, a hash of its set, the set's size and fingerprint), one per partition with its frequent shingles, and the low hashes by bucket."""
     names = [x.split()[0] for x in _PRINT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, n_docs = [np.zeros(0, _COUNT)], 0
+        often, n_docs, low, held = [np.zeros(0, _COUNT)], 0, [], 0
         for batch in chunks(batches, "text", SLICE_BYTES):
             sets = shingle_sets(*text_array(batch.column("text")), shingle)
-            h, c = np.unique(np.concatenate(sets), return_counts=True)
+            every = np.concatenate(sets)
+            low.append(every[every < _LOW])
+            held += len(low[-1])
+            if held > HELD:
+                yield _low_rows(low, bits)
+                low, held = [], 0
+            h, c = np.unique(every[every >= _LOW], return_counts=True)
             here = np.zeros(int((c > 1).sum()), _COUNT)
             here["h"], here["c"] = h[c > 1], c[c > 1]
             often, n_docs = [_counted([*often, here])], n_docs + len(sets)
             sid, n = pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
             fp = pa.array(np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), sid, n, fp, pa.nulls(len(sets), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), sid, n, fp, *(pa.nulls(len(sets), k) for k in (pa.binary(), pa.int64(), pa.binary()))], names)
+        if held:
+            yield _low_rows(low, bits)
         kept = often[0][often[0]["c"] > max(n_docs // FREQUENT, 2)]
         if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())] + [pa.array([kept.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())] + [pa.array([kept.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
 
     return docs.select("doc_id", "tag", "text").mapInArrow(run, _PRINT)
 
 
-def _frequent(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (ascending, at most `ORDERED`), and in how many documents they were seen."""
+def _frequent(prints: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles (their first 32 + bits bits, ascending, at most `ORDERED`), in how many documents they were seen, and how many bits their hashes have besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(0).to_pylist():
                 x = np.frombuffer(packed, _COUNT)
-                yield pa.RecordBatch.from_arrays([pa.array(x["h"].view(np.int64)), pa.array(x["c"])], ["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array((x["h"] >> np.uint64(32 - bits)).view(np.int64)), pa.array(x["c"])], ["h", "c"])
+
+    def count(table: pa.Table) -> pa.Table:
+        h, c = np.unique(np.concatenate([unpack_ascending(x) for x in table["low"].to_pylist()]), return_counts=True)
+        many = c > SMALL
+        return pa.table({"h": (h[many].astype(np.int64) | table["bucket"][0].as_py() << 32), "c": c[many].astype(np.int64)})
 
-    counts = prints.where("often is not null").select("often").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    got = counts.orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
+    often = prints.where("often is not null").select("often").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    low = prints.where("low is not null").select("bucket", "low").groupBy("bucket").applyInArrow(count, "h long, c long")
+    got = often.unionAll(low).orderBy(F.desc("c"), "h").limit(ORDERED).toArrow()
     h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
     order = np.argsort(h)
-    return h[order], c[order]
+    return h[order], c[order], 32 - bits
 
 
-def first_shingles(values: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of a set, the shingles of which every near copy has one among its own."""
+def first_shingles(values: np.ndarray, known: np.ndarray, counts: np.ndarray, rest: int = 0) -> np.ndarray:
+    """Of a set, the shingles of which every near copy has one among its own; `known` holds hashes without their last `rest` bits."""
     a, b = LEAST
     if not len(values):
         return values
     if len(known):
-        place = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        values = values[np.lexsort((values, np.where(known[place] == values, counts[place], 0)))]
+        short = values >> np.uint64(rest)
+        place = np.minimum(np.searchsorted(known, short), len(known) - 1)
+        values = values[np.lexsort((values, np.where(known[place] == short, counts[place], 0)))]
     return values[: len(values) + 1 + (-a * len(values)) // b]
 
 
 _LISTS = "bucket long, members binary, keys binary, which binary"
 
 
-def _lists(docs: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+def _lists(docs: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray, int], buckets: int) -> DataFrame:
     """The first shingles of all sets by bucket, packed by slices of documents."""
     names = [x.split()[0] for x in _LISTS.split(", ")]
 
@@ -223,7 +256,15 @@ def _found(table: pa.Table) -> pa.Table:
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.diff(np.append(head, len(keys)))
     a, b, blocks, seen = [], [], [], set()
-    for at, n in zip(head[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    two = np.unique(np.stack([which[head[size == 2]], which[head[size == 2] + 1]]), axis=1)
+    x, y = members[two[0]], members[two[1]]
+    low, high = np.minimum(x["n"], y["n"]).astype(np.int64), np.maximum(x["n"], y["n"])
+    near = low < FEW
+    near[ring_close(x["fp"] ^ y["fp"], np.uint64(0), MAX_BITS)] = True
+    near &= LEAST[1] * low >= LEAST[0] * high
+    a.append(np.minimum(x["sid"], y["sid"])[near])
+    b.append(np.maximum(x["sid"], y["sid"])[near])
+    for at, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         block = which[at : at + n]
         if (key := block.tobytes()) in seen:
             continue
@@ -233,9 +274,9 @@ def _found(table: pa.Table) -> pa.Table:
         for x, y in _close(m["sid"], m["fp"], m["n"], m["sid"], 0, 1):
             a.append(x)
             b.append(y)
-        if n > max(SMALL, 2):
+        if n > SMALL:
             blocks.append(m)
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
     none = [None] * len(blocks)
     every = np.concatenate([np.zeros(0, _MEMBER), *blocks])
     fields = [pa.array(x) for x in (every["sid"], every["fp"].view(np.int64), every["n"], every["sid"])]
@@ -244,6 +285,18 @@ def _found(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[0].tolist() + none, pa.int64()), pa.array(pairs[1].tolist() + none, pa.int64()), lists.cast(_FOUND.field("members").type)], schema=_FOUND)
 
 
+def _largest(table: pa.Table) -> pa.Table:
+    """Of the blocks that begin with one member, those that lie in no other: the others' pairs meet in that one too."""
+    members = table["members"].combine_chunks()
+    kept, sets = [], []
+    for i in np.argsort(-members.value_lengths().to_numpy(), kind="stable").tolist():
+        here = frozenset(members[i].values.field("sid").to_pylist())
+        if not any(here <= x for x in sets):
+            kept.append(i)
+            sets.append(here)
+    return table.select(["members"]).take(pa.array(kept))
+
+
 def _pairs(blocks: DataFrame, low: int, high: int) -> DataFrame:
     """a, b: pairs of the pivots low, ..., high - 1 of each block (members: sid, fp, n, root, wide, keys) with later members of other roots.
 
@@ -306,13 +359,15 @@ def near_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, tag (a hash of the text), keeper (doc_id, tag): the smallest document that pairs of near copies lead to, for each document."""
     spark = docs.sparkSession
     known = _tagged(docs)
-    prints = materialize(_prints(known, shingle), "prints")
+    bits = min(max((input_bytes(docs, "text") // COUNTED_BYTES).bit_length(), 4), 16)
+    prints = materialize(_prints(known, shingle, bits), "prints")
     every = prints.where("sid is not null").select("doc_id", "tag", "sid", "n")
     first = F.expr(f"n + 1 - ceil(n * {LEAST[0]} / {LEAST[1]})")
     entries = every.agg(F.sum(first)).head()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET_ENTRIES)
-    found = materialize(_lists(known, shingle, _frequent(prints), buckets).groupBy("bucket").applyInArrow(_found, _FOUND_DDL), "found")
-    blocks = found.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("key"), "members")
+    found = materialize(_lists(known, shingle, _frequent(prints, bits), buckets).groupBy("bucket").applyInArrow(_found, _FOUND_DDL), "found")
+    largest = found.where("members is not null").select("members").distinct().groupBy(F.col("members")[0]["sid"]).applyInArrow(_largest, _FOUND_DDL.split(", ")[2])
+    blocks = materialize(largest.select(F.xxhash64("members").alias("key"), "members"), "blocks")
     pairs = found.where("a is not null").select("a", "b").distinct()
 
     # texts of the sets that a pair may need, each once, by the smallest document that has it

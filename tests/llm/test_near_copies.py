@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+
+from terralith.llm import near_copies
 from terralith.llm.near_copies import drop_near_duplicates, near_components
 
 from . import brute
@@ -90,3 +93,26 @@ def test_map_columns_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", {"k": 2}, [{"m": 1}]), (1, "a b c", {"k": 1}, None), (2, "a b c", {}, None), (None, "x", {"k": 3}, None)], "doc_id long, text string, extra map<string,int>, more array<map<string,int>>")
     kept = drop_near_duplicates(docs).collect()
     assert sorted((x["doc_id"] or 0, x["text"], x["extra"]) for x in kept) == [(0, "x", {"k": 3}), (1, "a b c", {"k": 1})]
+
+
+def test_passage_that_no_partition_has_often(spark, monkeypatch):
+    """Twelve texts share a passage, at most two in a partition: it comes last in the order, so no large block is left open."""
+
+    def none(*_):
+        raise AssertionError("a block was left open")
+
+    monkeypatch.setattr(near_copies, "_wide_prints", none)
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join([f"d{r.random()}" for _ in range(200)] + (passage if i % 10 == 0 else []))) for i in range(120)]
+    docs.append((200, docs[50][1] + " more"))
+    got = dict(near_components(spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(12, "doc_id")).collect())
+    assert got == {i: i for i in range(120)} | {200: 50}
+
+
+def test_blocks_within_others():
+    """Of blocks that begin with one member, one within another goes, and none that has a pair of its own."""
+    blocks = [[1, 2, 3], [1, 2], [1, 3, 4], [1, 4], [1, 2, 3, 5]]
+    rows = [[{"sid": s, "fp": 0, "n": 9, "root": s} for s in x] for x in blocks]
+    got = near_copies._largest(pa.table({"members": pa.array(rows, near_copies._FOUND.field("members").type)}))
+    assert sorted([m["sid"] for m in x] for x in got["members"].to_pylist()) == [[1, 2, 3, 5], [1, 3, 4]]
