@@ -57,7 +57,7 @@ COUNTED = 0.3
 FREQUENT = 2000
 ORDERED = 200_000
 #: Hashes to count that a task holds before they are dealt to buckets, and bytes of documents to a bucket, about.
-HELD = 2_000_000
+HELD = 500_000
 COUNTED_BYTES = 1 << 20
 #: Entries of a bucket of first shingles, about.
 BUCKET_ENTRIES = 300_000
