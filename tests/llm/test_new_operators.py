@@ -1,6 +1,7 @@
 """Search, repair and language identification: hot terms, ties, long conversations, few labels."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.llm import language_id, lexical_search, quality_rules, structure_repair
+from terralith.sources.store import shared_count
 
 from . import brute
 
@@ -101,6 +103,23 @@ def test_families():
     assert language_id.family_of("pt-BR") == "romance" and language_id.family_of("EN_us") == "germanic" and language_id.family_of("tlh") == "tlh"
 
 
+def test_quality_moves_no_text(spark, tmp_path):
+    """The rules' order is measured where the rows are read, and no rule makes a string of each letter of a text."""
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("Ab \U00010400 \u00c4\u00df#"), F.col("id"), F.uuid()).alias("text")).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    before = shared_count(spark)
+    out = quality_rules.quality_cascade(docs, metrics=False)
+    assert shared_count(spark) == before and not re.search("(?i)regexp_extract_all|regexp_count|TakeOrdered", str(out._jdf.queryExecution().executedPlan()))
+    for others, kind in ((r"\P{L}", r"\p{L}"), (r"\P{Lu}", r"\p{Lu}"), ("[^#*$%&|<>]", "[#*$%&|<>]")):
+        assert not docs.where(~quality_rules.count_of(F.col("text"), others).eqNullSafe(F.regexp_count("text", F.lit(kind)))).head(1)
+
+
+def test_repeated_windows_twice(spark):
+    texts = ["a b c d", "a b c a b c", "x x x x x", "a b c", "", None, "a b c d a b c", "p q r s p q r s t q r s"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_repeat_words"] for r in quality_rules.base_metrics(docs).orderBy("doc_id").collect()] == [0, 6, 5, 0, 0, 0, 6, 11]
+
+
 def test_rule_order(spark):
     """Rejections per cost decide, then cost, then name; the same each time, and no verdict depends on it."""
     words = " ".join(f"word{i}" for i in range(60))
