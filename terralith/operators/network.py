@@ -403,21 +403,28 @@ def turn_edges(nodes: DataFrame, edges: DataFrame, penalty: float, angle: float
     return first.join(second, "mid").select(F.col("s1").alias("u"), F.col("s2").alias("v"), (F.col("cost") + F.when(turn > angle, penalty).otherwise(0.0)).alias("cost"))
 
 
-def split_crossings(lines: DataFrame, cell: float = 0.01) -> DataFrame:
+def split_crossings(lines: DataFrame, cell: float = 0.01, by: DataFrame | None = None) -> DataFrame:
     """lines (fid, points, ...) with a vertex more at every place where steps of two lines, or of one, cross or touch.
 
     Steps meet by an equi-join on grid cells; a step's cuts are sorted along it. Ends that only touch are cut too.
+    by: other lines (fid, points); these alone cut, and are not cut themselves.
     """
-    steps = lines.select("fid", F.posexplode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b"))).alias("k", "s"))
-    flat = steps.select("fid", "k", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+    def steps(of: DataFrame) -> DataFrame:
+        each = of.select("fid", F.posexplode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b"))).alias("k", "s"))
+        return each.select("fid", "k", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+    flat = steps(lines)
     span = lambda p, q: F.sequence(F.floor(F.least(p, q) / cell), F.floor(F.greatest(p, q) / cell))
-    celled = materialize(flat.withColumn("_cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2")))), "steps")
-    other = celled.select("_cx", "_cy", *[F.col(c).alias(f"o_{c}") for c in ("fid", "k", "x1", "y1", "x2", "y2")])
+    in_cells = lambda df: materialize(df.withColumn("_cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2")))), "steps")
+    celled = in_cells(flat)
+    other = (celled if by is None else in_cells(steps(by))).select("_cx", "_cy", *[F.col(c).alias(f"o_{c}") for c in ("fid", "k", "x1", "y1", "x2", "y2")])
+    apart = F.lit(True) if by is not None else (F.col("fid") != F.col("o_fid")) | (F.col("k") != F.col("o_k"))
     dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
     den = dx * ey - dy * ex
     px, py = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")
     t, u = (px * ey - py * ex) / F.when(den != 0, den), (px * dy - py * dx) / F.when(den != 0, den)
-    pairs = celled.join(other, ["_cx", "_cy"]).where("fid <> o_fid or k <> o_k").select("fid", "k", "x1", "y1", "x2", "y2", t.alias("t"), u.alias("u"))
+    pairs = celled.join(other, ["_cx", "_cy"]).where(apart).select("fid", "k", "x1", "y1", "x2", "y2", t.alias("t"), u.alias("u"))
     cuts = pairs.where("t > 1e-9 and t < 1 - 1e-9 and u > -1e-9 and u < 1 + 1e-9").groupBy("fid", "k").agg(F.array_sort(F.collect_set(F.round("t", 9))).alias("cuts"))
     cut = flat.join(cuts, ["fid", "k"], "left")
     inner = F.transform(F.coalesce("cuts", F.array().cast("array<double>")), lambda t: F.struct((F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y")))
@@ -427,6 +434,27 @@ def split_crossings(lines: DataFrame, cell: float = 0.01) -> DataFrame:
     return lines.drop("points").join(joined, "fid").select(*[c for c in lines.columns if c != "points"], F.concat("head", "tail").alias("points"))
 
 
+def cut_streets(streets: DataFrame, lines: DataFrame, cell: float = 0.05) -> DataFrame:
+    """fid, n_points of streets (fid, across, low, high along x if across, else along y) cut by lines without end (across, at).
+
+    A line that runs the other way meets every street that has its place between low and high, wherever the street stands.
+    So streets of one span have the same cuts: one of them is cut, by strokes that stand for the lines. A list of cuts for
+    each street would grow with the product of streets and lines.
+    """
+
+    def drawn(of: DataFrame, a: tuple[Column, Column], b: tuple[Column, Column]) -> DataFrame:
+        """From a to b, each (place along the line, place beside it)."""
+        at = lambda u, v: F.struct(F.when(F.col("across"), u).otherwise(v).alias("x"), F.when(F.col("across"), v).otherwise(u).alias("y"))
+        return of.select("fid", F.array(at(*a), at(*b)).alias("points"))
+
+    shapes = materialize(streets.groupBy("across", "low", "high").agg(F.min("fid").alias("fid")), "spans")
+    near, mid, far = (F.lit(cell * k / 4) for k in (1, 2, 3))
+    strokes = drawn(lines.select("across", "at").distinct().withColumn("fid", F.lit(0)), (near, F.col("at")), (far, F.col("at")))
+    cut = split_crossings(drawn(shapes, (F.col("low"), mid), (F.col("high"), mid)), cell, strokes)
+    found = materialize(cut.select("fid", F.size("points").cast("long").alias("n_points")), "cut")
+    return streets.join(shapes.join(found, "fid").drop("fid"), ["across", "low", "high"]).select("fid", "n_points")
+
+
 def turn_aware_path(nodes: DataFrame, edges: DataFrame, origin, destination, penalty: float, angle: float = 25.0) -> DataFrame:
     """seq, node, cost, turn along the path that is cheapest with turns over `angle` degrees costing `penalty`; turn is the bearing's change.
 
