@@ -216,3 +216,42 @@ def test_small_helpers(spark, places):
     areas = network.travel_areas(layer(spark, places[:2]), 10.0, "walking").collect()
     for a in areas:
         assert abs(max(p["x"] for p in a["ring"]) - a["mx"] - network.AREA_SPEEDS["walking"] * 1000 / 6) < 1e-6
+
+
+def _grouped(points, eps, wait, least):
+    """Cluster by point of (fid, mx, my, ts) and the core points: neighbours by comparing all pairs."""
+    fid, at, t = np.array([p[0] for p in points]), np.array([p[1:3] for p in points]), np.array([p[3] for p in points])
+    close = (np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) <= eps) & (np.abs(t[:, None] - t[None]) <= wait)
+    core = close.sum(1) >= least
+    number, n = np.full(len(fid), -1), 0
+    for i in np.argsort(fid):
+        if core[i] and number[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if number[j] < 0:
+                    number[j] = n
+                    todo += list(np.flatnonzero(close[j] & core & (number < 0)))
+            n += 1
+    edge = {i: min((number[j] for j in np.flatnonzero(close[i] & core)), default=-1) for i in np.flatnonzero(~core)}
+    return {int(fid[i]): int(edge.get(i, number[i])) for i in range(len(fid))}, {int(f) for f in fid[core]}
+
+
+def test_space_time_clusters_by_cells(spark):
+    """Areas from sparse to dense, strips apart by about the reach in space and in time, and points of no place."""
+    r = random.Random(11)
+    eps, wait, least = 10.0, 100.0, 4
+    rows = []
+    for area, (n, wide, long) in enumerate([(150, 80, 400), (150, 45, 300), (150, 30, 250), (120, 20, 100), (60, 3, 50)]):
+        rows += [(1000.0 * area + r.random() * wide, r.random() * wide, r.random() * long) for _ in range(n)]
+    rows += [(7000 + k * 10.5 + r.random() * 1.5, r.random() * 9, r.random() * 40) for k in range(8) for _ in range(20)]
+    rows += [(8000 + r.random() * 9, r.random() * 9, k * 104 + r.random() * 16) for k in range(8) for _ in range(15)]
+    rows += [(9000 + k * 8 + r.random() * 1.2, k * 8 + r.random() * 1.2, k * 60 + r.random() * 10) for k in range(12) for _ in range(8)]
+    r.shuffle(rows)
+    points = [(i, *p) for i, p in enumerate(rows)]
+    want, cores = _grouped(points, eps, wait, least)
+    odd = [(len(points), None, 1.0, 1.0), (len(points) + 1, float("nan"), 1.0, 1.0)]
+    frame = spark.createDataFrame(points + odd, "fid long, mx double, my double, ts double")
+    got = clustering.st_dbscan(frame, eps, wait, least).collect()
+    assert {x["fid"]: x["cluster"] for x in got} == want | {p[0]: -1 for p in odd} and {x["fid"] for x in got if x["is_core"]} == cores
+    assert len(set(want.values())) > 10 and -1 in want.values()

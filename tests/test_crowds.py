@@ -72,3 +72,10 @@ def test_overlapping(spark):
     group = lambda i: i % 3 // 2
     want = sorted((a, b) for a in range(12) for b in range(a + 1, 12) if group(a) == group(b))
     assert sorted(tuple(r) for r in quality.overlapping(df).collect()) == want
+
+
+def test_st_dbscan_where_all_differ(spark):
+    """60 000 points, no two at one place or time, some 10^9 pairs of them neighbours: cells decide, no pair is made."""
+    points = spark.range(2 * N).select(F.col("id").alias("fid"), (F.col("id") * 7919 % 100_003 / 5000.0).alias("mx"), (F.col("id") * 104_729 % 99_991 / 5000.0).alias("my"), (F.col("id") / 300).alias("ts"))
+    got = clustering.st_dbscan(points, 15.0, 100.0, 5).groupBy("cluster", "is_core").agg(F.count("*").alias("n"))
+    assert [tuple(r) for r in got.collect()] == [(0, True, 2 * N)]
