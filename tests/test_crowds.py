@@ -79,3 +79,15 @@ def test_st_dbscan_where_all_differ(spark):
     points = spark.range(2 * N).select(F.col("id").alias("fid"), (F.col("id") * 7919 % 100_003 / 5000.0).alias("mx"), (F.col("id") * 104_729 % 99_991 / 5000.0).alias("my"), (F.col("id") / 300).alias("ts"))
     got = clustering.st_dbscan(points, 15.0, 100.0, 5).groupBy("cluster", "is_core").agg(F.count("*").alias("n"))
     assert [tuple(r) for r in got.collect()] == [(0, True, 2 * N)]
+
+
+def test_neighbour_sums_by_blocks(spark, monkeypatch):
+    """Several blocks in a cell, places of many rows, distances of exactly the limit, and a row of no place."""
+    monkeypatch.setattr(spatial, "BLOCK", 60)
+    r = random.Random(8)
+    rows = [(i, float(r.randrange(-20, 45)), float(r.randrange(12)) * 0.5) for i in range(2500)]
+    got = {x["fid"]: (x["n"], x["total"]) for x in spatial.neighbour_sums(spark.createDataFrame([*rows, (2500, float("nan"), 0.0)], "fid long, mx double, my double"), 5.0).collect()}
+    assert got.keys() == set(range(2500))
+    for i, x, y in rows[:150]:
+        near = [d for d in (math.sqrt((x - a) ** 2 + (y - b) ** 2) for _, a, b in rows) if d <= 5.0]
+        assert got[i] == (len(near), pytest.approx(sum(near), rel=1e-12))
